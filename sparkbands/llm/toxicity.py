@@ -7,7 +7,7 @@ fixed number, a share of the class's documents (a larger one for pairs, which
 copies of one passage repeat together) and ``1 + margin`` times what the other class leads one to expect,
 so rare expressions, and common ones that differ little, are judged by the
 shared counts alone.  A document's evidence is the mean over its tokens of
-the log ratio of the two models; a logistic curve fitted on training rows that
+the log ratio of the two models, on a scale set by ordinary texts; a logistic curve fitted on training rows that
 the counts have not seen turns it into a score.
 
 Learning uses at most ``sample`` labelled rows per class, those with the
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, map_texts, written
-from .text import batches, joined, tokens
+from .text import batches, joined, tokens, word_hashes
 
 _START = np.uint64(0x5354415254)
+_STEM = 4
 _MOST = (-0.5, 6.0)  # bounds of one token's evidence: a passage known from ordinary copies must not hide what was put into it
 
 
@@ -40,15 +41,25 @@ def _bigrams(t) -> tuple[np.ndarray, np.ndarray]:
     return before, both
 
 
+def _stems(t) -> np.ndarray:
+    """Hash of the first bytes of each word."""
+    return word_hashes(t.buf, t.starts, np.minimum(t.starts + _STEM, t.ends))
+
+
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes of the words with entries
-    logs: np.ndarray  # (words, 2) log of each class's probability of the word
+    own: np.ndarray  # (words, 2) each class's own probability of the word
+    shared: np.ndarray  # (words, 2) what each class leaves to the shared counts of the word
     pairs: np.ndarray
-    pair_logs: np.ndarray  # (pairs, 2) extra probability of the pair
+    pair_own: np.ndarray  # (pairs, 2) extra probability of the pair
     contexts: np.ndarray
-    context_logs: np.ndarray  # (contexts, 2) share left to the word model
-    unknown: np.ndarray  # (2,) probability of a word without an entry
+    left: np.ndarray  # (contexts, 2) share left to the word model
+    unknown: np.ndarray  # (2,) what is left to a word without an entry
+    stems: np.ndarray
+    stem_factors: np.ndarray  # (stems, 2) what a class makes of the shared counts of words with this stem
+    centre: float = 0.0
+    spread: float = 1.0
     slope: float = 1.0
     bias: float = 0.0
 
@@ -57,18 +68,24 @@ class Model:
         if not len(t.hashes):
             return np.zeros(len(t.first) - 1)
         p = np.where(True, self.unknown, np.empty((len(t.hashes), 2)))
-        _put(p, self.words, self.logs, t.hashes)
+        own = np.zeros_like(p)
+        _put(p, self.words, self.shared, t.hashes)
+        _put(own, self.words, self.own, t.hashes)
+        factor = np.ones_like(p)
+        _put(factor, self.stems, self.stem_factors, _stems(t))
+        p = own + p * factor
         before, both = _bigrams(t)
         left = np.ones_like(p)
-        _put(left, self.contexts, self.context_logs, before)
+        _put(left, self.contexts, self.left, before)
         extra = np.zeros_like(p)
-        _put(extra, self.pairs, self.pair_logs, both)
+        _put(extra, self.pairs, self.pair_own, both)
         p = extra + left * p
         total = np.concatenate([[0], np.cumsum(np.clip(np.log(p[:, 1] / p[:, 0]), *_MOST))])
         return (total[t.first[1:]] - total[t.first[:-1]]) / np.maximum(t.counts, 1)
 
     def score(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.bias, -500, 500)))
+        z = np.arcsinh((self.evidence(texts) - self.centre) / self.spread)
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.bias, -500, 500)))
 
 
 def _put(out: np.ndarray, keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> None:
@@ -80,7 +97,7 @@ def _put(out: np.ndarray, keys: np.ndarray, values: np.ndarray, at: np.ndarray)
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
-    """(kind, context, word, n0, n1): words (kind 1) and pairs (kind 2) by class, over rows (text, y)."""
+    """(kind, context, word, n0, n1): words (kind 1), pairs (kind 2) and stems (kind 3) by class, over rows (text, y)."""
 
     def run(frames):
         for frame in batches(frames, "text"):
@@ -89,7 +106,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                 continue
             before, both = _bigrams(t)
             doc = t.doc()
-            for kind, key in ((1, t.hashes), (2, both)):
+            for kind, key in ((1, t.hashes), (2, both), (3, _stems(t))):
                 # once for each document, so that a text of one repeated line weighs no more than another
                 order = np.lexsort((doc, key))
                 k, d = key[order], doc[order]
@@ -104,7 +121,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     return made.groupBy("kind", "key", "context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 4000, discount: float = 3.0, share: float = 0.02, pair_share: float = 0.03, margin: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 4000, discount: float = 3.0, share: float = 0.005, pair_share: float = 0.03, margin: float = 0.5) -> Model:
     """The bounded model of at most ``sample`` rows of each class; every fourth of them fits the curve."""
     chosen, part = labelled_sample(docs, labels, label, folds, held_out, sample, even=True)
     grams = written(count_ngrams(chosen.where("pmod(at, 4) <> 0")), "toxicity-grams")
@@ -130,32 +147,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     back = np.minimum(w["spread"].to_numpy(float), (w[["n0", "n1"]].to_numpy(float) - over(w, least[0])).sum(1))
     size = max(contexts_of_all - (w["spread"].to_numpy(float) - back).sum(), 1) + 0.5 * ((totals[2] or 0) + 1)
     base = (back + 0.5) / size
-    logs = over(w, least[0]) / np.maximum(n, 1) + rest * base[:, None]
+    own, shared = over(w, least[0]) / np.maximum(n, 1), rest * base[:, None]
     unknown = rest / size
     # the totals of the contexts are the words' own counts; pairs after a context without them are left out
     key = w["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    key, logs, counts = key[order], logs[order], w[["n0", "n1"]].to_numpy(float)[order]
+    key, own, shared, counts = key[order], own[order], shared[order], w[["n0", "n1"]].to_numpy(float)[order]
     pc = p["context"].to_numpy(np.int64).view(np.uint64)
     have = np.isin(pc, key)
     p, pc = p[have], pc[have]
     at = np.searchsorted(key, pc)
-    share = over(p, least[1]) / np.maximum(counts[at], np.maximum(p[["n0", "n1"]].to_numpy(float), 1)) if len(p) else np.zeros((0, 2))
-    spent = np.stack([np.bincount(at, share[:, c], minlength=len(key)) for c in (0, 1)], 1) if len(p) else np.zeros((len(key), 2))
+    part_of = over(p, least[1]) / np.maximum(counts[at], np.maximum(p[["n0", "n1"]].to_numpy(float), 1)) if len(p) else np.zeros((0, 2))
+    spent = np.stack([np.bincount(at, part_of[:, c], minlength=len(key)) for c in (0, 1)], 1) if len(p) else np.zeros((len(key), 2))
     pk = p["key"].to_numpy(np.int64).view(np.uint64)
     o = np.argsort(pk)
-    model = Model(key, logs, pk[o], share[o], key, np.maximum(1 - spent, 1e-3), np.maximum(unknown, 1e-12))
+    st = grams.where("kind = 3 and " + lead.format(least[0])).select("key", "n0", "n1").toPandas()
+    mass = over(st, least[0]) / np.maximum(n, 1)
+    all_of = (st[["n0", "n1"]].to_numpy(float) - over(st, least[0])).sum(1) / max(n.sum(), 1)
+    left = 1 - mass.sum(0)
+    factor = (mass + left * all_of[:, None]) / np.maximum(left * all_of[:, None], 1e-12)
+    hot = (mass > 0).any(1)
+    sk, factor = st["key"].to_numpy(np.int64).view(np.uint64)[hot], np.minimum(factor[hot], np.exp(_MOST[1]))
+    so = np.argsort(sk)
+    model = Model(key, own, shared, pk[o], part_of[o], key, np.maximum(1 - spent, 1e-3), np.maximum(unknown, 1e-12), sk[so], factor[so])
     held = chosen.where("pmod(at, 4) = 0")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(frames):
         for frame in batches(frames, "text"):
-            yield pd.DataFrame({"x": shared.value.evidence(frame["text"].tolist()), "y": frame["y"].to_numpy(float)})
+            yield pd.DataFrame({"x": sent.value.evidence(frame["text"].tolist()), "y": frame["y"].to_numpy(float)})
 
     seen = held.select("text", "y").mapInPandas(judge, "x double, y double").toPandas()
     many = {y: max(1, (seen["y"] == y).sum()) for y in (0, 1)}
     weight = np.where(seen["y"] == 1, part.get(1, 0) / many[1], part.get(0, 0) / many[0])
-    model.slope, model.bias = logistic(seen["x"].to_numpy(), seen["y"].to_numpy(), weight)
+    usual = seen.loc[seen["y"] == 0, "x"].to_numpy()
+    if len(usual):
+        model.centre = float(np.median(usual))
+        model.spread = max(float(np.quantile(usual, 0.9) - model.centre), 1e-6)
+    z = np.arcsinh((seen["x"].to_numpy() - model.centre) / model.spread)
+    model.slope, model.bias = logistic(z, seen["y"].to_numpy(), weight)
     return model
 
 
