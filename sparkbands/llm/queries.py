@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, mixing, quality, toxicity
+from . import ann, bpe_reuse, embedding_dedup, mixing, quality, toxicity
 from .common import read_documents, remainder
 
 
@@ -36,6 +36,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), folds=5, held_out=0)
@@ -43,7 +47,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_bpe, op6_source_mix, op8_toxicity)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_bpe, op6_source_mix, op7_embedding_dedup, op8_toxicity, op10_nearest)}
 
 #: Sources by code point, null last; targets by a level that is raised over the sources in the order in which they reach their limits.
 OP6_SQL = """
@@ -62,4 +70,29 @@ select doc_id, size, source_size, target,
   (case when source_size = 0 then 0 else (whole // source_size) * size + greatest(0, least(start + size, whole % source_size) - start) end)::bigint as taken from p
 """
 
-ORACLE_SQL = {"op6_source_mix": OP6_SQL}
+_FINE = """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
+g as (select * from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0)"""
+
+OP7_SQL = (
+    _FINE.replace("with v", "with recursive v")
+    + """,
+p as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id as n, vec_id as c from embeddings union select p.a, r.c from r join p on p.b = r.n),
+m as (select n, min(c) as c from r group by n), k as (select a, count(*) as n from p group by a)
+select e.vec_id, coalesce(k.n, 0)::bigint as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e join m on m.n = e.vec_id left join k on k.a = e.vec_id
+"""
+)
+
+#: All candidates compared: what the search returns where it finds every neighbour.
+OP10_SQL = (
+    _FINE
+    + """,
+s as (select a.vec_id as query_id, b.vec_id, list_cosine_similarity(a.e, b.e) as score from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+)
+
+ORACLE_SQL = {"op7_embedding_dedup": OP7_SQL, "op10_nearest": OP10_SQL, "op6_source_mix": OP6_SQL}
