@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_reuse, embedding_dedup, mixing, quality, toxicity
-from .common import read_documents, remainder
+from . import ann, bpe_reuse, embedding_dedup, mixing, near_dup, quality, quotes, toxicity
+from .common import read_documents, remainder, written
 
 
 def word_bpe_path() -> str:
@@ -19,6 +19,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.threads(written(quotes.linked(_read(spark, sf_dir, "conversations")), "messages"))
+    return out.withColumn("way", F.concat_ws("/", F.transform("way", lambda t: t.cast("string"))))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     model = quality.fit(docs, _read(spark, sf_dir, "labels"), folds=4, held_out=2)
@@ -47,11 +52,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(read_documents(spark, sf_dir), width=4, percent=80)
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_bpe, op6_source_mix, op7_embedding_dedup, op8_toxicity, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest)}
 
 #: Sources by code point, null last; targets by a level that is raised over the sources in the order in which they reach their limits.
 OP6_SQL = """
@@ -95,4 +104,17 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 )
 
-ORACLE_SQL = {"op7_embedding_dedup": OP7_SQL, "op10_nearest": OP10_SQL, "op6_source_mix": OP6_SQL}
+OP9_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * shared >= 80 * (x.n + y.n - shared)),
+r as (select doc_id as n, doc_id as c from documents union select e.a, r.c from r join e on e.b = r.n),
+m as (select n, min(c) as c from r group by n)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+from documents d join m on m.n = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op9_near_duplicates": OP9_SQL, "op7_embedding_dedup": OP7_SQL, "op10_nearest": OP10_SQL, "op6_source_mix": OP6_SQL}
