@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_reuse, embedding_dedup, mixing, near_dup, quality, quotes, toxicity
+from . import ann, bpe_reuse, embedding_dedup, maxent, mixing, near_dup, quality, quotes, rans, toxicity
 from .common import read_documents, remainder, written
 
 
@@ -37,6 +37,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read_documents(spark, sf_dir), folds=5, held_out=1)
+
+
+def op5_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = rans.new_folder(spark)
+    table = rans.write_files(read_documents(spark, sf_dir), word_bpe_path(), folder)
+    return rans.read_files(spark, folder, table).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir))
 
@@ -60,7 +70,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op4_maxent_scores, op5_rans_files, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest)}
 
 #: Sources by code point, null last; targets by a level that is raised over the sources in the order in which they reach their limits.
 OP6_SQL = """
