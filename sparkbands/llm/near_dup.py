@@ -127,53 +127,44 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return pairs.mapInPandas(exact, "a long, b long")
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, small: int = 40, levels: int = 12) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, small: int = 256, levels: int = 12) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = written(described(docs, width, trees), "described")
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
     classes = written(classes, "classes")
     nodes = classes.select("node", F.explode("paths").alias("path"))
-    edges = seen = labels = None
+    seen = labels = None
     for level in range(levels):
         size = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
         live = written(nodes.join(size, "path"), "live")
         if live.isEmpty():
             break
         star = live.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if seen is not None:
-            star = star.join(seen, ["a", "b"], "left_anti")
-        star = written(star, "star")
-        seen = star if seen is None else seen.unionByName(star)
-        new = written(confirmed(star, classes, docs, width, percent), "confirmed")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = written(components(edges).withColumnsRenamed({"component": "label"}), "labels")
+        seen, new = _compared(star, seen, classes, docs, width, percent)
+        labels = _merged(labels, new)
         # nodes of the trees that still hold more than one component
-        live = live.drop("leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        live = _labelled(live.drop("leader"), labels)
         parts = live.groupBy("path", "label").agg(F.count("*").alias("m"))
         mixed = parts.groupBy("path").agg(F.count("*").alias("k"), F.max(F.struct("m", "label")).alias("top")).where("k > 1").select("path", F.col("top.label").alias("most"), F.col("top.m").alias("m"))
         live = written(live.join(mixed, "path"), "mixed")
         if live.isEmpty():
             break
-        last = level == levels - 1
-        few = F.lit(True) if last else (F.col("n") <= small) | (F.col("n") - F.col("m") <= small)
+        few = F.lit(True) if level == levels - 1 else (F.col("n") <= small) | (F.col("n") - F.col("m") <= small)
         near = live.where(few)
         # classes outside the node's largest component against all of other components
         out = near.where("label <> most").select("path", F.col("node").alias("x"), F.col("label").alias("lx"))
-        cross = near.join(out, "path").where("label <> lx")
-        cross = cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        cross = written(cross, "cross")
-        seen = seen.unionByName(cross)
-        edges = edges.unionByName(written(confirmed(cross, classes, docs, width, percent), "confirmed"))
-        nodes = live.where(~few).select("node", "path").join(classes.select("node", "sig"), "node")
-        nodes = written(branched(nodes), "nodes")
-        if nodes.isEmpty():
+        cross = near.join(out, "path").where("label <> lx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        seen, new = _compared(cross, seen, classes, docs, width, percent)
+        labels = _merged(labels, new)
+        big = live.where(~few).select("node", "path")
+        if big.isEmpty():
             break
+        nodes = written(branched(big.join(classes.select("node", "sig"), "node")), "nodes")
     result = classes.select("node", "owner")
-    if edges is not None:
-        result = result.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = result.groupBy("component").agg(F.min("owner").alias("component_id"))
-        result = result.join(least, "component").select("node", "component_id")
+    if labels is not None:
+        result = _labelled(result, labels)
+        result = result.join(result.groupBy("label").agg(F.min("owner").alias("component_id")), "label").select("node", "component_id")
     else:
         result = result.withColumnRenamed("owner", "component_id")
     result = written(result, "components")
@@ -182,6 +173,37 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
     return with_set.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _compared(pairs: DataFrame, seen: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs compared so far, and those of ``pairs`` that are new and confirmed (None: none)."""
+    pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "compared")
+    if pairs.isEmpty():
+        return pairs if seen is None else seen, None
+    new = written(confirmed(pairs, classes, docs, width, percent), "confirmed")
+    return pairs if seen is None else seen.unionByName(pairs), None if new.isEmpty() else new
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds the component of each node, itself where it has no links."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _merged(labels: DataFrame | None, new: DataFrame | None) -> DataFrame | None:
+    """The labels after new links: components of components."""
+    if new is None:
+        return labels
+    if labels is None:
+        return written(components(new).withColumnRenamed("component", "label"), "labels")
+    for c in ("a", "b"):
+        named = labels.select(F.col("node").alias(c), F.col("label").alias("up"))
+        new = new.join(named, c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
+    joined_ = written(components(new), "components-joined")
+    old = labels.join(joined_.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+    fresh = joined_.join(labels, "node", "left_anti").select("node", F.col("component").alias("label"))
+    return written(old.unionByName(fresh), "labels")
+
+
 def branched(nodes: DataFrame) -> DataFrame:
     """(node, path) one level on: two minwise tokens chosen by the path."""
 
