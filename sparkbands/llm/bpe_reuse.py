@@ -86,8 +86,8 @@ def shared_cores(docs: DataFrame, mask: int, reuse_cores: int) -> DataFrame:
     return counted.where("n > 1").orderBy(F.desc("n"), "key").limit(reuse_cores)
 
 
-def encode(docs: DataFrame, path: str, chunk_bytes: int = 512, reuse_cores: int = 20_000) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit numbers, as the library gives them without special tokens."""
+def encode(docs: DataFrame, path: str, chunk_bytes: int = 512, reuse_cores: int = 20_000, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids), and the ids decoded again if asked for in the same pass: ids as little-endian unsigned 32-bit numbers, as the library gives them without special tokens."""
     spark, mask = docs.sparkSession, chunk_bytes - 1
     docs = docs.select("doc_id", "text")
     wanted = spark.sparkContext.broadcast({bytes(r.key) for r in shared_cores(docs, mask, reuse_cores).collect()})
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = 512, reuse_cores: int
 
     def run(frames):
         ready = {k: np.frombuffer(v, np.uint16) for k, v in table.value.items()}
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", 2 << 20):
             raw, bounds, core, first = pieces(frame["text"].tolist(), mask)
             known = [ready.get(k) if k else None for k in _keys(raw, bounds, core)]
             rest = [raw[a:b] for a, b, x in zip(bounds[:-1].tolist(), bounds[1:].tolist(), known) if x is None]
@@ -123,9 +123,12 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = 512, reuse_cores: int
             size = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             whole = (np.concatenate(parts) if parts else np.empty(0, np.uint16)).astype("<u4")
             cut = size[first]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.diff(cut), "ids": [whole[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]})
+            out = pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.diff(cut), "ids": [whole[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]})
+            if decoded:
+                out["decoded"] = [codec(path).decode(whole[a:b]).decode() for a, b in zip(cut[:-1], cut[1:])]
+            yield out
 
-    return map_texts(docs, run, "n_tokens long, ids binary")
+    return map_texts(docs, run, "n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -32,8 +32,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = word_bpe_path()
-    out = bpe_reuse.decode(bpe_reuse.encode(read_documents(spark, sf_dir), path), path)
+    out = bpe_reuse.encode(read_documents(spark, sf_dir), word_bpe_path(), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

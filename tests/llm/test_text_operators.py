@@ -41,6 +41,8 @@ def test_bpe_equals_the_library(awkward, chunk):
     out = bpe_reuse.decode(bpe_reuse.encode(awkward, word_bpe_path(), chunk_bytes=chunk, reuse_cores=5), word_bpe_path()).collect()
     got = sorted(((r.doc_id is None, r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in out), key=repr)
     assert got == sorted(((d is None, d or 0, ids, t.decode(ids, skip_special_tokens=False)) for d, ids in want), key=repr)
+    again = bpe_reuse.encode(awkward, word_bpe_path(), chunk_bytes=chunk, decoded=True).collect()
+    assert sorted((repr((r.doc_id, r.ids, r.decoded)) for r in again)) == sorted(repr((r.doc_id, r.ids, r.decoded)) for r in out)
 
 
 def test_bpe_and_files_of_nothing(spark, nothing):
