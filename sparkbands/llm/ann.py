@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
-from .embedding_dedup import _matrix, cosine, usable
+from .embedding_dedup import _matrix, usable
 
 _BITS = 64
 
@@ -100,8 +100,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sha
             normals = planes(int(dim), trees)
             forest = Forest(x, normals)
             found = forest.candidates(hashes(y, normals), max(least, int(share * len(x))))
+            # cosine() in two halves: what belongs to a row is worked out once
+            (xs, xn), (ys, yn) = _scaled(x), _scaled(y)
             for i, c in enumerate(found):
-                s = cosine(np.broadcast_to(y[i], (len(c), dim)), x[c])
+                s = (xs[c] * ys[i]).sum(1) / (yn[i] * xn[c])
                 at = np.argpartition(-s, min(2 * k, len(s) - 1))[: 2 * k] if len(s) else np.empty(0, np.int64)
                 if len(at):  # all that tie with the last of them too
                     at = np.flatnonzero(s >= s[at].min())
@@ -115,6 +117,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sha
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled so that no square overflows, and their lengths."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x, np.sqrt((x * x).sum(1))
+
+
 def _copies(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict]:
     """One row per different vector with its smallest id, and the next k ids of each that has more."""
     order = np.argsort(ids, kind="stable")
