@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import aggregates as A
+from .operators import annotate as N
 from .operators import clusters as C
 from .operators import columns as B
 from .operators import joins as J
@@ -552,3 +553,90 @@ def kmeans_1d(v: Views) -> DataFrame:
 @query()
 def regime_pipeline(v: Views) -> DataFrame:
     return regimes.regime_table(v.track)
+
+
+@query("select chrom, w, round(abs(z), 9) as abs_z from windows")
+def window_summary_sort(v: Views) -> DataFrame:
+    return N.sorted_rows(B.window_summary_rows(v.windows).select("chrom", "w", "abs_z"), "abs_z", True, "w")
+
+
+_ENVELOPES = ", e as (select chrom, w // 8 as idx, w // 32 as parent, min(w) as s, max(w) + 1 as t from windows group by all), n as (select *, lag(idx) over p as l, lead(idx) over p as r from e window p as (partition by chrom, parent order by s, idx))"
+
+
+@query(_ENVELOPES + ", m as (select w.chrom, w.w, max(n.idx) as idx from windows w join n on n.chrom = w.chrom and w.w between n.s and n.t group by all) select m.chrom, m.w, m.idx as envelope, n.l as lower, n.r as upper from m join n on n.chrom = m.chrom and n.idx = m.idx")
+def window_to_envelope(v: Views) -> DataFrame:
+    by = v.windows.groupBy("chrom", F.floor(F.col("w") / 8).cast("int").alias("idx"), F.floor(F.col("w") / 32).cast("int").alias("parent"))
+    return N.window_to_envelope(v.windows, by.agg(F.min("w").alias("start_w"), (F.max("w") + 1).alias("end_w"))).withColumnsRenamed({"left": "lower", "right": "upper"})
+
+
+@query(", b as (select candidate_id, k, count(*) as n from calls group by all), r as (select *, row_number() over (partition by candidate_id order by n) as i, count(*) over (partition by candidate_id) as m from b) select candidate_id, round(0.4 * max(n) / sum(n) + 0.3 * least(1.0, sum(n) / 20.0) + 0.2 * (1 - sum((2.0 * i - m - 1) * n) / (max(m) * sum(n))) + 0.1 * case when candidate_id % 2 = 0 then 0.5 else 1 end, 9) as score from r group by candidate_id")
+def support_score(v: Views) -> DataFrame:
+    c = v.calls.groupBy("candidate_id", "k").agg(F.count("*").cast("double").alias("n")).groupBy("candidate_id").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.collect_list("n").alias("sizes"))
+    return c.select("candidate_id", N.support_score(F.col("top") / F.col("all"), F.col("all"), F.col("sizes"), F.col("candidate_id") % 2 == 0).alias("score"))
+
+
+@query(", c as (select chrom, max(end_bp) as len from intervals group by 1), d as (select chrom, len, len * 4 // 10 as cs, len // 2 as ce from c), x as (select id, greatest(0, cs - end_bp, start_bp - ce) as tc, least(start_bp, len - end_bp) as te, (end_bp - start_bp) / case when (start_bp + end_bp) / 2 < cs then cs else len - ce end as share from intervals join d using (chrom)) select id, case when tc = 0 then 'centromeric' when tc <= 100 then 'pericentromeric' when te <= 40 then 'subtelomeric' when share >= 0.1 then 'arm-scale' else 'interstitial' end as place, tc as to_centromere, te as to_end from x")
+def annotate_regime_position(v: Views) -> DataFrame:
+    chroms = v.intervals.groupBy("chrom").agg(F.max("end_bp").alias("length")).selectExpr("chrom", "length", "length * 4 div 10 as cen_start", "length div 2 as cen_end")
+    return N.regime_position(v.intervals, chroms, 100, 40, 0.1)
+
+
+@query("select l.sample_id, l.k as band, s.family_id, s.ancestry, case l.k when 0 then 'low' when 2 then 'high' end as track from per_window l left join samples s using (sample_id) where l.w = 1")
+def karyotype_rows(v: Views) -> DataFrame:
+    return N.karyotype_rows(v.labels.where("w = 1"), v.samples, {0: "low", 2: "high"})
+
+
+@query(", r as (select distinct candidate_id as c from calls), s as (select distinct sample_id from calls) select s.sample_id, string_agg(coalesce(c.k::varchar, '.'), '' order by r.c) as support from s cross join r left join calls c on c.sample_id = s.sample_id and c.candidate_id = r.c where r.c <= 50 group by 1 having count(c.k) > 0")
+def support_matrix_rows(v: Views) -> DataFrame:
+    """The variants of one region: suppliers 1 to 50 stand for them."""
+    here = v.calls.where("candidate_id <= 50")
+    return N.support_matrix(here, sorted(r[0] for r in v.table("supplier").where("s_suppkey <= 50").select("s_suppkey").collect() if r[0] is not None))
+
+
+@query("select id, chrom, source, start_bp, end_bp from intervals where source = 'F' and contains(lower(chrom), 'urgent')")
+def catalogue_rows_filter_sort(v: Views) -> DataFrame:
+    return N.catalogue_rows(v.intervals, "URGENT", ["chrom", "source"], {"source": "F"}, "start_bp").select("id", "chrom", "source", "start_bp", "end_bp")
+
+
+@query("select sample_id, round(avg(value), 9) as mean, count(*) as n from per_window where w between 2 and 5 group by 1")
+def sample_mean_over_windows(v: Views) -> DataFrame:
+    return v.track.where("w between 2 and 5").groupBy("sample_id").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+
+
+@query(", t as (select candidate_id, count(*) filter (k = 0 and sample_id % 2 = 0) as a, count(*) filter (k = 0) as r, count(*) filter (sample_id % 2 = 0) as s, count(*) as n from calls group by 1), x as (select *, greatest(0, r + s - n) as lo, unnest(range(greatest(0, r + s - n), least(r, s) + 1)) as x from t), y as (select *, lgamma(r + 1.0) - lgamma(x + 1.0) - lgamma(r - x + 1.0) + lgamma(n - r + 1.0) - lgamma(s - x + 1.0) - lgamma(n - r - s + x + 1.0) as lp from x), z as (select *, max(lp) over p as top, max(case when x = a then lp end) over p as seen from y window p as (partition by candidate_id)) select candidate_id, any_value(a) as a, any_value(n) as n, round(sum(case when lp <= seen + 1e-9 then exp(lp - top) end) / sum(exp(lp - top)), 9) as p from z group by 1")
+def fisher_exact(v: Views) -> DataFrame:
+    even = F.col("sample_id") % 2 == 0
+    cells = {"a": (F.col("k") == 0) & even, "b": (F.col("k") == 0) & ~even, "c": (F.col("k") != 0) & even, "d": (F.col("k") != 0) & ~even}
+    return N.fisher_exact(v.calls.groupBy("candidate_id").agg(*(F.count_if(c).alias(n) for n, c in cells.items())), "candidate_id")
+
+
+@query(", f as (select pos_bp, avg(dosage) filter (grp = 0) / 2 as p, avg(dosage) filter (grp = 1) / 2 as q, count(dosage) filter (grp = 0) as n, count(dosage) filter (grp = 1) as m from dosage group by 1), w as (select *, unnest(range(greatest(0, floor((pos_bp - 50000) / 10000)::bigint + 1), pos_bp // 10000 + 1)) * 10000 as start from f) select start, count(*) as sites, round(sum((p - q) ** 2 - p * (1 - p) / (2 * n - 1) - q * (1 - q) / (2 * m - 1)) / sum(p * (1 - q) + q * (1 - p)), 9) as fst, round(sum(p * (1 - q) + q * (1 - p)) / 50000, 9) as dxy, round(sum(4 * n * p * (1 - p) / (2 * n - 1)) / 50000, 9) as pi_one, round(sum(4 * m * q * (1 - q) / (2 * m - 1)) / 50000, 9) as pi_two from w group by 1")
+def popstats_windows(v: Views) -> DataFrame:
+    return N.popstats(v.dosage, 0, 1)
+
+
+@query(", r as (select *, w - row_number() over (partition by sample_id order by w) as run from per_window where k >= 1) select sample_id, min(w) as first_w, max(w) as last_w, count(*) as n, round(avg(value), 9) as score from r group by sample_id, run having count(*) >= 3")
+def contiguous_inner_intervals(v: Views) -> DataFrame:
+    return N.inner_intervals(v.per_window.where("k >= 1"), "sample_id")
+
+
+@query(", s as (select w, k, count(*) as n from per_window group by all), b as (select a.w, a.k, c.w as w2, c.k as k2, count(*) as shared from per_window a join per_window c on a.sample_id = c.sample_id and a.w <> c.w group by all), j as (select b.w, b.k, shared / (s.n + t.n - shared) as j from b join s on s.w = b.w and s.k = b.k join s t on t.w = b.w2 and t.k = b.k2) select w, k, count(*) filter (j >= 0.5) as n_visited, count(*) filter (j <= 0.2) as n_excluded from j group by all")
+def labels_to_votes(v: Views) -> DataFrame:
+    return N.labels_to_votes(v.labels)
+
+
+@query(", n as (select w, k, sample_id % 4 as lineage, count(*) as n from per_window group by all), b as (select w, k, sum(n)::bigint as size from n group by all), t as (select * from b qualify row_number() over (partition by w order by size desc, k) = 1) select t.w, t.k, t.size, n.lineage from t join n on n.w = t.w and n.k = t.k qualify row_number() over (partition by t.w order by n.n desc, n.lineage) = 1")
+def dominant_lineage_per_l2(v: Views) -> DataFrame:
+    return N.dominant_lineage(v.labels, F.col("sample_id") % 4)
+
+
+@query(", x as (select *, lag(k) over (partition by sample_id order by w) as was from per_window), r as (select *, lag(k, 2) over (partition by sample_id order by w) as two from x where was is null or was <> k), n as (select sample_id, count(*) - 1 as switches, count(*) filter (two = k) as returns from r group by 1) select *, case when switches = 0 then 'stable' when returns >= 2 then 'nested' when returns = 1 then 'recombinant_tract' when switches = 1 then 'two_adjacent' else 'complex' end as architecture from n")
+def architecture_class(v: Views) -> DataFrame:
+    return N.architecture_class(v.labels)
+
+
+@query(", s as (select marker, count(*) filter (dosage > 1) as support from dosage group by 1), g as (select d.marker, sample_id, sqrt(least(1.0, support / (select max(support) from s))) as w, dosage / 2 as q from dosage d join s using (marker)) select marker, sample_id, round(((1 - q) ** 2 - 1 / 3) * w + 1 / 3, 9) as g0, round((2 * q * (1 - q) - 1 / 3) * w + 1 / 3, 9) as g1, round((q ** 2 - 1 / 3) * w + 1 / 3, 9) as g2 from g")
+def weight_by_support(v: Views) -> DataFrame:
+    s, q = v.dosage.groupBy("marker").agg(F.count_if(F.col("dosage") > 1).alias("support")), F.col("dosage") / 2
+    rows = v.dosage.select("marker", "sample_id", ((1 - q) ** 2).alias("g0"), (2 * q * (1 - q)).alias("g1"), (q**2).alias("g2"))
+    return N.weight_by_support(rows, s, s.agg(F.max("support")).first()[0])
