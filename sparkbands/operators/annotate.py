@@ -56,16 +56,17 @@ def regime_position(regimes: DataFrame, chroms: DataFrame, near: float = 5e6, en
 
 
 def karyotype_rows(labels: DataFrame, samples: DataFrame, tracks: dict) -> DataFrame:
-    """Each sample's band with its family, ancestry and the track of the band."""
+    """Each sample's band in each window, with its family, ancestry and the track of the band."""
     track = F.create_map(*(F.lit(x) for pair in tracks.items() for x in pair))
-    return labels.join(samples, "sample_id", "left").select("sample_id", F.col("k").alias("band"), "family_id", "ancestry", track[F.col("k")].alias("track"))
+    return labels.join(samples, "sample_id", "left").select("w", "sample_id", F.col("k").alias("band"), "family_id", "ancestry", track[F.col("k")].alias("track"))
 
 
-def support_matrix(calls: DataFrame, rows: list) -> DataFrame:
-    """One string for each sample: its dosage at each row id in order, ``.`` where there is none."""
-    held = calls.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate_id", F.col("k").cast("string")))).alias("m"))
-    order = F.array(*(F.lit(r) for r in rows))
-    return held.select("sample_id", F.array_join(F.transform(order, lambda r: F.coalesce(F.col("m")[r], F.lit("."))), "").alias("support"))
+def support_matrix(calls: DataFrame, width: int = 50) -> DataFrame:
+    """A string for each sample and block of ``width`` row ids: its dosage at each row id of the block in order, ``.`` where there is none."""
+    calls = calls.withColumn("block", F.floor(F.col("candidate_id") / width))
+    rows = calls.groupBy("block").agg(F.array_sort(F.collect_set("candidate_id")).alias("ids"))
+    held = calls.groupBy("sample_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("candidate_id", F.col("k").cast("string")))).alias("m"))
+    return held.join(rows, "block").select("sample_id", "block", F.array_join(F.transform("ids", lambda r: F.coalesce(F.col("m")[r], F.lit("."))), "").alias("support"))
 
 
 def fisher_exact(tables: DataFrame, by: str) -> DataFrame:

@@ -581,16 +581,14 @@ def annotate_regime_position(v: Views) -> DataFrame:
     return N.regime_position(v.intervals, chroms, 100, 40, 0.1)
 
 
-@query("select l.sample_id, l.k as band, s.family_id, s.ancestry, case l.k when 0 then 'low' when 2 then 'high' end as track from per_window l left join samples s using (sample_id) where l.w = 1")
+@query("select l.w, l.sample_id, l.k as band, s.family_id, s.ancestry, case l.k when 0 then 'low' when 2 then 'high' end as track from per_window l left join samples s using (sample_id)")
 def karyotype_rows(v: Views) -> DataFrame:
-    return N.karyotype_rows(v.labels.where("w = 1"), v.samples, {0: "low", 2: "high"})
+    return N.karyotype_rows(v.labels, v.samples, {0: "low", 2: "high"})
 
 
-@query(", r as (select distinct candidate_id as c from calls), s as (select distinct sample_id from calls) select s.sample_id, string_agg(coalesce(c.k::varchar, '.'), '' order by r.c) as support from s cross join r left join calls c on c.sample_id = s.sample_id and c.candidate_id = r.c where r.c <= 50 group by 1 having count(c.k) > 0")
+@query(", r as (select distinct candidate_id as c, candidate_id // 50 as block from calls), s as (select distinct sample_id, candidate_id // 50 as block from calls) select s.sample_id, s.block, string_agg(coalesce(c.k::varchar, '.'), '' order by r.c) as support from s join r using (block) left join calls c on c.sample_id = s.sample_id and c.candidate_id = r.c group by all")
 def support_matrix_rows(v: Views) -> DataFrame:
-    """The variants of one region: suppliers 1 to 50 stand for them."""
-    here = v.calls.where("candidate_id <= 50")
-    return N.support_matrix(here, sorted(r[0] for r in v.table("supplier").where("s_suppkey <= 50").select("s_suppkey").collect() if r[0] is not None))
+    return N.support_matrix(v.calls)
 
 
 @query("select id, chrom, source, start_bp, end_bp from intervals where source = 'F' and contains(lower(chrom), 'urgent')")
