@@ -15,6 +15,7 @@ from .operators import joins as J
 from .operators import matrix as M
 from .operators import ordered as O
 from .operators import sets as S
+from .functions.tails import chi_square_tail
 from .plans import regimes
 from .views import Views, with_views
 
@@ -638,3 +639,9 @@ def weight_by_support(v: Views) -> DataFrame:
     s, q = v.dosage.groupBy("marker").agg(F.count_if(F.col("dosage") > 1).alias("support")), F.col("dosage") / 2
     rows = v.dosage.select("marker", "sample_id", ((1 - q) ** 2).alias("g0"), (2 * q * (1 - q)).alias("g1"), (q**2).alias("g2"))
     return N.weight_by_support(rows, s, s.agg(F.max("support")).first()[0])
+
+
+@query(_PAIRS + _SCORES + " select w, round(chi2, 9) as chi2, df, round(case df when 0 then 1 when 2 then exp(-chi2 / 2) when 4 then exp(-chi2 / 2) * (1 + chi2 / 2) end, 9) as p from sc")
+def chi_square_test(v: Views) -> DataFrame:
+    s = A.contingency_scores(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"])
+    return s.select("w", "chi2", "df", chi_square_tail(F.col("chi2"), F.col("df")).alias("p"))

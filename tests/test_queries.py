@@ -53,3 +53,14 @@ def test_entry_without_the_subpackage(spark, monkeypatch):
     assert "regime_pipeline" in __spark_entry__.queries()
     assert not any(k.startswith("op") and k[2].isdigit() for k in __spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_chi_square_tail(spark):
+    from pyspark.sql import functions as F
+
+    from sparkbands.functions.tails import chi_square_tail
+
+    # 5 % points of 1 to 6 degrees of freedom
+    points = [(1, 3.841459), (2, 5.991465), (3, 7.814728), (4, 9.487729), (5, 11.070498), (6, 12.591587)]
+    got = spark.createDataFrame(points, "df int, x double").select(chi_square_tail(F.col("x"), F.col("df")).alias("p")).collect()
+    assert all(abs(r.p - 0.05) < 1e-6 for r in got)
