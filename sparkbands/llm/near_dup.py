@@ -7,12 +7,15 @@ whose classes are already connected need no more comparisons.  In the others
 
 * every class is compared with the node's smallest class (its leader);
 * small nodes, or those with few classes outside their largest component, are
-  compared exhaustively across components: only such pairs can still join two;
-* larger nodes branch: each class goes on by two more minwise tokens, chosen by
-  the node, until its nodes are small.
-
-Pairs whose signatures cannot belong to the threshold (4.5 standard deviations)
-are left out, all others are confirmed on their full sets.  A pair at the
+  compared exhaustively across components: only such pairs can still join two.
+  The node is cut into blocks, and each pair of blocks is one group, so that
+  neither a task nor a row holds a node;
+* larger nodes branch: each class goes on in three ways, by three more minwise
+  tokens each, chosen by the node, until its nodes are small.
+
+Every comparison first holds sketches (the smallest hash in each of 256 bins)
+against each other.  Pairs whose sketches cannot belong to the threshold (4.5
+standard deviations) are left out, all others are confirmed on their full sets.  A pair at the
 threshold shares a starting node in no tree with probability
 ``(1 - threshold**2) ** trees``, about 1e-9 for 0.8 and 20 trees.
 
@@ -23,8 +26,6 @@ rows link like copies.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ from .graph import components
 from .text import batches, joined, mix, tokens
 
 _K = 64
+#: Bins of a sketch, and classes in a block of a node.
+_BINS, _BLOCK = 256, 512
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 2**63, _K, dtype=np.uint64)
@@ -67,41 +70,98 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A byte from 1 to 254 of the smallest hash in each bin of sorted shingles, 0 for an empty bin."""
+    edges = np.arange(_BINS, dtype=np.uint64) << np.uint64(56)
+    at = np.searchsorted(shingles, edges)
+    held = np.diff(at, append=len(shingles)) > 0
+    out = np.zeros(_BINS, np.uint8)
+    out[held] = shingles[at[held]] % np.uint64(254) + np.uint64(1)
+    return out.tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of sketches may reach the similarity."""
+    bins = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
+    p = percent / 100
+    return ((a == b) & (a > 0)).sum(-1) / bins >= p - 4.5 * np.sqrt(p * (1 - p) / bins)
+
+
 def described(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, paths) of each row; node is null for empty sets."""
+    """(doc_id, n_shingles, node, sig, sketch, paths) of each row; node is null for empty sets."""
 
     def run(frames):
         for frame in batches(frames, "text", 2 << 20):
             sets = shingle_sets(frame["text"].tolist(), width)
             full = [i for i, s in enumerate(sets) if len(s)]
             out = pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": [len(s) for s in sets]})
-            node, sig, paths = ([None] * len(sets) for _ in range(3))
+            node, sig, short, paths = ([None] * len(sets) for _ in range(4))
             if full:
                 found = signatures([sets[i] for i in full])
                 two = found[:, : 2 * trees].astype(np.uint64)
                 start = mix((two[:, 0::2] << np.uint64(32) | two[:, 1::2]) + np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 for k, i in enumerate(full):
-                    node[i], sig[i], paths[i] = set_id(sets[i]), found[k].tobytes(), start[k].tolist()
-            out["node"], out["sig"], out["paths"] = pd.array(node, "Int64"), sig, paths
+                    node[i], sig[i], short[i], paths[i] = set_id(sets[i]), found[k].tobytes(), sketch(sets[i]), start[k].tolist()
+            out["node"], out["sig"], out["sketch"], out["paths"] = pd.array(node, "Int64"), sig, short, paths
             yield out
 
-    return map_texts(docs, run, "n_shingles long, node long, sig binary, paths array<long>")
+    return map_texts(docs, run, "n_shingles long, node long, sig binary, sketch binary, paths array<long>")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the similarity."""
-    slack = percent / 100 - 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / _K)
-    sig = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+def star(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a node's leader and its other classes that may reach the similarity."""
+    pairs = live.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    named = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}"))
 
     def close(frames):
         for f in frames:
             if len(f):
-                a, b = (np.frombuffer(b"".join(f[c]), np.uint32).reshape(len(f), _K) for c in ("sig_a", "sig_b"))
-                yield f.loc[(a == b).mean(1) >= slack, ["a", "b"]]
-
-    near = pairs.join(sig("a"), "a").join(sig("b"), "b")
-    near = near.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
-    near = written(near.select("a", "b", "sig_a", "sig_b").mapInPandas(close, "a long, b long"), "pairs")
+                a, b = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), _BINS) for c in ("sketch_a", "sketch_b"))
+                yield f.loc[alike(a, b, percent), ["a", "b"]]
+
+    near = pairs.join(named("a"), "a").join(named("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
+    return near.select("a", "b", "sketch_a", "sketch_b").mapInPandas(close, "a long, b long")
+
+
+def cross(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of one node and two components that may reach the similarity.
+
+    near(path, node, label, most, n, m): ``most`` is the label of the largest
+    component with ``m`` of the ``n`` classes.  Those outside it come first in
+    the numbering of blocks; blocks within it are not compared with each other.
+    """
+    rows = near.join(classes.select("node", "n_shingles", "sketch"), "node")
+    one, out = F.col("n") <= _BLOCK, F.col("label") != F.col("most")
+    first = F.ceil((F.col("n") - F.col("m")) / _BLOCK)
+    rest = F.ceil(F.col("m") / _BLOCK)
+    at = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    rows = rows.withColumn("x", F.when(one, 0).when(out, at(first)).otherwise(first + at(rest)).cast("int"))
+    last = F.when(one, 0).when(out, first + rest - 1).otherwise(first - 1).cast("int")
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), last)))
+    held = F.collect_list(F.struct("node", "label", "n_shingles", "x", "sketch")).alias("g")
+    groups = rows.groupBy("path", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(held)
+    groups = groups.where(F.size("g") > 1).select("lo", "hi", *(F.col("g")[c].alias(c) for c in ("node", "label", "n_shingles", "x", "sketch")))
+
+    def compare(frames):
+        for f in frames:
+            found = [np.empty((0, 2), np.int64)]
+            for g in f.itertuples(index=False):
+                node, label, n, x = (np.asarray(v, np.int64) for v in (g.node, g.label, g.n_shingles, g.x))
+                short = np.frombuffer(b"".join(g.sketch), np.uint8).reshape(len(node), _BINS)
+                for i in np.flatnonzero(x == g.lo):
+                    ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                    ok &= node > node[i] if g.lo == g.hi else x == g.hi
+                    ok = np.flatnonzero(ok)
+                    ok = ok[alike(short[ok], short[i], percent)]
+                    found.append(np.column_stack([np.full(len(ok), node[i]), node[ok]]))
+            found = np.sort(np.concatenate(found), axis=1)
+            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return groups.mapInPandas(compare, "a long, b long")
+
+
+def confirmed(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the similarity."""
     needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     owners = classes.select("node", F.col("owner").alias("doc_id")).join(needed, "node").select("node", "doc_id")
 
@@ -127,11 +187,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return pairs.mapInPandas(exact, "a long, b long")
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, small: int = 256, levels: int = 12) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, small: int = 2048, levels: int = 12) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = written(described(docs, width, trees), "described")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     classes = written(classes, "classes")
     nodes = classes.select("node", F.explode("paths").alias("path"))
     seen = labels = None
@@ -140,8 +200,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
         live = written(nodes.join(size, "path"), "live")
         if live.isEmpty():
             break
-        star = live.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        seen, new = _compared(star, seen, classes, docs, width, percent)
+        seen, new = _compared(star(live, classes, percent), seen, classes, docs, width, percent)
         labels = _merged(labels, new)
         # nodes of the trees that still hold more than one component
         live = _labelled(live.drop("leader"), labels)
@@ -152,10 +211,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
             break
         few = F.lit(True) if level == levels - 1 else (F.col("n") <= small) | (F.col("n") - F.col("m") <= small)
         near = live.where(few)
-        # classes outside the node's largest component against all of other components
-        out = near.where("label <> most").select("path", F.col("node").alias("x"), F.col("label").alias("lx"))
-        cross = near.join(out, "path").where("label <> lx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        seen, new = _compared(cross, seen, classes, docs, width, percent)
+        seen, new = _compared(cross(near, classes, percent), seen, classes, docs, width, percent)
         labels = _merged(labels, new)
         big = live.where(~few).select("node", "path")
         if big.isEmpty():
@@ -174,8 +230,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
 
 
 def _compared(pairs: DataFrame, seen: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """All pairs compared so far, and those of ``pairs`` that are new and confirmed (None: none)."""
-    pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "compared")
+    """All pairs held against each other so far, and those of ``pairs`` that are new and confirmed (None: none)."""
+    pairs = pairs.distinct()
+    pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return pairs if seen is None else seen, None
     new = written(confirmed(pairs, classes, docs, width, percent), "confirmed")
@@ -205,7 +262,7 @@ def _merged(labels: DataFrame | None, new: DataFrame | None) -> DataFrame | None
 
 
 def branched(nodes: DataFrame) -> DataFrame:
-    """(node, path) one level on: two minwise tokens chosen by the path."""
+    """(node, path) one level on: three ways of three minwise tokens chosen by the path."""
 
     def run(frames):
         for f in frames:
@@ -213,9 +270,11 @@ def branched(nodes: DataFrame) -> DataFrame:
                 continue
             path = f["path"].to_numpy(np.int64).view(np.uint64)
             sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), _K)
-            for k in (1, 2):
-                at = (mix(path + np.uint64(k)) % np.uint64(_K)).astype(np.int64)
-                value = sig[np.arange(len(f)), at].astype(np.uint64)
-                yield pd.DataFrame({"node": f["node"], "path": mix(mix(path + np.uint64(k)) ^ value).view(np.int64)})
+            for way in range(3):
+                onward = mix(path + np.uint64(way + 1))
+                for k in range(3):
+                    at = (mix(path + np.uint64(3 * way + k + 4)) % np.uint64(_K)).astype(np.int64)
+                    onward = mix(onward ^ sig[np.arange(len(f)), at].astype(np.uint64))
+                yield pd.DataFrame({"node": f["node"], "path": onward.view(np.int64)})
 
     return nodes.mapInPandas(run, "node long, path long")

@@ -102,12 +102,14 @@ def brute_components(rows, width, percent):
     return Counter((ids[i], len(sets[i]), least.get(find(i)) if sets[i] else ids[i]) for i in range(len(rows)))
 
 
-def test_near_duplicates_equal_brute_force(spark, awkward):
+@pytest.mark.parametrize(("small", "block"), [(3, 512), (2048, 2)])
+def test_near_duplicates_equal_brute_force(spark, awkward, monkeypatch, small, block):
+    monkeypatch.setattr(near_dup, "_BLOCK", block)
     rows = awkward.collect()
     chain = " ".join(f"c{i}" for i in range(100))
     more = spark.createDataFrame([(100 + k, chain.replace(f"c{10 * k} ", f"d{k} ") if k else chain) for k in range(9)], "doc_id long, text string")
     both = awkward.select("doc_id", "text").unionByName(more)
-    got = near_dup.link(both, width=4, percent=80, small=3).collect()
+    got = near_dup.link(both, width=4, percent=80, small=small).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(both.collect(), 4, 80)
     assert len(got) == len(rows) + 9
 
