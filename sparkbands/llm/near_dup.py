@@ -13,7 +13,7 @@ whose classes are already connected need no more comparisons.  In the others
 * larger nodes branch: each class goes on in three ways, by three more minwise
   tokens each, chosen by the node, until its nodes are small.
 
-Every comparison first holds sketches (the smallest hash in each of 256 bins)
+Every comparison first holds sketches (the smallest hash in each of 512 bins)
 against each other.  Pairs whose sketches cannot belong to the threshold (4.5
 standard deviations) are left out, all others are confirmed on their full sets.  A pair at the
 threshold shares a starting node in no tree with probability
@@ -37,7 +37,7 @@ from .text import batches, joined, mix, tokens
 
 _K = 64
 #: Bins of a sketch, and classes in a block of a node.
-_BINS, _BLOCK = 256, 512
+_BINS, _BLOCK = 512, 512
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 2**63, _K, dtype=np.uint64)
@@ -72,7 +72,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def sketch(shingles: np.ndarray) -> bytes:
     """A byte from 1 to 254 of the smallest hash in each bin of sorted shingles, 0 for an empty bin."""
-    edges = np.arange(_BINS, dtype=np.uint64) << np.uint64(56)
+    edges = np.arange(_BINS, dtype=np.uint64) << np.uint64(55)
     at = np.searchsorted(shingles, edges)
     held = np.diff(at, append=len(shingles)) > 0
     out = np.zeros(_BINS, np.uint8)
@@ -80,11 +80,18 @@ def sketch(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of sketches may reach the similarity."""
-    bins = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
+def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Shares of equal bins of sketches, of sets of n_a and n_b; -1 where they cannot reach the similarity.
+
+    The smallest hashes of the filled bins are drawn without replacement from
+    the union, so equal ones follow a hypergeometric distribution.
+    """
+    bins = np.maximum(((a | b) > 0).sum(-1), 1)
     p = percent / 100
-    return ((a == b) & (a > 0)).sum(-1) / bins >= p - 4.5 * np.sqrt(p * (1 - p) / bins)
+    union = np.maximum((n_a + n_b) / (1 + p), bins)
+    share = ((a == b) & (a > 0)).sum(-1) / bins
+    least = p - 4.5 * np.sqrt(p * (1 - p) / bins * (union - bins) / np.maximum(union - 1, 1)) - 1 / bins
+    return np.where(share >= least, share, -1.0)
 
 
 def described(docs: DataFrame, width: int, trees: int) -> DataFrame:
@@ -117,20 +124,24 @@ def star(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for f in frames:
             if len(f):
                 a, b = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), _BINS) for c in ("sketch_a", "sketch_b"))
-                yield f.loc[alike(a, b, percent), ["a", "b"]]
+                yield f.loc[alike(a, b, f["n_a"].to_numpy(), f["n_b"].to_numpy(), percent) >= 0, ["a", "b"]]
 
     near = pairs.join(named("a"), "a").join(named("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
-    return near.select("a", "b", "sketch_a", "sketch_b").mapInPandas(close, "a long, b long")
+    return near.mapInPandas(close, "a long, b long")
 
 
-def cross(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def cross(near: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of classes of one node and two components that may reach the similarity.
 
     near(path, node, label, most, n, m): ``most`` is the label of the largest
     component with ``m`` of the ``n`` classes.  Those outside it come first in
     the numbering of blocks; blocks within it are not compared with each other.
+    A pair is given by the smallest of the paths that its classes share.
+    ``best`` gives only the likeliest partner of a class in each group: links of
+    these join most components, and few pairs are left for the full comparison.
     """
-    rows = near.join(classes.select("node", "n_shingles", "sketch"), "node")
+    ways = near.groupBy("node").agg(F.collect_list("path").alias("ways"))
+    rows = near.join(ways.join(classes.select("node", "n_shingles", "sketch"), "node"), "node")
     one, out = F.col("n") <= _BLOCK, F.col("label") != F.col("most")
     first = F.ceil((F.col("n") - F.col("m")) / _BLOCK)
     rest = F.ceil(F.col("m") / _BLOCK)
@@ -138,9 +149,9 @@ def cross(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("x", F.when(one, 0).when(out, at(first)).otherwise(first + at(rest)).cast("int"))
     last = F.when(one, 0).when(out, first + rest - 1).otherwise(first - 1).cast("int")
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), last)))
-    held = F.collect_list(F.struct("node", "label", "n_shingles", "x", "sketch")).alias("g")
+    held = F.collect_list(F.struct("node", "label", "n_shingles", "x", "sketch", "ways")).alias("g")
     groups = rows.groupBy("path", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(held)
-    groups = groups.where(F.size("g") > 1).select("lo", "hi", *(F.col("g")[c].alias(c) for c in ("node", "label", "n_shingles", "x", "sketch")))
+    groups = groups.where(F.size("g") > 1).select("path", "lo", "hi", *(F.col("g")[c].alias(c) for c in ("node", "label", "n_shingles", "x", "sketch", "ways")))
 
     def compare(frames):
         for f in frames:
@@ -148,11 +159,14 @@ def cross(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             for g in f.itertuples(index=False):
                 node, label, n, x = (np.asarray(v, np.int64) for v in (g.node, g.label, g.n_shingles, g.x))
                 short = np.frombuffer(b"".join(g.sketch), np.uint8).reshape(len(node), _BINS)
+                ways = [set(w.tolist()) for w in g.ways]
                 for i in np.flatnonzero(x == g.lo):
                     ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
                     ok &= node > node[i] if g.lo == g.hi else x == g.hi
                     ok = np.flatnonzero(ok)
-                    ok = ok[alike(short[ok], short[i], percent)]
+                    share = alike(short[ok], short[i], n[ok], n[i], percent)
+                    here = [k for k in np.flatnonzero(share >= 0).tolist() if min(ways[i] & ways[ok[k]]) == g.path]
+                    ok = ok[[max(here, key=share.__getitem__)] if best and here else here]
                     found.append(np.column_stack([np.full(len(ok), node[i]), node[ok]]))
             found = np.sort(np.concatenate(found), axis=1)
             yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
@@ -202,17 +216,12 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
             break
         seen, new = _compared(star(live, classes, percent), seen, classes, docs, width, percent)
         labels = _merged(labels, new)
-        # nodes of the trees that still hold more than one component
-        live = _labelled(live.drop("leader"), labels)
-        parts = live.groupBy("path", "label").agg(F.count("*").alias("m"))
-        mixed = parts.groupBy("path").agg(F.count("*").alias("k"), F.max(F.struct("m", "label")).alias("top")).where("k > 1").select("path", F.col("top.label").alias("most"), F.col("top.m").alias("m"))
-        live = written(live.join(mixed, "path"), "mixed")
-        if live.isEmpty():
-            break
-        few = F.lit(True) if level == levels - 1 else (F.col("n") <= small) | (F.col("n") - F.col("m") <= small)
-        near = live.where(few)
-        seen, new = _compared(cross(near, classes, percent), seen, classes, docs, width, percent)
-        labels = _merged(labels, new)
+        live = live.drop("leader")
+        for best in (True, False):
+            live = written(_mixed(live, labels), "mixed")
+            few = F.lit(True) if level == levels - 1 else (F.col("n") <= small) | (F.col("n") - F.col("m") <= small)
+            seen, new = _compared(cross(live.where(few), classes, percent, best), seen, classes, docs, width, percent)
+            labels = _merged(labels, new)
         big = live.where(~few).select("node", "path")
         if big.isEmpty():
             break
@@ -239,6 +248,14 @@ def _compared(pairs: DataFrame, seen: DataFrame | None, classes: DataFrame, docs
     return pairs if seen is None else seen.unionByName(pairs), None if new.isEmpty() else new
 
 
+def _mixed(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(path, node, n, label, most, m) of the nodes of trees that still hold more than one component."""
+    live = _labelled(live.select("path", "node", "n"), labels)
+    parts = live.groupBy("path", "label").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("path").agg(F.count("*").alias("k"), F.max(F.struct("m", "label")).alias("top")).where("k > 1")
+    return live.join(mixed.select("path", F.col("top.label").alias("most"), F.col("top.m").alias("m")), "path")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Adds the component of each node, itself where it has no links."""
     if labels is None:
