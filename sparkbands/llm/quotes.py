@@ -5,7 +5,7 @@ level that follow one another make a passage; its own messages are those of
 level 0.  Passages are normalised (A-Z lower-cased, white space single) and
 hashed by line; own lines of every message are indexed by the same hash, and a
 quoted line is joined to the earliest message that wrote it: in the same
-conversation before the quoting turn if there is one, else in any conversation.
+conversation before the quoting turn if there is one, else in any other conversation.
 A message replies to the message of its least deep linked quote (the last one
 written, if several), else to the turn before it.  Conversations are put in
 reply order, each message without its quotes.
@@ -59,10 +59,16 @@ def linked(conversations: DataFrame) -> DataFrame:
     own = own.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     near = own.groupBy("h", "conv_id").agg(F.min("turn").alias("first"))
     near = written(near, "own-lines")
-    anywhere = near.groupBy("h").agg(F.min(F.struct("conv_id", "first")).alias("any"))
+    # the two smallest conversations of each line, so that one is left where the other is the quoting one
+    order = W.partitionBy("h").orderBy("conv_id")
+    two = near.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    here = F.struct("conv_id", "first")
+    anywhere = two.groupBy("h").agg(F.min(F.when(F.col("place") == 1, here)).alias("any"), F.min(F.when(F.col("place") == 2, here)).alias("next"))
     found = quoted.join(near.withColumnRenamed("first", "here"), ["h", "conv_id"], "left").join(anywhere, "h", "left")
     inside = F.col("here") < F.col("turn")
-    found = found.withColumns({"to_conv": F.when(inside, F.col("conv_id")).otherwise(F.when(~F.col("any.conv_id").eqNullSafe(F.col("conv_id")), F.col("any.conv_id"))), "to_turn": F.when(inside, F.col("here")).otherwise(F.when(~F.col("any.conv_id").eqNullSafe(F.col("conv_id")), F.col("any.first")))})
+    other = F.when(F.col("any.conv_id").eqNullSafe(F.col("conv_id")), F.col("next")).otherwise(F.col("any"))
+    found = found.withColumn("other", other)
+    found = found.withColumns({"to_conv": F.when(inside, F.col("conv_id")).otherwise(F.col("other.conv_id")), "to_turn": F.when(inside, F.col("here")).otherwise(F.col("other.first"))})
     links = found.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quoted"),
         F.count("to_turn").alias("n_linked"),
@@ -82,23 +88,28 @@ def linked(conversations: DataFrame) -> DataFrame:
     )
 
 
-def threads(messages: DataFrame, deepest: int = 64) -> DataFrame:
+def threads(messages: DataFrame) -> DataFrame:
     """Adds ``way``, the turns from the root of a message's replies to the message, and sorts each conversation by it.
 
     In that order a message comes right after the one it replies to and that
-    one's earlier answers.  Ways are doubled, so ``deepest`` hops take few joins;
-    a longer way begins at the message that many hops up.
+    one's earlier answers.  Ways are doubled until each begins at its root, so
+    the number of joins is the logarithm of the deepest message's hops; only
+    messages whose way is not whole yet are joined again.
     """
     up = messages.where(F.col("reply_conv").eqNullSafe(F.col("conv_id")) & (F.col("reply_turn") < F.col("turn"))).select("conv_id", "turn", F.col("reply_turn").alias("up"))
-    way = messages.select("conv_id", "turn").join(up, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("up", "turn").alias("top"), F.array("turn").alias("way"))
-    way, hops = written(way, "ways"), 1
-    while hops < deepest:
-        above = way.where("top <> turn").select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("way").alias("more"))
-        longer = way.join(above, ["conv_id", "top"], "left")
-        longer = longer.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), F.when(F.col("next").isNull() | (F.col("top") == F.col("turn")), F.col("way")).otherwise(F.concat("more", "way")).alias("way"), F.col("next").isNotNull().alias("grown"))
+    start = written(messages.select("conv_id", "turn").join(up, ["conv_id", "turn"], "left"), "replies")
+    ways = start.where("up is null").select("conv_id", "turn", F.array("turn").alias("way"))
+    # way leaves out top; it is whole once top is a root
+    left = start.where("up is not null").select("conv_id", "turn", F.col("up").alias("top"), F.array("turn").alias("way"), F.lit(False).alias("whole"))
+    settled = None
+    while not left.isEmpty():
+        known = left if settled is None else left.unionByName(settled)
+        above = known.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("way").alias("more"), F.col("whole").alias("ends"))
+        longer = left.join(above, ["conv_id", "top"], "left")
+        longer = longer.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), F.when(F.col("next").isNull(), F.col("way")).otherwise(F.concat("more", "way")).alias("way"), F.coalesce("ends", F.lit(True)).alias("whole"))
         longer = written(longer, "ways")
-        way, hops = longer.drop("grown"), 2 * hops
-        if longer.where("grown and top <> turn").isEmpty():
-            break
-    ways = way.select("conv_id", "turn", F.when(F.col("top") == F.col("turn"), F.col("way")).otherwise(F.concat(F.array("top"), "way")).alias("way"))
+        done, left = longer.where("whole"), longer.where("not whole")
+        settled = done if settled is None else settled.unionByName(done)
+    if settled is not None:
+        ways = ways.unionByName(settled.select("conv_id", "turn", F.concat(F.array("top"), "way").alias("way")))
     return messages.join(ways, ["conv_id", "turn"], "left").orderBy("conv_id", "way", "turn")

@@ -96,3 +96,20 @@ def test_quotes_are_linked_and_removed(spark):
     assert out[2, 1].reply_turn == 0 and out[2, 1].plain == ""
     assert out[1, 2].way == [0, 2] and out[1, 3].way == [0, 1, 3]
     assert quotes.threads(quotes.linked(df.limit(0))).count() == 0
+
+
+def test_ways_of_deep_conversations_begin_at_the_root(spark):
+    # a chain of 150 turns, an early answer to turn 0 that is itself answered by 130 more
+    data = [(1, t, "user", "The root" if t == 0 else f"turn {t}") for t in range(150)]
+    data += [(1, 150, "user", "> turn 3\nbranch")] + [(1, t, "user", f"turn {t}") for t in range(151, 280)]
+    out = quotes.threads(quotes.linked(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))).collect()
+    want = {t: list(range(t + 1)) if t < 150 else [0, 1, 2, 3, *range(150, t + 1)] for t in range(280)}
+    assert {r.turn: r.way for r in out} == want
+    assert [r.turn for r in out] == sorted(want, key=want.get)
+
+
+def test_quote_of_a_line_that_the_quoting_conversation_repeats(spark):
+    data = [(3, 0, "user", "> same line\nsame line"), (3, 1, "user", "no"), (9, 0, "user", "other"), (9, 4, "user", "same line"), (12, 0, "user", "same line"), (15, 0, "user", "> no\n> only mine\nonly mine")]
+    out = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    assert (out[3, 0].reply_conv, out[3, 0].reply_turn, out[3, 0].n_linked) == (9, 4, 1)
+    assert (out[15, 0].n_quoted, out[15, 0].n_linked, out[15, 0].reply_conv, out[15, 0].reply_turn) == (2, 1, 3, 1)
