@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each a DataFrame in and out.
 
 A filtering stage keeps the rows that its operator accepts, with the columns of
-the documents.  The mix repeats a document once for each whole pass that takes
+the documents.  Decisions are made for each row by itself: rows without an id, or
+with one that others have too, are told apart.  The mix repeats a document once for each whole pass that takes
 it, and once more if the last pass takes at least half of its words.  The last
 stage returns (doc_id, n_tokens, ids_sha256), one row for each row of the mix.
 """
@@ -9,13 +10,17 @@ stage returns (doc_id, n_tokens, ids_sha256), one row for each row of the mix.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbands.llm import bpe_reuse, mixing, near_dup, quality, toxicity
 from sparkbands.llm.common import shared_folder, written
 from sparkbands.llm.queries import word_bpe_path
+from sparkbands.llm.text import batches
 
 #: Columns of the documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,32 +30,50 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose id is decided to stay; rows that share an id share the decision."""
-    keep = written(decided.where("keep").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").select(*COLUMNS)
+def _scored(docs: DataFrame, model) -> DataFrame:
+    """Adds the model's ``score`` of each row's text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            found = [sent.value.score(f["text"].tolist()) for f in batches([part.to_frame("text")], "text", 2 << 20)]
+            yield pd.Series(np.concatenate(found) if found else np.empty(0))
+
+    return docs.select(*COLUMNS, score("text").alias("score"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``mark``, a hash of the row, and ``row``, a key that only this row has; written once, so the key stays what it is."""
+    return written(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("mark"), F.monotonically_increasing_id().alias("row")), "keyed")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _labels(spark, sf_dir))
-    return _kept(docs, toxicity.score(docs, model).withColumn("keep", F.col("predicted") == 0))
+    return _scored(docs, model).where("score < 0.5").select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _labels(spark, sf_dir))
-    return _kept(docs, quality.score(docs, model).withColumn("keep", F.col("predicted") == 1))
+    return _scored(docs, model).where("score >= 0.7").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words and a similarity of 0.8; the smallest id of each group stays."""
-    return _kept(docs, near_dup.link(docs, width=5, percent=80).withColumn("keep", F.col("kept")))
+    """Shingles of five words and a similarity of 0.8; one row of each group stays, of those with the smallest id."""
+    docs = _keyed(docs)
+    groups = near_dup.link(docs.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(docs.select("row", "doc_id", "mark"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row"))
+    keep = written(groups.groupBy("component_id").agg(first.alias("first")).select("first.row"), "kept")
+    return docs.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs)
+    docs = _keyed(docs)
+    taken = mixing.mix(docs, keep=("mark", "row"))
     times = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size") + 0.5).otherwise(0)).cast("int")
-    many = written(taken.groupBy(F.col("doc_id").alias("mix_id")).agg(F.max(times).alias("times")).where("times > 0"), "times")
-    rows = docs.join(many, docs["doc_id"].eqNullSafe(many["mix_id"]))
+    many = written(taken.select("row", times.alias("times")).where("times > 0"), "times")
+    rows = docs.join(many, "row")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 

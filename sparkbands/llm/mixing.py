@@ -54,12 +54,12 @@ def order_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order")
 
 
-def placed(rows: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, keep: tuple = ()) -> DataFrame:
     """Adds ``start``, the words before each document in its source's shuffled stream, without sorting a source in one task."""
     rows = rows.withColumn("b", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     per = rows.groupBy("k", "b").agg(F.sum("size").alias("n"))  # at most 4096 a source
     before = per.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("b")) - F.col("n")).select("k", "b", "base")
-    inner = W.partitionBy("k", "b").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy("k", "b").orderBy("order", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.join(before, ["k", "b"]).withColumn("start", F.col("base") + F.sum("size").over(inner) - F.col("size")).drop("b", "base")
 
 
@@ -85,20 +85,20 @@ def schedule(needs: DataFrame, n_slots: int) -> DataFrame:
     return kept.unionByName(short)
 
 
-def mix(docs: DataFrame, block: int = 256, seed: str = "mix", weights: tuple = (5, 2, 1), most: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source)."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def mix(docs: DataFrame, block: int = 256, seed: str = "mix", weights: tuple = (5, 2, 1), most: int = 3, keep: tuple = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source), and its columns ``keep``, which order rows of one id and size."""
+    rows = docs.select("doc_id", *keep, "source", n_words(F.col("text")).alias("size"))
     rows = written(rows.select("*", order_key(seed)), "mix-sizes")
     goal = written(targets(rows, weights, most), "mix-targets")
-    rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "order", "k", "source_size", "target")
+    rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select("doc_id", *keep, "size", "order", "k", "source_size", "target")
     goal = goal.where("source_size > 0").withColumns({"whole": F.floor("target"), "blocks": F.ceil(F.col("source_size") / block)})
     goal = goal.withColumns({"passes": F.floor(F.col("whole") / F.col("source_size")), "left": F.col("whole") % F.col("source_size")})
     goal = goal.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("left") / block))
     n_slots = goal.agg(F.sum("slots")).first()[0] or 0
-    stream = placed(rows)
+    stream = placed(rows, keep)
     used = schedule(goal.select("k", "slots"), n_slots).join(goal.select("k", "blocks", "passes", "left"), "k") if n_slots else None
     if used is None:
-        return stream.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return stream.select("doc_id", *keep, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     used = used.withColumns({"block": F.col("rank") % F.col("blocks"), "pass": F.floor(F.col("rank") / F.col("blocks"))})
     last = (F.col("pass") == F.col("passes")) & (F.col("block") == F.floor((F.col("left") - 1) / block))
     # words of the block that the slot takes, from the block's start
@@ -107,8 +107,8 @@ def mix(docs: DataFrame, block: int = 256, seed: str = "mix", weights: tuple = (
     parts = stream.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    parts = parts.select("doc_id", "size", "source_size", "target", "k", "order", "start", "block", lo.alias("lo"), hi.alias("hi")).join(taken, ["k", "block"], "left")
+    parts = parts.select("doc_id", *keep, "size", "source_size", "target", "k", "order", "start", "block", lo.alias("lo"), hi.alias("hi")).join(taken, ["k", "block"], "left")
     words = F.when(F.col("times").isNull(), 0).otherwise((F.col("times") - 1) * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "reach") - F.col("lo"), F.lit(0)))
-    some = parts.groupBy("k", "start", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
-    none = stream.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return some.select("doc_id", "size", "source_size", "target", "taken").unionByName(none)
+    some = parts.groupBy("k", "start", "doc_id", *keep, "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
+    none = stream.where("size = 0").select("doc_id", *keep, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return some.select("doc_id", *keep, "size", "source_size", "target", "taken").unionByName(none)
