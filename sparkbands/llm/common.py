@@ -35,17 +35,17 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held_out: int, sample: int, even: bool = False) -> tuple[DataFrame, dict]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held_out: int, sample: int) -> tuple[DataFrame, dict]:
     """Rows (doc_id, text, y, at) of at most ``sample`` labelled documents per class, and the class sizes.
 
     Only ids outside the held-out remainder count.  Null labels and ids are left
     out; an id labelled more than once counts as 1 if any label is.  The sample
-    (as many of either class, if ``even``) is the ids with the smallest hash ``at``, so reruns agree.
+    is the ids with the smallest hash ``at``, so reruns agree.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.where(remainder("doc_id", n) != held_out).withColumn("at", F.xxhash64("doc_id"))
     size = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample, chosen = min(sample, *(size.get(y, 0) for y in (0, 1))) if even else sample, None
+    chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy("at", "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)

@@ -1,16 +1,20 @@
 """Quality by supervised subword embeddings.
 
-Words, word pairs and 4-byte n-grams are hashed to buckets, each with a learned
-vector; a document is the mean of its features' vectors, and a softmax layer
-gives the class.  numpy stochastic gradient descent trains both on at most
-``sample`` labelled rows per class, those with the smallest hash of the id.  A
-pair of equal words has one bucket of its own, whatever the word.  Every fourth
-row of the sample is kept from the training and sets the scale of the scores.
+Words, word pairs and character n-grams of several lengths are hashed to
+buckets, each with a learned vector; a document is the mean of its features'
+vectors, and a softmax layer gives the class.  Character n-grams stay inside a
+word, which they see with a space on either side.  numpy stochastic gradient
+descent trains both layers on at most ``sample`` labelled rows per class, those
+with the smallest hash of the id.  Every fourth row of the sample is kept from
+the training and sets the scale of the scores.
 
 With two classes the softmax of a mean is a logistic curve of the mean of one
-number per bucket, which is what the tasks look up.  Texts that are null, empty
-or without features get the curve's value at 0.  Repeated rows give repeated
-rows.
+number per bucket, which is what the tasks look up.  Whole texts are read,
+however long, a batch of texts at a time.  Texts that are null, empty or without
+words get the curve's value at 0.  Repeated rows give repeated rows, equal texts
+equal scores; an empty table of documents gives no rows, and without labels of
+both classes all scores are the same.  Columns other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,29 +26,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import labelled_sample, map_texts
-from .text import batches, byte_grams, joined, mix, tokens
+from .text import batches, joined, tokens
 from .toxicity import logistic
 
-_GRAM = 4
+#: Lengths of the character n-grams.
+_GRAMS = (3, 5)
+
+
+def char_grams(texts: list, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of each run of n characters that holds no white space but at its ends."""
+    raw = [f" {t} " if t else " " for t in texts]
+    ends = np.cumsum([len(r) for r in raw])
+    c = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = (c == 32) | ((c >= 9) & (c <= 13))
+    size = len(c) - n + 1
+    if size <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    c = np.where(space, np.uint32(32), c)
+    inside = np.ones(size, bool)
+    for k in range(1, n - 1):
+        inside &= ~space[k : size + k]
+    at = np.flatnonzero(inside)
+    h = np.full(len(at), n, np.uint32)
+    for k in range(n):
+        h = (h ^ c[at + k]) * np.uint32(0x01000193)
+        h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    return np.searchsorted(ends, at, "right"), (h >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def features(texts: list, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of (text number per feature, bucket per feature): words, word pairs, byte n-grams."""
+    """Pairs of (text number per feature, bucket per feature): words, word pairs, character n-grams."""
     t, shift = tokens(texts), np.uint64(64 - bits)
     doc = t.doc()
     out = [(doc, (t.hashes >> shift).astype(np.int64))]
     if len(doc) > 1:
-        pair = joined(t.hashes, 2)
-        pair[t.hashes[1:] == t.hashes[:-1]] = mix(np.array([2], np.uint64))[0]
         inside = doc[1:] == doc[:-1]
-        out.append((doc[1:][inside], (pair[inside] >> shift).astype(np.int64)))
-    gram = byte_grams(t.buf, _GRAM) >> np.uint32(32 - bits)
-    where = np.repeat(np.arange(len(texts)), np.diff(t.offsets))[: len(gram)]
-    ok = np.ones(len(gram), bool)
-    for end in t.offsets[1:]:  # grams do not reach from one text into the next
-        ok[max(end - _GRAM, 0) : end] = False
-    out.append((where[ok], gram[ok].astype(np.int64)))
-    return out
+        out.append((doc[1:][inside], (joined(t.hashes, 2)[inside] >> shift).astype(np.int64)))
+    return out + [char_grams(texts, n, bits) for n in _GRAMS]
 
 
 @dataclass
@@ -89,11 +109,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, width: int
     return (vectors @ (output[1] - output[0])).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample: int = 1500, bits: int = 17) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample: int = 1500, bits: int = 18) -> Model:
     chosen, part = labelled_sample(docs, labels, label, folds, held_out, sample)
 
     def extract(frames):
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", 1 << 20):
             found = features(frame["text"].tolist(), bits)
             doc, bucket = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             key, n = np.unique(doc * (1 << bits) + bucket, return_counts=True)
@@ -117,7 +137,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
-        for frame in batches(frames, "text", 2 << 20):
+        for frame in batches(frames, "text", 1 << 20):
             p = shared.value.score(frame["text"].tolist())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": p, "predicted": (p >= threshold).astype(np.int32)})
 

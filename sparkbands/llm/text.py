@@ -97,22 +97,6 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def byte_grams(buf: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n bytes that follow one another; gram i starts at byte i."""
-    size = len(buf) - n + 1
-    if size <= 0:
-        return np.empty(0, np.uint32)
-    h = np.zeros(size, np.uint32)
-    small = (_VALUES >> np.uint64(29)).astype(np.uint32)[buf]
-    for k in range(n):
-        h *= np.uint32(0x01000193)
-        h ^= small[k : size + k]
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    h ^= h >> np.uint32(13)
-    return h
-
-
 def joined(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k hashes that follow one another."""
     size = len(h) - k + 1
