@@ -1,17 +1,22 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source's shuffled documents form a stream that is cut into blocks of
-``block`` words.  Slot i of the schedule is the point frac(i * golden ratio),
-mapped through the cumulative weights of the sources; the slots of a source are
-ranked in order, and slot r takes the source's block r modulo its blocks, so a
-stream is read again once all of it was taken.  The slots that a source needs
-for its target are kept, the last one in part; if the schedule leaves a source
-short, the missing slots follow at the end.
-
-Targets: the sources, ordered by code point with null last, weigh
-``weights`` in turn and share all words; none gets more than ``most`` times its
-own words, and what is over is shared again by weight.  Documents without
-words take nothing.  Repeated rows count each for themselves.
+Slot i of the schedule is the point frac(i * golden ratio), worked out exactly
+on a grid of 2**31, and mapped through the cumulative targets of the sources.
+The schedule runs until its slots, of ``block`` words each, hold as many words
+as all documents.  The slots of a source are ranked in their order.  Each
+source's documents, shuffled by a hash, form an endless stream that begins again
+when it has ended, and slot r of a source takes words r * block up to
+(r + 1) * block of it: equal-token blocks, joined by rank.  So what a source
+gives is decided by the points alone, and comes to within a few blocks of its
+target; a document is read ``most`` times at most.
+
+Targets: the sources, ordered by code point with null last, weigh ``weights`` in
+turn and share all words; none gets more than ``most`` times its own words, and
+what is over is shared again by weight.  Null and empty texts have no words and
+take nothing.  Repeated rows count each for themselves; those that agree in id
+and size stand in an order of no consequence, as they take alike.  Texts are
+only counted, however long; an empty table gives no rows.  Columns other than
+doc_id, text, source and those of ``keep`` are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-_GOLDEN = 0.6180339887498949
-_BUCKETS = 4096
-_CHUNK = 4096
+#: Points are multiples of the golden ratio's fraction on a grid of 2**31: an odd step, so that all points come before any comes again.
+_GRID = 1 << 31
+_STEP = 1327217885
+#: Cells of the unit line in which points meet sources, and slots that are ranked together.
+_CELLS = 1024
+_CHUNK = 1 << 14
 
 
 def n_words(text: Column) -> Column:
@@ -63,52 +71,51 @@ def placed(rows: DataFrame, keep: tuple = ()) -> DataFrame:
     return rows.join(before, ["k", "b"]).withColumn("start", F.col("base") + F.sum("size").over(inner) - F.col("size")).drop("b", "base")
 
 
-def schedule(needs: DataFrame, n_slots: int) -> DataFrame:
-    """(k, rank) of the slots: needs is (k, slots), one row per source; ranks 0 .. slots - 1 of each source, each once."""
-    spark = needs.sparkSession
-    upper = F.sum("slots").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
-    bands = needs.where("slots > 0").select("k", "slots", upper.alias("hi")).withColumn("lo", F.col("hi") - F.col("slots"))
-    # Points go to sources by a join on a coarse cell of the unit line, then by the exact band.
-    cells = 1024
-    cell = lambda c: F.floor(c * cells / n_slots)
-    bands = bands.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1e-9))))
-    points = spark.range(n_slots).select("id", ((F.col("id") * F.lit(_GOLDEN)) % 1.0 * n_slots).alias("x")).withColumn("cell", cell(F.col("x")))
-    slots = points.join(bands, "cell").where("x >= lo and x < hi").select("id", "k", "slots", F.floor(F.col("id") / _CHUNK).alias("chunk"))
+def bands(goal: DataFrame) -> DataFrame:
+    """(k, lo, hi): each source's part of the grid, by cumulative targets; goal has a row for each source."""
+    by = W.orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = F.floor(F.sum("target").over(by) / F.sum("target").over(W.partitionBy()) * _GRID).cast("long")
+    rows = goal.where("target > 0").select("k", edge.alias("hi"))
+    return rows.withColumn("lo", F.lag("hi", 1, 0).over(W.orderBy("k"))).where("hi > lo")
+
+
+def schedule(goal: DataFrame, n_slots: int) -> DataFrame:
+    """(k, rank, slot): the source of each of the first ``n_slots`` points, and the slot's rank among those of its source."""
+    cell = lambda x: F.floor(x / (_GRID // _CELLS))
+    parts = bands(goal).withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    points = goal.sparkSession.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") % _GRID * _STEP % _GRID).alias("x"))
+    slots = points.withColumn("cell", cell(F.col("x"))).join(parts, "cell").where("x >= lo and x < hi")
+    slots = slots.select("slot", "k", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
     per = slots.groupBy("k", "chunk").agg(F.count("*").alias("n"))
     before = per.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("chunk")) - F.col("n")).drop("n")
-    inner = W.partitionBy("k", "chunk").orderBy("id")
-    ranked = slots.join(before, ["k", "chunk"]).withColumn("rank", F.col("base") + F.row_number().over(inner) - 1)
-    met = per.groupBy("k").agg(F.sum("n").alias("met"))
-    short = needs.join(met, "k", "left").where(F.col("slots") > F.coalesce("met", F.lit(0)))
-    short = short.select(F.lit(n_slots).cast("long").alias("slot"), "k", F.explode(F.sequence(F.coalesce("met", F.lit(0)), F.col("slots") - 1)).alias("rank"))
-    kept = ranked.where("rank < slots").select(F.col("id").alias("slot"), "k", "rank")
-    return kept.unionByName(short)
+    inner = W.partitionBy("k", "chunk").orderBy("slot")
+    return slots.join(before, ["k", "chunk"]).select("k", (F.col("base") + F.row_number().over(inner) - 1).alias("rank"), "slot")
+
 
+def mix(docs: DataFrame, block: int = 16, seed: str = "mix", weights: tuple = (5, 2, 1), most: int = 3, keep: tuple = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot, n_slots) for each row of docs(doc_id, text, source), and its columns ``keep``, which order rows of one id and size.
 
-def mix(docs: DataFrame, block: int = 256, seed: str = "mix", weights: tuple = (5, 2, 1), most: int = 3, keep: tuple = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source), and its columns ``keep``, which order rows of one id and size."""
+    ``first_slot`` is the slot of the schedule in which the document begins
+    (null: the mix does not take it), ``n_slots`` those that take words of it.
+    """
     rows = docs.select("doc_id", *keep, "source", n_words(F.col("text")).alias("size"))
     rows = written(rows.select("*", order_key(seed)), "mix-sizes")
     goal = written(targets(rows, weights, most), "mix-targets")
-    rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select("doc_id", *keep, "size", "order", "k", "source_size", "target")
-    goal = goal.where("source_size > 0").withColumns({"whole": F.floor("target"), "blocks": F.ceil(F.col("source_size") / block)})
-    goal = goal.withColumns({"passes": F.floor(F.col("whole") / F.col("source_size")), "left": F.col("whole") % F.col("source_size")})
-    goal = goal.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("left") / block))
-    n_slots = goal.agg(F.sum("slots")).first()[0] or 0
-    stream = placed(rows, keep)
-    used = schedule(goal.select("k", "slots"), n_slots).join(goal.select("k", "blocks", "passes", "left"), "k") if n_slots else None
-    if used is None:
-        return stream.select("doc_id", *keep, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    used = used.withColumns({"block": F.col("rank") % F.col("blocks"), "pass": F.floor(F.col("rank") / F.col("blocks"))})
-    last = (F.col("pass") == F.col("passes")) & (F.col("block") == F.floor((F.col("left") - 1) / block))
-    # words of the block that the slot takes, from the block's start
-    used = used.withColumn("reach", F.when(last, F.col("left") - F.col("block") * block).otherwise(block))
-    taken = used.groupBy("k", "block").agg(F.count("*").alias("times"), F.min("reach").alias("reach"))
-    parts = stream.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    parts = parts.select("doc_id", *keep, "size", "source_size", "target", "k", "order", "start", "block", lo.alias("lo"), hi.alias("hi")).join(taken, ["k", "block"], "left")
-    words = F.when(F.col("times").isNull(), 0).otherwise((F.col("times") - 1) * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "reach") - F.col("lo"), F.lit(0)))
-    some = parts.groupBy("k", "start", "doc_id", *keep, "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
-    none = stream.where("size = 0").select("doc_id", *keep, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return some.select("doc_id", *keep, "size", "source_size", "target", "taken").unionByName(none)
+    n_slots = (goal.agg(F.sum("source_size")).first()[0] or 0) // block + 1
+    slots = written(schedule(goal, n_slots), "mix-slots")
+    given = slots.groupBy("k").agg((F.count("*") * block).alias("given"))
+    goal = written(goal.join(given, "k", "left").fillna(0, ["given"]), "mix-given")
+    rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select("doc_id", *keep, "size", "order", "k", "source_size", "target", "given")
+    stream = written(placed(rows, keep), "mix-stream").drop("order")
+    # a document in each pass over its source that reaches it, at the slot with the rank of its first block
+    at = F.col("start") + F.col("pass") * F.col("source_size")
+    visits = stream.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", at)
+    visits = visits.where("at < given").withColumns({"words": F.least("size", F.col("given") - F.col("at")), "rank": F.floor(F.col("at") / block)})
+    visits = visits.join(slots, ["k", "rank"])
+    met = F.floor((F.col("at") + F.col("words") - 1) / block) - F.col("rank") + 1
+    # a source's documents with words begin at different places of its stream
+    taken = visits.groupBy("k", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum(met).alias("n_slots"))
+    taken = taken.withColumn("some", F.lit(True))
+    out = stream.withColumn("some", F.col("size") > 0).join(taken, ["k", "start", "some"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", *keep, "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"))

@@ -72,6 +72,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op4_maxent_scores, op5_rans_files, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest)}
 
 #: Sources by code point, null last; targets by a level that is raised over the sources in the order in which they reach their limits.
+#: Then the schedule: points on a grid of 2**31, slots of 16 words, ranked by source, and each document in each of three passes.
 OP6_SQL = """
 with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from sized group by source),
@@ -81,11 +82,19 @@ c as (select *, sum(source_size) over () as total, sum(w) over () as all_w,
   sum(cap) over (order by cap / w, k rows unbounded preceding) as sum_cap, sum(w) over (order by cap / w, k rows unbounded preceding) as sum_w from w),
 l as (select *, (total - (sum_cap - cap)) / (all_w - sum_w + w) as level from c),
 t as (select source, k, source_size, least(cap::double, coalesce((select arg_min(level, sum_w) from l where cap / w >= level) * w, cap::double)) as target from l),
-p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint as whole,
+e as (select k, floor(sum(target) over (order by k rows unbounded preceding) / sum(target) over () * 2147483648)::bigint as hi from t where target > 0),
+g as (select k, coalesce(lag(hi) over (order by k), 0) as lo, hi from e),
+x as (select i as slot, i % 2147483648 * 1327217885 % 2147483648 as x from (select unnest(range((select sum(source_size)::bigint // 16 + 1 from t))) as i)),
+r as (select k, slot, row_number() over (partition by k order by slot) - 1 as rank from x join g on x >= lo and x < hi),
+n as (select k, count(*) * 16 as given from r group by k),
+p as (select row_number() over () as row, d.doc_id, d.size, t.k, t.source_size, t.target, coalesce(n.given, 0) as given,
   sum(d.size) over (partition by t.k order by md5('mix' || coalesce(d.doc_id::varchar, '')), d.doc_id, d.size rows unbounded preceding) - d.size as start
-  from sized d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (case when source_size = 0 then 0 else (whole // source_size) * size + greatest(0, least(start + size, whole % source_size) - start) end)::bigint as taken from p
+  from sized d join t on d.source is not distinct from t.source left join n on n.k = t.k),
+v as (select row, k, start + pass * source_size as pos, least(size, given - (start + pass * source_size)) as words
+  from p, (select unnest([0, 1, 2]) as pass) where size > 0 and start + pass * source_size < given),
+y as (select v.row, sum(words)::bigint as taken, min(slot) as first_slot, sum((pos + words - 1) // 16 - pos // 16 + 1)::bigint as n_slots
+  from v join r on r.k = v.k and r.rank = v.pos // 16 group by v.row)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot, coalesce(n_slots, 0)::bigint as n_slots from p left join y using (row)
 """
 
 _FINE = """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, on awkward rows and on an empty table."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -118,16 +119,61 @@ def test_near_duplicates_of_nothing(nothing):
     assert near_dup.link(nothing).count() == 0
 
 
-def test_mix_follows_targets_and_limits(awkward, nothing):
-    got = mixing.mix(awkward, block=16).collect()
-    assert len(got) == awkward.count() and all(0 <= r.taken <= 3 * r.size for r in got)
+def brute_mix(rows, block, step):
+    """The mix by hand: a loop over slots, and over the words that each takes."""
+    size = [len(words(r.text)) for r in rows]
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    own = {s: sum(n for n, r in zip(size, rows) if r.source == s) for s in names}
+    weight, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, sum(size)
+    target, left, open_ = dict.fromkeys(names, 0.0), float(total), set(names)
+    while left > 1e-9 and open_:
+        each = left / sum(weight[s] for s in open_)
+        left = 0.0
+        for s in sorted(open_, key=names.index):
+            target[s] += each * weight[s]
+            if target[s] >= 3 * own[s]:
+                left += target[s] - 3 * own[s]
+                target[s] = float(3 * own[s])
+                open_.discard(s)
+    edges, run = [], 0.0
+    for s in names:
+        run += target[s]
+        edges.append(int(run / max(sum(target.values()), 1e-300) * 2**31))
+    order = lambda i: (hashlib.md5(f"mix{rows[i].doc_id if rows[i].doc_id is not None else ''}".encode()).hexdigest(), rows[i].doc_id or -1, size[i])
+    stream = {s: [(i, w) for i in sorted((i for i, r in enumerate(rows) if r.source == s), key=order) for w in range(size[i])] for s in names}
+    taken, slots, rank = [0] * len(rows), [[] for _ in rows], dict.fromkeys(names, 0)
+    for slot in range(total // block + 1):
+        x = slot % 2**31 * step % 2**31
+        s = next(n for n, e in zip(names, edges) if x < e)
+        for w in range(rank[s] * block, (rank[s] + 1) * block):
+            if w < 3 * own[s]:
+                i = stream[s][w % own[s]][0]
+                taken[i] += 1
+                if not slots[i] or slots[i][-1] != slot:
+                    slots[i].append(slot)
+        rank[s] += 1
+    return Counter((r.doc_id, size[i], own[r.source], round(target[r.source], 6), taken[i], min(slots[i], default=None)) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [16, 5])
+def test_mix_equals_the_schedule_run_by_hand(awkward, nothing, block):
+    got = mixing.mix(awkward, block=block).collect()
+    want = brute_mix(awkward.collect(), block, mixing._STEP)
+    assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken, r.first_slot) for r in got) == want
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
     by = {}
     for r in got:
         by.setdefault((r.source_size, r.target), []).append(r.taken)
     for (_, target), taken in by.items():
-        assert abs(sum(taken) - target) <= 1
+        assert abs(sum(taken) - target) <= 4 * block
     assert mixing.mix(nothing).count() == 0
-    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(awkward, block=16).collect()))
+
+
+def test_the_points_decide_the_mix(awkward, monkeypatch):
+    before = Counter(map(repr, mixing.mix(awkward).collect()))
+    assert before == Counter(map(repr, mixing.mix(awkward).collect()))
+    monkeypatch.setattr(mixing, "_STEP", 3)
+    assert before != Counter(map(repr, mixing.mix(awkward).collect()))
 
 
 def test_maxent_base_is_exact_and_tail_is_joined(awkward, nothing):
@@ -177,6 +223,46 @@ def test_classifiers_on_held_out_rows(spark, awkward, nothing):
         assert all(0 <= r.score <= 1 for r in kind.score(awkward, blank).collect())
 
 
-def test_quality_repeated_pair_has_one_bucket():
-    a, b = (quality.features([t], 17)[1][1].tolist() for t in ("x x", "y y"))
-    assert a == b
+
+def test_character_grams_stay_inside_words():
+    doc, bucket = quality.char_grams(["ab É", None, "x"], 3, 18)
+    # " ab", "ab ", " É ", " x "
+    assert doc.tolist() == [0, 0, 0, 2]
+    same = quality.char_grams(["zz ab", "É"], 3, 18)[1]
+    assert bucket[0] in same and bucket[2] == same[-1]
+
+
+def test_quality_score_is_the_softmax_of_the_mean_vector(spark):
+    rows = [(np.array([1, 2]), np.array([0.5, 0.5], np.float32), 1), (np.array([3]), np.array([1.0], np.float32), 0)] * 20
+    worth = quality.train(rows, 4)
+    assert worth[1] + worth[2] > 0 > worth[3]
+    model = quality.Model(np.random.default_rng(1).normal(size=1 << 18).astype(np.float32), 18, 2.0, 0.5)
+    texts = ["Some words here", "", None, "words words"]
+    for text, got in zip(texts, model.score(texts)):
+        found = [model.worth[b] for _, part in quality.features([text], 18) for b in part]
+        assert abs(got - 1 / (1 + math.exp(-(2 * (sum(found) / max(1, len(found))) + 0.5)))) < 1e-6
+
+
+def test_toxicity_shares_add_up_to_one_and_equal_brute_force(spark):
+    docs = [("bad badly", 1), ("bad bat\nbad", 1), ("bat cat", 0), ("", 0), (None, 1), ("cat bad", 0), ("bad", 1), ("bad x", 1)]
+    got = toxicity.count_grams(spark.createDataFrame(docs, "text string, y int")).toPandas().sort_values("gram")
+    brute = Counter()
+    for text, y in docs:
+        for w in set(words(text)):
+            p = b"\x01" * 4 + w.encode() + b"\x02"
+            for i in range(4, len(p)):
+                brute[int.from_bytes(p[i - 4 : i + 1], "big"), y] += 1
+    assert {(g, y): n for g, n0, n1 in got.itertuples(index=False) for y, n in ((0, n0), (1, n1)) if n} == dict(brute)
+    counts = toxicity.Counts(got["gram"].to_numpy(np.int64).view(np.uint64), got[["n0", "n1"]].to_numpy(float), 3.0)
+    for context in (b"\x01\x01\x01\x01", b"\x01bad", b"\x01\x01ba", b"none"):
+        every = (np.uint64(int.from_bytes(context, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert np.allclose(counts.probability(every).sum(0), 1)
+    model = toxicity.ratios(counts, 0.1)
+    for text in ("bad cat", "bat", "unseen bad"):
+        total = 0.0
+        for w in words(text):
+            p = b"\x01" * 4 + w.encode() + b"\x02"
+            keys = np.array([int.from_bytes(p[i - 4 : i + 1], "big") for i in range(4, len(p))], np.uint64)
+            q = counts.probability(keys)
+            total += max(np.log(q[:, 1] / q[:, 0]).sum() - 0.1, 0)
+        assert abs(model.evidence([text])[0] - total / math.sqrt(len(words(text)))) < 1e-5
