@@ -66,7 +66,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(_read(spark, sf_dir, "embeddings"))
+    return ann.search(_read(spark, sf_dir, "embeddings")).drop("n_compared")
 
 
 QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op4_maxent_scores, op5_rans_files, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest)}

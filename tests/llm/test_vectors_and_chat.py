@@ -54,7 +54,7 @@ def test_links_equal_brute_force(spark, block):
 
 def test_nearest_with_recall(spark):
     data = rows(np.random.default_rng(4), 1000)
-    got = ann.search(spark.createDataFrame(data, VECTORS), shard=400, least=150).collect()
+    got = ann.search(spark.createDataFrame(data, VECTORS).repartition(2), shard=400, block=64).collect()
     found, hit, total = {}, 0, 0
     for r in got:
         found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
@@ -67,6 +67,27 @@ def test_nearest_with_recall(spark):
             hit += len({v for v, _ in mine.values()} & {v for _, v in best})
             total += len(best)
     assert hit >= 0.9 * total
+    assert max(r.n_compared for r in got) < 0.7 * len(usable)
+
+
+def test_forest_descends_to_the_longest_prefix_and_ascends():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24))
+    strings = ann.hashes(x, 40)
+    found = ann.Forest(strings).candidates(strings[:, :20], 60)
+    for i, c in enumerate(found):
+        # brute force: the longest common prefix of each row with the query, over all trees
+        lcp = [max(ann._BITS - int(a ^ b).bit_length() for a, b in zip(strings[:, i].tolist(), strings[:, r].tolist())) for r in range(300)]
+        assert 60 <= len(c) and i in c
+        assert min(lcp[r] for r in c) >= sorted(lcp)[-60] and all(r in c for r in range(300) if lcp[r] > min(lcp[r] for r in c))
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    data = [(5, [1.0, 0.0, 0.0], 1, 1), (5, [0.0, 1.0, 0.0], 1, 1), (6, [1.0, 0.001, 0.0], 1, 1), (7, [0.0, 1.0, 0.001], 1, 1), (50, [0.0, 1.0, 0.0], 1, 1), (9, [1.0, 0.0, 0.0], 1, 1)]
+    got = embedding_dedup.link(spark.createDataFrame(data, VECTORS)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 2, 5), (9, 2, 5), (50, 2, 5)]
+    near = [(r.rank, r.vec_id) for r in ann.search(spark.createDataFrame(data, VECTORS)).collect()]
+    assert sorted(near) == [(1, 5), (2, 7), (3, 6), (4, 9)]
 
 
 def test_vectors_of_nothing(spark):
