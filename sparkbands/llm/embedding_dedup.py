@@ -7,14 +7,20 @@ halving radii.  Every class goes to its nearest leaf; a node's covering radius
 is the largest distance of its members from its centre.  Pairs of nodes whose
 centres are further apart than the threshold and both radii are pruned, level by
 level, and what is left are pairs of leaves.  Leaves are cut into blocks of
-about ``block`` classes, and each pair of blocks is one group: it builds its own
-nets below and traverses them in the same way.  A pair is linked if the cosine
+about ``block`` classes; a block is one row with its vectors and the tree below, which
+is built once, and each pair of blocks that is left traverses two such trees in
+the same way.  A pair is linked if the cosine
 of the original vectors in double precision reaches the threshold.
 
 Only vectors with the same label (not null) and the same length are compared.
 Null vectors, zero vectors and those with null or non-finite components link
 with nothing; neither do rows without a label.  Rows that repeat an id count as
-vectors of their own.  Extra columns are ignored.
+vectors of their own, whatever their vectors.  Labels may be of any type that
+has a text form.  An empty table gives no rows.  Extra columns are ignored.
+
+Random vectors of many dimensions lie about 1.4 apart, so no bound on a radius
+over 0.6 prunes them: levels where most pairs are left are compared by one
+matrix product, and the work inside a label grows with its square.
 """
 
 from __future__ import annotations
@@ -78,22 +84,17 @@ def tree(points: np.ndarray, first: float = 1.0, last: float = 0.125) -> list[tu
     return out[::-1]
 
 
-def traverse(a: np.ndarray, b: np.ndarray | None, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def traverse(a: np.ndarray, b: np.ndarray | None, reach: float, ta: list | None = None, tb: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of unit vectors within ``reach``; of one set with itself if b is None (each pair once)."""
-    ta = tree(a)
-    tb, other = (ta, a) if b is None else (tree(b), b)
+    ta = ta or tree(a)
+    tb, other = (ta, a) if b is None else (tb or tree(b), b)
     depth = max(len(ta), len(tb))
     ia, ib = np.divmod(np.arange(len(ta[0][0]) * len(tb[0][0])), len(tb[0][0]))
     for level in range(depth + 1):
         la, lb = min(level, len(ta)), min(level, len(tb))
         ca, ra = (ta[la][0], ta[la][2]) if la < len(ta) else (np.arange(len(a)), np.zeros(len(a)))
         cb, rb = (tb[lb][0], tb[lb][2]) if lb < len(tb) else (np.arange(len(other)), np.zeros(len(other)))
-        keep = []
-        for s in range(0, len(ia), 1 << 15):
-            x, y = ia[s : s + (1 << 15)], ib[s : s + (1 << 15)]
-            near = 2 - 2 * np.einsum("ij,ij->i", a[ca[x]], other[cb[y]])
-            keep.append(near <= (reach + ra[x] + rb[y]) ** 2 + 1e-9)
-        keep = np.concatenate(keep) if keep else np.empty(0, bool)
+        keep = _near(a[ca], other[cb], ia, ib, lambda x, y: (reach + ra[x] + rb[y]) ** 2 + 1e-9)
         ia, ib = ia[keep], ib[keep]
         if level == depth:
             break
@@ -105,6 +106,36 @@ def traverse(a: np.ndarray, b: np.ndarray | None, reach: float) -> tuple[np.ndar
     return ia, ib
 
 
+def _near(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, bound) -> np.ndarray:
+    """Which pairs of unit vectors have a squared distance of at most bound(ia, ib)."""
+    if len(ia) * 8 > len(x) * len(y):  # most pairs are left: one matrix product
+        d = 2 - 2 * (x @ y.T)
+        return d[ia, ib] <= bound(ia, ib)
+    keep = np.empty(len(ia), bool)
+    for s in range(0, len(ia), 1 << 15):
+        p, q = ia[s : s + (1 << 15)], ib[s : s + (1 << 15)]
+        keep[s : s + (1 << 15)] = 2 - 2 * np.einsum("ij,ij->i", x[p], y[q]) <= bound(p, q)
+    return keep
+
+
+def _packed(levels: list) -> bytes:
+    """A tree as bytes."""
+    parts = [np.array([len(levels)], "<i8")]
+    for centres, parent, radius in levels:
+        parts += [np.array([len(centres), len(parent)], "<i8"), centres.astype("<i8"), parent.astype("<i8"), radius.astype("<f8").view("<i8")]
+    return np.concatenate(parts).tobytes()
+
+
+def _unpacked(raw: bytes) -> list:
+    x, at, out = np.frombuffer(raw, "<i8"), 1, []
+    for _ in range(x[0]):
+        n, m = x[at : at + 2]
+        at += 2
+        out.append((x[at : at + n], x[at + n : at + n + m], x[at + n + m : at + 2 * n + m].view("<f8")))
+        at += 2 * n + m
+    return out
+
+
 def _below(levels: list, k: int, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Replace nodes of level k by their children (points under the last level), with the partners repeated."""
     if k >= len(levels):
@@ -153,33 +184,33 @@ def _roots(n: int, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
 def link(vectors: DataFrame, threshold: float = 0.98, cells: int = 2048, block: int = 2000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label)."""
     spark, reach = vectors.sparkSession, math.sqrt(2 - 2 * threshold)
-    rows = vectors.select("vec_id", "embedding", "label")
+    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64(F.lit(7), "embedding", "label")})
-    classes = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    classes = written(classes.withColumn("dim", F.size("embedding")), "classes")
+    classes = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    # a class has a number of its own: ids may stand in more than one
+    classes = written(classes.withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}), "classes")
 
     count = classes.count()
     leaf = classes.orderBy("h1", "h2").limit(min(cells, -(-count // block)))
     tops = {}
     for key, part in leaf.select("label", "dim", "embedding").toPandas().groupby(["label", "dim"]):
         points = _unit(_matrix(part["embedding"]))
-        tops[tuple(int(k) for k in key)] = points[nets(points, 2.0)[-1][1]]
+        tops[str(key[0]), int(key[1])] = points[nets(points, 2.0)[-1][1]]
     sent = spark.sparkContext.broadcast(tops)
 
     def assign(frames):
         for frame in frames:
             cell, far = np.full(len(frame), -1), np.zeros(len(frame))
             for key, at in frame.groupby(["label", "dim"]).indices.items():
-                if (centres := sent.value.get(tuple(int(k) for k in key))) is not None:
+                if (centres := sent.value.get((str(key[0]), int(key[1])))) is not None:
                     points = _unit(_matrix(frame["embedding"].iloc[at]))
                     near = points @ centres.T
                     cell[at] = near.argmax(1)
                     far[at] = np.sqrt(np.maximum(2 - 2 * near.max(1), 0))
             yield frame.assign(cell=cell, far=far)
 
-    kept = "label int, dim int, h2 long, rep long, n long, embedding array<float>"
-    placed = classes.select(F.col("label").cast("int").alias("label"), "dim", "h2", "rep", "n", "embedding").mapInPandas(assign, kept + ", cell int, far double")
+    placed = classes.select("label", "dim", "node", "n", "embedding").mapInPandas(assign, "label string, dim int, node long, n long, embedding array<double>, cell int, far double")
     placed = written(placed, "cells")
     sizes = written(placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("m"), F.max("far").alias("radius")), "cell-sizes")
     pairs = []
@@ -188,44 +219,55 @@ def link(vectors: DataFrame, threshold: float = 0.98, cells: int = 2048, block:
         there = [c for c in range(len(centres)) if (label, dim, c) in covering]
         radius = np.array([covering[label, dim, c] for c in there])
         pairs += [(label, dim, there[i], there[j]) for i, j in _leaf_pairs(centres[there], radius, reach)]
-    known = spark.createDataFrame(pairs, "label int, dim int, a int, b int")
+    known = spark.createDataFrame(pairs, "label string, dim int, a int, b int")
     known = known.unionByName(sizes.where("cell < 0").select("label", "dim", F.col("cell").alias("a"), F.col("cell").alias("b")))
     blocks = sizes.select("label", "dim", F.col("cell"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     known = known.join(blocks.withColumnsRenamed({"cell": "a", "blocks": "na"}), ["label", "dim", "a"]).join(blocks.withColumnsRenamed({"cell": "b", "blocks": "nb"}), ["label", "dim", "b"])
-    known = written(known.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("a <> b or x <= y"), "block-pairs")
-    # (side, cell, part) -> the block pairs it takes part in
-    left = known.select("label", "dim", F.col("a").alias("cell"), F.col("x").alias("part"), F.lit(0).alias("side"), "a", "b", "x", "y")
-    right = known.where("a <> b or x <> y").select("label", "dim", F.col("b").alias("cell"), F.col("y").alias("part"), F.lit(1).alias("side"), "a", "b", "x", "y")
-    members = placed.join(blocks, ["label", "dim", "cell"]).withColumn("part", F.pmod("h2", "blocks").cast("int"))
-    members = members.select("label", "dim", "cell", "part", "rep", "n", "embedding")
-    tasks = members.join(left.unionByName(right), ["label", "dim", "cell", "part"])
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        alone = frame["a"].iloc[0] == frame["b"].iloc[0] and frame["x"].iloc[0] == frame["y"].iloc[0]
-        if not len(one) or not (alone or len(two)):
-            return pd.DataFrame({"rep": [], "other": [], "links": []})
-        x = _matrix(one["embedding"])
-        y = x if alone else _matrix(two["embedding"])
-        ia, ib = traverse(_unit(x), None if alone else _unit(y), reach + 1e-6)
-        sure = np.concatenate([cosine(x[ia[s : s + 65536]], y[ib[s : s + 65536]]) >= threshold for s in range(0, len(ia), 65536)]) if len(ia) else np.empty(0, bool)
-        ia, ib = ia[sure], ib[sure]
-        rep, n = one["rep"].to_numpy(np.int64), one["n"].to_numpy(np.int64)
-        rep_b, n_b = (rep, n) if alone else (two["rep"].to_numpy(np.int64), two["n"].to_numpy(np.int64))
-        if alone:
-            ja, jb = ia, ib
-        else:
-            ja, jb = ia, ib + len(rep)
-            rep, n = np.concatenate([rep, rep_b]), np.concatenate([n, n_b])
-        links = np.bincount(ja, n[jb], len(rep)) + np.bincount(jb, n[ja], len(rep))
-        got = np.flatnonzero(links)
-        return pd.DataFrame({"rep": rep[got], "other": rep[_roots(len(rep), ja, jb)[got]], "links": links[got].astype(np.int64)})
-
-    found = written(tasks.groupBy("label", "dim", "a", "b", "x", "y").applyInPandas(compare, "rep long, other long, links long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    result = classes.select("label", "h1", "h2", "rep", "n").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    result = written(result.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes-linked")
+    known = known.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    known = written(known.where("a <> b or x <= y").select("label", "dim", "a", "b", "x", "y"), "block-pairs")
+
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        """A block as one row: its vectors and the tree over them, which is built once."""
+        x, first = _matrix(frame["embedding"]), frame.iloc[0]
+        made = {"label": first["label"], "dim": first["dim"], "cell": first["cell"], "part": first["part"]}
+        made |= {"nodes": frame["node"].to_numpy("<i8").tobytes(), "n": frame["n"].to_numpy("<i8").tobytes(), "points": x.astype("<f8").tobytes(), "tree": _packed(tree(_unit(x)))}
+        return pd.DataFrame([made])
+
+    dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    grown = dealt.groupBy("label", "dim", "cell", "part").applyInPandas(grow, "label string, dim int, cell int, part int, nodes binary, n binary, points binary, tree binary")
+    grown = written(grown, "blocks")
+    side = lambda c, p, s: grown.select("label", "dim", F.col("cell").alias(c), F.col("part").alias(p), *(F.col(k).alias(k + s) for k in ("nodes", "n", "points", "tree")))
+    tasks = known.join(side("a", "x", "_a"), ["label", "dim", "a", "x"]).join(side("b", "y", "_b"), ["label", "dim", "b", "y"])
+
+    def compare(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                alone = r.a == r.b and r.x == r.y
+                node, n, x = (np.frombuffer(raw, kind) for raw, kind in ((r.nodes_a, "<i8"), (r.n_a, "<i8"), (r.points_a, "<f8")))
+                x = y = x.reshape(len(node), r.dim)
+                up, more, other, other_tree = node, n, None, None
+                if not alone:
+                    up, more = np.frombuffer(r.nodes_b, "<i8"), np.frombuffer(r.n_b, "<i8")
+                    y = np.frombuffer(r.points_b, "<f8").reshape(len(up), r.dim)
+                    other, other_tree = _unit(y), _unpacked(r.tree_b)
+                ia, ib = traverse(_unit(x), other, reach + 1e-6, _unpacked(r.tree_a), other_tree)
+                sure = np.concatenate([np.empty(0, bool), *(cosine(x[ia[s : s + 65536]], y[ib[s : s + 65536]]) >= threshold for s in range(0, len(ia), 65536))])
+                ia, ib = ia[sure], ib[sure]
+                if not alone:
+                    ib, node, n = ib + len(node), np.concatenate([node, up]), np.concatenate([n, more])
+                links = np.bincount(ia, n[ib], len(node)) + np.bincount(ib, n[ia], len(node))
+                got = np.flatnonzero(links)
+                yield pd.DataFrame({"node": node[got], "other": node[_roots(len(node), ia, ib)[got]], "links": links[got].astype(np.int64)})
+
+    # few rows hold much: a task reads a few block pairs at a time
+    tasks = tasks.repartition(F.col("label"), "dim", "a", "b", "x", "y")
+    found = written(tasks.mapInPandas(compare, "node long, other long, links long"), "links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    result = classes.select("label", "h1", "h2", "node", "least", "n").join(links, "node", "left").join(joined, "node", "left")
+    result = written(result.select("label", "h1", "h2", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "classes-linked")
+    smallest = result.groupBy("component").agg(F.min("least").alias("component_id"))
+    result = result.join(smallest, "component").select("label", "h1", "h2", "n_links", "component_id")
     good = rows.where("ok").select("vec_id", "label", "h1", "h2").join(result, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
