@@ -1,7 +1,7 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-A document's set holds the 64-bit hashes of its distinct word shingles.  Equal
-sets are one class.  Each of ``trees`` independent trees starts from two chosen
+A document's set holds the 64-bit hashes of its distinct word shingles.  Sets
+that agree in size and in two 64-bit sums of their hashes are one class.  Each of ``trees`` independent trees starts from two chosen
 minwise tokens of every class; classes with the same choice share a node.  Nodes
 whose classes are already connected need no more comparisons.  In the others
 
@@ -11,17 +11,25 @@ whose classes are already connected need no more comparisons.  In the others
   The node is cut into blocks, and each pair of blocks is one group, so that
   neither a task nor a row holds a node;
 * larger nodes branch: each class goes on in three ways, by three more minwise
-  tokens each, chosen by the node, until its nodes are small.
+  tokens each, chosen by the node, until its nodes are small.  These tokens are
+  the smallest hashes in bins of the set that the node draws afresh, so trees
+  and levels stay independent.
 
 Every comparison first holds sketches (the smallest hash in each of 512 bins)
 against each other.  Pairs whose sketches cannot belong to the threshold (4.5
 standard deviations) are left out, all others are confirmed on their full sets.  A pair at the
 threshold shares a starting node in no tree with probability
-``(1 - threshold**2) ** trees``, about 1e-9 for 0.8 and 20 trees.
+``(1 - threshold**2) ** trees``, about 1e-9 for 0.8 and 20 trees; where nodes
+branch without end, a pair at 0.8 goes on in at least one way with probability
+0.78 and so is missed by all trees with probability ``(1 - 0.64 * 0.78) ** 20``,
+about 1e-6.
 
 Texts that are null or without words have an empty set and link with nothing;
 with fewer words than a shingle the whole sequence is the one shingle.  Repeated
-rows link like copies.  Extra columns are ignored.
+rows link like copies.  Rows without an id link like others and take the
+smallest id of their component, null if it has none.  An empty table gives no
+rows.  Whole texts are read, however long, a batch at a time.  Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +39,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import written
 from .graph import components
 from .text import batches, joined, mix, tokens
 
-_K = 64
 #: Bins of a sketch, and classes in a block of a node.
 _BINS, _BLOCK = 512, 512
-_rng = np.random.default_rng(77)
-_MUL = _rng.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 2**63, _K, dtype=np.uint64)
 
 
 def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
@@ -56,18 +60,22 @@ def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, 64) minwise values of non-empty sets."""
+def signatures(sets: list[np.ndarray], k: int, seed: int = 77) -> np.ndarray:
+    """(sets, k) minwise values of non-empty sets."""
+    rng = np.random.default_rng(seed)
+    mul, add = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(1, 2**63, k, dtype=np.uint64)
     every = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets)])[:-1]
-    out = np.empty((len(sets), _K), np.uint32)
-    for k in range(_K):
-        out[:, k] = np.minimum.reduceat(((every * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), at)
+    out = np.empty((len(sets), k), np.uint32)
+    for i in range(k):
+        out[:, i] = np.minimum.reduceat(((every * mul[i] + add[i]) >> np.uint64(32)).astype(np.uint32), at)
     return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums of differently mixed hashes: 128 bits that name the set."""
+    sums = [mix(shingles ^ np.uint64(c)).sum(dtype=np.uint64) + np.uint64(len(shingles)) for c in (0, 0x5555555555555555)]
+    return tuple(mix(np.array(sums, np.uint64)).view(np.int64).tolist())
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -95,24 +103,24 @@ def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percen
 
 
 def described(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, sketch, paths) of each row; node is null for empty sets."""
+    """(doc_id, text_hash, n_shingles, h1, h2, sketch, paths) of each row of docs(doc_id, text); h1 is null for empty sets."""
 
     def run(frames):
         for frame in batches(frames, "text", 2 << 20):
             sets = shingle_sets(frame["text"].tolist(), width)
             full = [i for i, s in enumerate(sets) if len(s)]
-            out = pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": [len(s) for s in sets]})
-            node, sig, short, paths = ([None] * len(sets) for _ in range(4))
+            out = frame.drop(columns="text").assign(n_shingles=[len(s) for s in sets])
+            one, two, short, paths = ([None] * len(sets) for _ in range(4))
             if full:
-                found = signatures([sets[i] for i in full])
-                two = found[:, : 2 * trees].astype(np.uint64)
-                start = mix((two[:, 0::2] << np.uint64(32) | two[:, 1::2]) + np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                found = signatures([sets[i] for i in full], 2 * trees).astype(np.uint64)
+                start = mix((found[:, 0::2] << np.uint64(32) | found[:, 1::2]) + np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 for k, i in enumerate(full):
-                    node[i], sig[i], short[i], paths[i] = set_id(sets[i]), found[k].tobytes(), sketch(sets[i]), start[k].tolist()
-            out["node"], out["sig"], out["sketch"], out["paths"] = pd.array(node, "Int64"), sig, short, paths
-            yield out
+                    (one[i], two[i]), short[i], paths[i] = set_id(sets[i]), sketch(sets[i]), start[k].tolist()
+            yield out.assign(h1=pd.array(one, "Int64"), h2=pd.array(two, "Int64"), sketch=short, paths=paths)
 
-    return map_texts(docs, run, "n_shingles long, node long, sig binary, sketch binary, paths array<long>")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    out = rows.mapInPandas(run, "doc_id string, text_hash long, n_shingles long, h1 long, h2 long, sketch binary, paths array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def star(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -177,15 +185,21 @@ def cross(near: DataFrame, classes: DataFrame, percent: int, best: bool) -> Data
 def confirmed(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets reach the similarity."""
     needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    owners = classes.select("node", F.col("owner").alias("doc_id")).join(needed, "node").select("node", "doc_id")
+    owners = classes.select("node", "h1", "h2", F.col("owner").alias("own"), "text_hash").join(needed, "node")
 
     def full(frames):
-        for frame in batches(frames, "text", 2 << 20):
-            sets = shingle_sets(frame["text"].tolist(), width)
-            ok = [i for i, s in enumerate(sets) if len(s) and set_id(s) == frame["node"].iat[i]]
-            yield pd.DataFrame({"node": [frame["node"].iat[i] for i in ok], "shingles": [sets[i].tobytes() for i in ok]})
-
-    texts = docs.select("doc_id", "text").join(owners, "doc_id").select("node", "text")
+        met: set = set()  # rows without an id may hold a text many times
+        for frame in frames:
+            frame = frame[~(frame["node"].isin(met) | frame["node"].duplicated())]
+            met.update(frame["node"].tolist())
+            for part in batches([frame], "text", 2 << 20):
+                sets = shingle_sets(part["text"].tolist(), width)
+                ok = [i for i, s in enumerate(sets) if len(s) and set_id(s) == (part["h1"].iat[i], part["h2"].iat[i])]
+                yield pd.DataFrame({"node": [part["node"].iat[i] for i in ok], "shingles": [sets[i].tobytes() for i in ok]})
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d")
+    same = (F.col("d.text_hash") == F.col("o.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("o.own"))
+    texts = texts.join(owners.alias("o"), same).select("node", "h1", "h2", "text")
     sets = written(texts.mapInPandas(full, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def exact(frames):
@@ -205,7 +219,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = written(described(docs, width, trees), "described")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("owner")
+    classes = rows.where("h1 is not null").groupBy("h1", "h2", "n_shingles").agg(owner, F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n_shingles", F.col("owner.doc_id").alias("owner"), F.col("owner.text_hash").alias("text_hash"), "sketch", "paths")
     classes = written(classes, "classes")
     nodes = classes.select("node", F.explode("paths").alias("path"))
     seen = labels = None
@@ -225,16 +241,16 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 20, sm
         big = live.where(~few).select("node", "path")
         if big.isEmpty():
             break
-        nodes = written(branched(big.join(classes.select("node", "sig"), "node")), "nodes")
-    result = classes.select("node", "owner")
+        nodes = written(branched(big.join(classes.select("node", "sketch"), "node")), "nodes")
+    result = classes.select("node", "h1", "h2", "n_shingles", "owner")
     if labels is not None:
         result = _labelled(result, labels)
-        result = result.join(result.groupBy("label").agg(F.min("owner").alias("component_id")), "label").select("node", "component_id")
+        result = result.join(result.groupBy("label").agg(F.min("owner").alias("component_id")), "label").select("h1", "h2", "n_shingles", "component_id")
     else:
-        result = result.withColumnRenamed("owner", "component_id")
+        result = result.withColumnRenamed("owner", "component_id").drop("node")
     result = written(result, "components")
-    with_set = rows.where("node is not null").select("doc_id", "n_shingles", "node").join(result, "node").select("doc_id", "n_shingles", "component_id")
-    without = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    with_set = rows.where("h1 is not null").select("doc_id", "n_shingles", "h1", "h2").join(result, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    without = rows.where("h1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -279,19 +295,27 @@ def _merged(labels: DataFrame | None, new: DataFrame | None) -> DataFrame | None
 
 
 def branched(nodes: DataFrame) -> DataFrame:
-    """(node, path) one level on: three ways of three minwise tokens chosen by the path."""
+    """(node, path) one level on: three ways of three minwise tokens, of bins chosen by the path.
+
+    An empty bin takes the next one that is filled, with the distance to it.
+    """
 
     def run(frames):
         for f in frames:
-            if not len(f):
-                continue
-            path = f["path"].to_numpy(np.int64).view(np.uint64)
-            sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), _K)
-            for way in range(3):
-                onward = mix(path + np.uint64(way + 1))
-                for k in range(3):
-                    at = (mix(path + np.uint64(3 * way + k + 4)) % np.uint64(_K)).astype(np.int64)
-                    onward = mix(onward ^ sig[np.arange(len(f)), at].astype(np.uint64))
-                yield pd.DataFrame({"node": f["node"], "path": onward.view(np.int64)})
+            for a in range(0, len(f), 4096):
+                part = f.iloc[a : a + 4096]
+                path = part["path"].to_numpy(np.int64).view(np.uint64)
+                bins = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), _BINS)
+                far = np.where(np.tile(bins, 2) > 0, np.arange(2 * _BINS, dtype=np.int32), np.int32(3 * _BINS))
+                filled = np.minimum.accumulate(far[:, ::-1], 1)[:, ::-1]
+                rows = np.arange(len(part))
+                for way in range(3):
+                    onward = mix(path + np.uint64(way + 1))
+                    for k in range(3):
+                        at = (mix(path + np.uint64(3 * way + k + 4)) % np.uint64(_BINS)).astype(np.int64)
+                        to = filled[rows, at]
+                        token = bins[rows, to % _BINS].astype(np.uint64) + ((to - at).astype(np.uint64) << np.uint64(8))
+                        onward = mix(onward ^ token)
+                    yield pd.DataFrame({"node": part["node"], "path": onward.view(np.int64)})
 
     return nodes.mapInPandas(run, "node long, path long")

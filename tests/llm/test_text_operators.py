@@ -109,10 +109,12 @@ def test_near_duplicates_equal_brute_force(spark, awkward, monkeypatch, small, b
     rows = awkward.collect()
     chain = " ".join(f"c{i}" for i in range(100))
     more = spark.createDataFrame([(100 + k, chain.replace(f"c{10 * k} ", f"d{k} ") if k else chain) for k in range(9)], "doc_id long, text string")
-    both = awkward.select("doc_id", "text").unionByName(more)
+    # rows without an id: near copies of one with an id and of one another
+    none = spark.createDataFrame([(None, chain + " end"), (None, " ".join(f"e{i}" for i in range(60))), (None, " ".join(f"e{i}" for i in range(61)))], "doc_id long, text string")
+    both = awkward.select("doc_id", "text").unionByName(more).unionByName(none)
     got = near_dup.link(both, width=4, percent=80, small=small).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(both.collect(), 4, 80)
-    assert len(got) == len(rows) + 9
+    assert len(got) == len(rows) + 12
 
 
 def test_near_duplicates_of_nothing(nothing):
