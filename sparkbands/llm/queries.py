@@ -20,8 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotes.threads(written(quotes.linked(_read(spark, sf_dir, "conversations")), "messages"))
-    return out.withColumn("way", F.concat_ws("/", F.transform("way", lambda t: t.cast("string"))))
+    return quotes.threads(quotes.linked(_read(spark, sf_dir, "conversations")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Embedding operators against brute force, and quotation links on planted quotes."""
 
+import itertools
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -115,22 +119,103 @@ def test_quotes_are_linked_and_removed(spark):
     assert out[1, 3].reply_turn == 1 and out[1, 3].n_linked == 2
     assert (out[2, 0].reply_conv, out[2, 0].reply_turn) == (1, 1)
     assert out[2, 1].reply_turn == 0 and out[2, 1].plain == ""
-    assert out[1, 2].way == [0, 2] and out[1, 3].way == [0, 1, 3]
+    assert [out[1, t].position for t in range(4)] == [0, 1, 3, 2]
+    assert out[3, None].position is None and out[None, 0].position is None
     assert quotes.threads(quotes.linked(df.limit(0))).count() == 0
 
 
-def test_ways_of_deep_conversations_begin_at_the_root(spark):
-    # a chain of 150 turns, an early answer to turn 0 that is itself answered by 130 more
+def test_order_of_deep_conversations(spark):
+    # a chain of 150 turns, a late answer to turn 3 that is itself answered by 130 more
     data = [(1, t, "user", "The root" if t == 0 else f"turn {t}") for t in range(150)]
     data += [(1, 150, "user", "> turn 3\nbranch")] + [(1, t, "user", f"turn {t}") for t in range(151, 280)]
     out = quotes.threads(quotes.linked(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))).collect()
-    want = {t: list(range(t + 1)) if t < 150 else [0, 1, 2, 3, *range(150, t + 1)] for t in range(280)}
-    assert {r.turn: r.way for r in out} == want
-    assert [r.turn for r in out] == sorted(want, key=want.get)
+    assert [(r.turn, r.position) for r in out] == [(t, t) for t in range(280)]
+
+
+def brute_threads(data):
+    """Parents and reply order by loops over messages and a walk down the tree."""
+    norm = lambda s: " ".join(re.split(r"[ \t\n\r\x0b\f]+", s.strip(" \t"))).lower()  # noqa: E731  the tests' letters are ASCII
+    msgs = {}
+    for c, t, text in data:
+        if (c, t) not in msgs or text < msgs[c, t]:
+            msgs[c, t] = text
+    own, quoted = {}, {}
+    for key, text in msgs.items():
+        lines = []
+        for x in text.split("\n"):
+            m = re.match(r"((?:[ \t]*>)*)(.*)", x)
+            if norm(m[2]):
+                lines.append((m[1].count(">"), norm(m[2])))
+        own[key] = [b for lv, b in lines if lv == 0]
+        groups = [(lv, [b for _, b in g]) for lv, g in itertools.groupby(lines, key=lambda x: x[0])]
+        quoted[key] = [g for g in groups if g[0] > 0]
+    wrote = lambda key, p: any(own[key][i : i + len(p)] == p for i in range(len(own[key])))
+
+    def find(key, p, elsewhere):
+        here = [k for k in sorted(own) if k[0] == key[0] and k[1] < key[1] and wrote(k, p)]
+        there = [k for k in sorted(own) if k[0] != key[0] and wrote(k, p)] if elsewhere else []
+        return (here + there + [None])[0]
+
+    up, counts = {}, {}
+    for key in msgs:
+        hits, n = [], 0
+        for level, p in quoted[key]:
+            to = find(key, p, True)
+            n += len(p) if to else 0
+            hits += [(level, to)] if to else []
+            if not to and len(p) > 1:
+                single = [(level, find(key, [x], False)) for x in p]
+                hits += [s for s in single if s[1]]
+                n += sum(s[1] is not None for s in single)
+        before = [k for k in sorted(msgs) if k[0] == key[0] and k[1] < key[1]]
+        best = max(((-lv, to[0] == key[0], to[1], to[0]) for lv, to in hits), default=None)
+        up[key] = (best[3], best[2]) if best else (before[-1] if before else None)
+        counts[key] = n
+    order = {}
+    for conv in {k[0] for k in msgs}:
+        mine, seen = sorted(k for k in msgs if k[0] == conv), []
+
+        def walk(k):
+            seen.append(k)
+            for c in mine:
+                if up[c] == k:
+                    walk(c)
+
+        for k in mine:
+            if up[k] is None or up[k][0] != conv:
+                walk(k)
+        order |= {k: i for i, k in enumerate(seen)}
+    return {k: (up[k], counts[k], order[k]) for k in msgs}
+
+
+def test_threads_equal_brute_force(spark):
+    rnd = random.Random(5)
+    data, said = [], []
+    for conv in range(12):
+        mine = []
+        for turn in range(rnd.randint(1, 25)):
+            lines = [rnd.choice(["Thanks", "ok  then", f"word{rnd.randint(0, 60)} x", f"Line {conv} {turn} {rnd.randint(0, 3)}"]) for _ in range(rnd.randint(0, 4))]
+            parts = []
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                src = rnd.choice(mine or said or [["nothing known"]])
+                if rnd.random() < 0.2 and said:
+                    src = rnd.choice(said)
+                if src:
+                    a = rnd.randrange(len(src))
+                    mark = rnd.choice(["> ", "> > ", ">"])
+                    parts += [mark + x.upper() for x in src[a : a + rnd.randint(1, 3)]] + rnd.choice([[], ["> never written"], [""]])
+            mine.append(lines)
+            said.append(lines)
+            data.append((conv, turn * 2, "\n".join(parts + lines)))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in data], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): ((r.reply_conv, r.reply_turn) if r.reply_turn is not None else None, r.n_linked, r.position) for r in quotes.threads(quotes.linked(df)).collect()}
+    want = brute_threads(data)
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and len(got) == len(want)
 
 
 def test_quote_of_a_line_that_the_quoting_conversation_repeats(spark):
     data = [(3, 0, "user", "> same line\nsame line"), (3, 1, "user", "no"), (9, 0, "user", "other"), (9, 4, "user", "same line"), (12, 0, "user", "same line"), (15, 0, "user", "> no\n> only mine\nonly mine")]
     out = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
     assert (out[3, 0].reply_conv, out[3, 0].reply_turn, out[3, 0].n_linked) == (9, 4, 1)
-    assert (out[15, 0].n_quoted, out[15, 0].n_linked, out[15, 0].reply_conv, out[15, 0].reply_turn) == (2, 1, 3, 1)
+    # line by line, a passage reaches its own conversation only
+    assert (out[15, 0].n_quoted, out[15, 0].n_linked, out[15, 0].reply_turn) == (2, 0, None)
