@@ -67,13 +67,25 @@ def interval_overlap_pairs(intervals: DataFrame, width: int) -> DataFrame:
     return p.select("id", "id2", shared.alias("overlap_bp"), ((F.col("start_bp") <= F.col("start2")) & (F.col("end_bp") >= F.col("end2"))).alias("contains"), ((F.col("start2") <= F.col("start_bp")) & (F.col("end2") >= F.col("end_bp"))).alias("inside"))
 
 
-def source_overlap_counts(intervals: DataFrame, width: int) -> DataFrame:
-    """Per source: intervals that overlap some of each other source, of all others, or of none (bounds included)."""
-    met = overlaps(intervals, intervals, width, strict=False).where("source <> source2").select("id", "source2").distinct()
-    per = intervals.select("id", "source").join(met.groupBy("id").agg(F.collect_set("source2").alias("met")), "id", "left")
+def source_overlap_counts(intervals: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """Per source: intervals that overlap some of each other source, of all others, or of none (bounds included).
+
+    No pairs are made: an interval meets a source if, of that source's intervals
+    that begin by its end, the furthest end is not before its start.
+    """
+    starts = intervals.groupBy("chrom", "source", F.col("start_bp").alias("pos_bp")).agg(F.max("end_bp").alias("reach")).withColumn("probe", F.lit(False))
+    ends = intervals.select("chrom", F.col("end_bp").alias("pos_bp")).distinct().join(intervals.select("chrom", "source").distinct(), "chrom")
+    rows = starts.unionByName(ends.withColumn("probe", F.lit(True)), allowMissingColumns=True).withColumn("run", F.floor(F.col("pos_bp") / run))
+    inner = W.partitionBy("chrom", "source", "run").orderBy("pos_bp", "probe").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("near", F.max("reach").over(inner))
+    before = rows.groupBy("chrom", "source", "run").agg(F.max("reach").alias("top"))
+    before = before.select("chrom", "source", "run", F.max("top").over(W.partitionBy("chrom", "source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)).alias("top"))
+    found = rows.where("probe").join(before, ["chrom", "source", "run"]).withColumn("reach", F.greatest("near", "top")).where("reach is not null")
+    found = found.groupBy("chrom", F.col("pos_bp").alias("end_bp")).agg(F.collect_list(F.struct("source", "reach")).alias("met"))
+    met = F.filter("met", lambda m: (m["source"] != F.col("source")) & (m["reach"] >= F.col("start_bp")))
+    per = intervals.join(found, ["chrom", "end_bp"], "left").select("source", F.coalesce(F.size(met), F.lit(0)).alias("k"))
     others = intervals.select("source").distinct().count() - 1
-    size = F.coalesce(F.size("met"), F.lit(0))
-    return per.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("met").isNull()).alias("n_none"), F.count_if(size == others).alias("n_all"))
+    return per.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 0).alias("n_none"), F.count_if(F.col("k") == others).alias("n_all"))
 
 
 def boundary_scan_range(candidates: DataFrame, radius: float, chrom_len: int) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import aggregates as A
@@ -17,28 +15,12 @@ from .operators import ordered as O
 from .operators import sets as S
 from .functions.tails import chi_square_tail
 from .plans import regimes
-from .views import Views, with_views
+from .registry import QUERIES, SQL, query
+from .views import Views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 _HOUR, _DAY = 3600, 64
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to nine digits: sums over shuffles differ in the last ones."""
-    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(Views(spark, sf_dir)))
-        if sql:
-            SQL[f.__name__] = with_views(sql)
-        return f
-
-    return put
-
-
 def _mod_groups(df: DataFrame) -> DataFrame:
     return df.select("sample_id", (F.col("sample_id") % 3).cast("int").alias("grp")).distinct()
 
@@ -124,18 +106,16 @@ def sv_anchors_in_zone(v: Views) -> DataFrame:
     return J.points_in(_zones(v), v.points, _HOUR).groupBy("id", "chrom").agg(F.count("*").alias("n"))
 
 
-_FEW = ", i as (select * from intervals where end_bp - start_bp <= 20)"
-
-
-@query(_FEW + " select a.id, b.id as id2, least(a.end_bp, b.end_bp) - greatest(a.start_bp, b.start_bp) as overlap_bp, a.start_bp <= b.start_bp and a.end_bp >= b.end_bp as contains, b.start_bp <= a.start_bp and b.end_bp >= a.end_bp as inside from i a join i b on a.id < b.id and a.chrom = b.chrom and a.start_bp < b.end_bp and b.start_bp < a.end_bp")
+@query(", i as (select i.*, o_custkey as owner from intervals i join orders on id = o_orderkey) select a.id, b.id as id2, least(a.end_bp, b.end_bp) - greatest(a.start_bp, b.start_bp) as overlap_bp, a.start_bp <= b.start_bp and a.end_bp >= b.end_bp as contains, b.start_bp <= a.start_bp and b.end_bp >= a.end_bp as inside from i a join i b on a.id < b.id and a.owner = b.owner and a.start_bp < b.end_bp and b.start_bp < a.end_bp")
 def interval_overlap_pairs(v: Views) -> DataFrame:
-    """Pairs of short intervals (at most 20 days): the pairs grow with the density of intervals."""
-    return J.interval_overlap_pairs(v.intervals.where("end_bp - start_bp <= 20"), 16)
+    """Pairs of one owner's intervals, which is what the pairs are asked for."""
+    owner = v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("chrom"))
+    return J.interval_overlap_pairs(v.intervals.drop("chrom").join(owner, "id"), 64)
 
 
-@query(_FEW + ", m as (select a.id, count(distinct b.source) as k from i a join i b on a.source <> b.source and a.chrom = b.chrom and a.start_bp <= b.end_bp and b.start_bp <= a.end_bp group by 1) select source, count(*) as n, count(*) filter (k is null) as n_none, count(*) filter (k = (select count(distinct source) - 1 from i)) as n_all from i left join m using (id) group by 1")
+@query(", i as (select * from intervals), m as (select a.id, count(distinct b.source) as k from i a join (select distinct chrom, source, start_bp, end_bp from i) b on a.source <> b.source and a.chrom = b.chrom and a.start_bp <= b.end_bp and b.start_bp <= a.end_bp group by 1) select source, count(*) as n, count(*) filter (k is null) as n_none, count(*) filter (k = (select count(distinct source) - 1 from i)) as n_all from i left join m using (id) group by 1")
 def source_overlap_counts(v: Views) -> DataFrame:
-    return J.source_overlap_counts(v.intervals.where("end_bp - start_bp <= 20"), 16)
+    return J.source_overlap_counts(v.intervals)
 
 
 @query("select id, greatest(0.0, least(2500.0, start_bp - case when end_bp - start_bp > 100 then greatest(50.0, (end_bp - start_bp) / 2.0) else 50.0 end)) as scan_start, greatest(0.0, least(2500.0, end_bp + case when end_bp - start_bp > 100 then greatest(50.0, (end_bp - start_bp) / 2.0) else 50.0 end)) as scan_end from intervals")
@@ -480,13 +460,10 @@ def ld_decay(v: Views) -> DataFrame:
     return M.ld_decay(M.pairwise_ld(M.dosage_standardize(v.dosage), 20000), 10, 20000)
 
 
-_NEAR_IDS = ", d as (select *, sample_id // 20 as fam from dosage)"
-
-
-@query(_NEAR_IDS + " select a.fam as fam, a.sample_id as s1, b.sample_id as s2, round(corr(a.dosage, b.dosage), 9) as r, round(avg(abs(a.dosage - b.dosage)), 9) as mean_abs, round(sqrt(sum(pow(a.dosage - b.dosage, 2))), 9) as euclid, count(*) as n from d a join d b on a.fam = b.fam and a.marker = b.marker and a.sample_id < b.sample_id group by all")
+@query(", d as (select dosage.*, label as fam from dosage join embeddings on vec_id = sample_id) select a.fam as fam, a.sample_id as s1, b.sample_id as s2, round(corr(a.dosage, b.dosage), 9) as r, round(avg(abs(a.dosage - b.dosage)), 9) as mean_abs, round(sqrt(sum(pow(a.dosage - b.dosage, 2))), 9) as euclid, count(*) as n from d a join d b on a.fam = b.fam and a.marker = b.marker and a.sample_id < b.sample_id group by all")
 def sample_similarity(v: Views) -> DataFrame:
-    """Also pairwise_distance; families of 20 samples bound the pairs."""
-    return M.sample_pairs(v.dosage.withColumn("fam", F.floor(F.col("sample_id") / 20)), "fam")
+    """Also pairwise_distance; pairs within a label."""
+    return M.sample_pairs(v.dosage.join(v.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("fam")), "sample_id"), "fam")
 
 
 @query(", c as (select label, arg_min(embedding, vec_id) as centre from embeddings group by 1) select e.vec_id, round(1 - list_cosine_similarity(e.embedding::double[], c.centre::double[]), 9) as distance from embeddings e join c using (label)")
@@ -645,3 +622,6 @@ def weight_by_support(v: Views) -> DataFrame:
 def chi_square_test(v: Views) -> DataFrame:
     s = A.contingency_scores(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"])
     return s.select("w", "chi2", "df", chi_square_tail(F.col("chi2"), F.col("df")).alias("p"))
+
+
+from . import queries_bands, queries_loci  # noqa: E402, F401  they register more
