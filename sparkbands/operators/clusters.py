@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import permutations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def align_labels(table: DataFrame, by: list, classes: int = 3) -> DataFrame:
     """Best relabelling of b onto a for each table (columns a, b, n): the largest diagonal, the first permutation on ties."""
@@ -18,16 +19,14 @@ def align_labels(table: DataFrame, by: list, classes: int = 3) -> DataFrame:
     total = table.groupBy(*by).agg(F.sum("n").alias("t"))
     d = table.join(F.broadcast(lookup), ["a", "b"]).groupBy(*by, "perm").agg(F.sum("n").alias("diag"))
     best = d.groupBy(*by).agg(F.max(F.struct("diag", (-F.col("perm")).alias("minus"))).alias("m"))
-    return best.join(total, by).select(*by, (-F.col("m.minus")).alias("perm"), F.col("m.diag").alias("diagonal"), (F.col("m.diag") / F.col("t")).alias("concordance"))
-
+    return best.join(total, by).select(*by, (-F.col("m.minus")).alias("perm"), F.col("m.diag").alias("diagonal"), F.col("t").alias("n"), (F.col("m.diag") / F.col("t")).alias("concordance"))
 
-def chains(alignment: DataFrame, least: float = 0.50) -> DataFrame:
-    """Chain number of each window: a new one where the concordance with the window before is below the limit."""
-    from pyspark.sql import Window as W
 
-    by = W.orderBy("w")  # one row per window of a chromosome
+def chains(alignment: DataFrame, least: float = 0.50, keys: tuple = ()) -> DataFrame:
+    """Chain number of each window: a new one where the concordance with the window before is below the limit; ``keys`` name the chromosome."""
+    by = W.partitionBy(*keys).orderBy("w")  # one row per window of a chromosome
     cut = alignment.withColumn("cut", (F.col("concordance") < least).cast("int"))
-    return cut.select("w", F.sum("cut").over(by).alias("chain"), "concordance")
+    return cut.select(*keys, "w", F.sum("cut").over(by).alias("chain"), "concordance")
 
 
 def band_reach(labels: DataFrame, narrow: int = 2) -> DataFrame:
@@ -35,27 +34,32 @@ def band_reach(labels: DataFrame, narrow: int = 2) -> DataFrame:
     return reach.groupBy("reach").agg(F.count("*").alias("n_samples")).withColumn("narrow", F.col("reach") <= narrow)
 
 
-def kmeans_1d(track: DataFrame, k: int = 3, rounds: int = 12) -> DataFrame:
-    """Labels 0 .. k-1 by centre within each window; seeds are the quantiles at (i + 0.5) / k.
+def kmeans_1d(track: DataFrame, k: int = 3, rounds: int = 12, by: str = "w") -> DataFrame:
+    """Labels 0 .. k-1 by centre within each window (or other key); seeds are the quantiles at (i + 0.5) / k, ties go to the lower centre.
 
-    A window's values are one group: as many as there are samples.
+    Values are written once; a round is one aggregate, and only the centres, k
+    numbers a window, come to the driver, so a window of any size is spread.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame["value"].to_numpy(float)
-        order = np.sort(v)
-        centres = order[np.minimum(((np.arange(k) + 0.5) / k * len(v)).astype(int), len(v) - 1)]
-        label = np.zeros(len(v), int)
-        for _ in range(rounds):
-            label = np.abs(v[:, None] - centres).argmin(1)
-            new = np.array([v[label == c].mean() if (label == c).any() else centres[c] for c in range(k)])
-            if (new == centres).all():
-                break
-            centres = new
-        rank = np.argsort(np.argsort(centres, kind="stable"), kind="stable")
-        return pd.DataFrame({"w": frame["w"], "sample_id": frame["sample_id"], "k": rank[label].astype(np.int32), "value": v})
-
-    return track.where("value is not null").groupBy("w").applyInPandas(run, "w int, sample_id long, k int, value double")
+    rows = stored(track.where("value is not null").select(by, "sample_id", "value"))
+    names = [f"c{i}" for i in range(k)]
+    seeds = rows.groupBy(by).agg(*(F.expr(f"percentile_disc({(i + 0.5) / k}) within group (order by value)").alias(c) for i, c in enumerate(names)))
+    centres = {r[by]: list(r)[1:] for r in seeds.select(by, *names).collect()}
+    kind = dict(rows.dtypes)[by]
+    off = F.array(*(F.abs(F.col("value") - F.col(c)) for c in names))
+    near = (F.array_position(off, F.array_min(off)) - 1).cast("int")
+
+    def labelled() -> DataFrame:
+        table = rows.sparkSession.createDataFrame([(w, *c) for w, c in centres.items()], f"{by} {kind}, " + ", ".join(f"{c} double" for c in names))
+        return rows.join(table, by).withColumn("j", near)
+
+    for _ in range(rounds):
+        found = labelled().groupBy(by).agg(*(F.avg(F.when(F.col("j") == i, F.col("value"))).alias(c) for i, c in enumerate(names))).collect()
+        new = {r[by]: [m if m is not None else old for m, old in zip((r[c] for c in names), centres[r[by]])] for r in found}
+        if new == centres:
+            break
+        centres = new
+    rank = sum((F.when((F.col(c) < F.get(F.array(*names), "j")) | ((F.col(c) == F.get(F.array(*names), "j")) & (F.lit(i) < F.col("j"))), 1).otherwise(0) for i, c in enumerate(names)), F.lit(0))
+    return labelled().select(by, "sample_id", rank.cast("int").alias("k"), "value")
 
 
 def silhouette_1d(rows: DataFrame) -> DataFrame:
@@ -64,8 +68,6 @@ def silhouette_1d(rows: DataFrame) -> DataFrame:
     The sum of |x - y| over a band is rank-weighted: with the number and the sum
     of values below x in each band, it needs no pair table.
     """
-    from pyspark.sql import Window as W
-
     band = rows.groupBy("w", "k").agg(F.count("*").alias("m"), F.sum("value").alias("s"))
     x = rows.select("w", "sample_id", "k", "value").join(band.withColumnsRenamed({"k": "kb"}), "w")
     below = W.partitionBy("w", "kb").orderBy("value", "sample_id").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -66,19 +66,18 @@ def signatures(track: DataFrame, groups: DataFrame) -> DataFrame:
     return m.groupBy("w").agg(F.concat_ws(">", F.transform(s, lambda x: x["grp"].cast("string"))).alias("signature"))
 
 
-def adjacent_transition_rate(labels: DataFrame, hot: float = 0.30, least: int = 5) -> DataFrame:
-    """Share of samples that change their label from a window to the next."""
-    after = labels.select((F.col("w") - 1).alias("w"), "sample_id", F.col("k").alias("next"))
-    t = labels.join(after, ["w", "sample_id"]).groupBy("w").agg(F.count("*").alias("n"), F.avg((F.col("k") != F.col("next")).cast("double")).alias("rate"))
-    return t.where(F.col("n") >= least).withColumn("hotspot", F.col("rate") >= hot)
+def adjacent_transition_rate(alignment: DataFrame, hot: float = 0.30, least: int = 5, keys: tuple = ()) -> DataFrame:
+    """Share of samples whose label differs from a window to the next once the two are aligned."""
+    t = alignment.where(F.col("n") >= least).select(*keys, "w", "n", (1 - F.col("concordance")).alias("rate"))
+    return t.withColumn("hotspot", F.col("rate") >= hot)
 
 
-def merge_runs(verdicts: DataFrame) -> DataFrame:
-    """Neighbouring windows chained over MERGE verdicts: (start, end, length)."""
-    by = W.orderBy("w")  # one row per pair of windows of one chromosome
+def merge_runs(verdicts: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Neighbouring windows of a chromosome (``keys``) chained over MERGE verdicts: (start, end, length)."""
+    by = W.partitionBy(*keys).orderBy("w")  # one row per pair of windows of one chromosome
     v = verdicts.withColumn("cut", (F.col("verdict") != "MERGE").cast("int")).withColumn("run", F.sum("cut").over(by))
-    merged = v.where("verdict = 'MERGE'").groupBy("run").agg(F.min("w").alias("start"), (F.max("w") + 1).alias("end"))
-    return merged.select("start", "end", (F.col("end") - F.col("start") + 1).alias("length"))
+    merged = v.where("verdict = 'MERGE'").groupBy(*keys, "run").agg(F.min("w").alias("start"), (F.max("w") + 1).alias("end"))
+    return merged.select(*keys, "start", "end", (F.col("end") - F.col("start") + 1).alias("length"))
 
 
 def outliers(windows: DataFrame, z: float = 2.0, share: float = 0.01) -> DataFrame:
@@ -97,12 +96,12 @@ def entropy_regimes(labels: DataFrame, classes: int = 3) -> DataFrame:
     return h.withColumn("regime", F.when(F.col("n") < 3, "sparse").when(F.col("entropy") <= 0.40, "co_seg").when(F.col("entropy") >= 0.85, "fanned").otherwise("partial"))
 
 
-def spread_runs(track: DataFrame, factor: float = 1.1, least: int = 1) -> DataFrame:
-    """Runs of windows whose spread over samples is above ``factor`` times the lower quartile of all spreads."""
-    sd = track.groupBy("w").agg(F.stddev_samp("value").alias("sd"))
+def spread_runs(track: DataFrame, factor: float = 1.1, least: int = 1, keys: tuple = ()) -> DataFrame:
+    """Runs of windows of a chromosome (``keys``) whose spread over samples is above ``factor`` times the lower quartile of all spreads."""
+    sd = track.groupBy(*keys, "w").agg(F.stddev_samp("value").alias("sd"))
     cut = sd.agg(F.expr("percentile(sd, 0.25)")).first()[0]
-    wide = sd.where(F.col("sd") > factor * (cut or 0.0)).withColumn("run", F.col("w") - F.row_number().over(W.orderBy("w")))
-    return wide.groupBy("run").agg(F.min("w").alias("start"), F.max("w").alias("end"), F.count("*").alias("length")).where(F.col("length") >= least).drop("run")
+    wide = sd.where(F.col("sd") > factor * (cut or 0.0)).withColumn("run", F.col("w") - F.row_number().over(W.partitionBy(*keys).orderBy("w")))
+    return wide.groupBy(*keys, "run").agg(F.min("w").alias("start"), F.max("w").alias("end"), F.count("*").alias("length")).where(F.col("length") >= least).drop("run")
 
 
 def top_markers(variances: DataFrame, n: int) -> DataFrame:

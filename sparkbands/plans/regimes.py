@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clusters, columns, ordered
+from ..operators import aggregates, clusters, columns
+from ..storage import stored
 
 
 def regime_table(track: DataFrame) -> DataFrame:
-    """One row per window: bands, silhouette, association with the next window, chain and class."""
-    bands = clusters.kmeans_1d(track)
-    labels = bands.select("w", "sample_id", "k")
-    pairs = aggregates.label_pairs(labels)
-    table = aggregates.contingency_table(pairs, ["w"])
+    """One row per window: bands, silhouette, association with the next window, chain and class.
+
+    Bands are worked out and written once; all that follows reads them.
+    """
+    bands = stored(clusters.kmeans_1d(track))
+    table = stored(aggregates.contingency_table(aggregates.label_pairs(bands.select("w", "sample_id", "k")), ["w"]))
     scores = aggregates.contingency_scores(table, ["w"]).select("w", "v", "ari")
-    chain = clusters.chains(clusters.align_labels(table, ["w"])).select("w", "chain", "concordance")
-    quality = clusters.silhouette_1d(bands)
-    rate = ordered.adjacent_transition_rate(labels).select("w", "rate")
-    out = quality.join(scores, "w", "left").join(chain, "w", "left").join(rate, "w", "left")
+    aligned = clusters.align_labels(table, ["w"])
+    chain = clusters.chains(aligned).join(aligned.select("w", (1 - F.col("concordance")).alias("rate")), "w")
+    out = clusters.silhouette_1d(bands).join(scores, "w", "left").join(chain, "w", "left")
     return out.withColumn("class", columns.classify_window(F.col("silhouette"), F.col("v"), F.lit(None).cast("double")))

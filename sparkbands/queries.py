@@ -370,11 +370,6 @@ def regime_ids_first_seen(v: Views) -> DataFrame:
     return O.first_seen_ids(O.signatures(v.track, _mod_groups(v.track)))
 
 
-@query(_PAIRS + " select w, count(*) as n, round(avg((a <> b)::int), 9) as rate, avg((a <> b)::int) >= 0.30 as hotspot from pr group by 1 having count(*) >= 5")
-def adjacent_transition_rate(v: Views) -> DataFrame:
-    return O.adjacent_transition_rate(v.labels)
-
-
 @query(_PAIRS + ", c as (select w, avg((a = b)::int) >= 0.33 as ok from pr group by 1), s as (select *, sum((not ok)::int) over (order by w) as run from c) select min(w) as start, max(w) + 1 as end, max(w) - min(w) + 2 as length from s where ok group by run")
 def merge_runs_from_verdicts(v: Views) -> DataFrame:
     return O.merge_runs(A.restricted_concordance(A.label_pairs(v.labels), ["w"], 0.33))
@@ -502,7 +497,7 @@ _PERM = ", pm(perm, p) as (values (0, [0, 1, 2]), (1, [0, 2, 1]), (2, [1, 0, 2])
 
 @query(_PAIRS + _PERM + " select w, perm, diagonal, round(concordance, 9) as concordance from al")
 def align_labels(v: Views) -> DataFrame:
-    return C.align_labels(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"])
+    return C.align_labels(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"]).drop("n")
 
 
 @query(_PAIRS + _PERM + " select w, sum((concordance < 0.50)::int) over (order by w)::bigint as chain, round(concordance, 9) as concordance from al")
@@ -523,12 +518,39 @@ def silhouette(v: Views) -> DataFrame:
     return C.silhouette_1d(v.per_window)
 
 
-@query()
+@query(_PAIRS + _PERM + ", t as (select w, sum(n)::bigint as n from ct group by 1) select w, n, round(1 - concordance, 9) as rate, 1 - concordance >= 0.30 as hotspot from al join t using (w) where n >= 5")
+def adjacent_transition_rate(v: Views) -> DataFrame:
+    return O.adjacent_transition_rate(C.align_labels(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"]))
+
+
+def kmeans_sql(source: str, by: str = "w", rounds: int = 12) -> str:
+    """``bands``: three clusters of each key's values, by as many rounds as the operator takes at most."""
+    seeds = ", ".join(f"quantile_disc(value, {(i + 0.5) / 3}) as c{i}" for i in range(3))
+    near = "case when abs(value - c0) <= abs(value - c1) and abs(value - c0) <= abs(value - c2) then 0 when abs(value - c1) <= abs(value - c2) then 1 else 2 end"
+    out = f", k0 as (select {by}, {seeds} from {source} where value is not null group by {by})"
+    for r in range(1, rounds + 1):
+        mean = ", ".join(f"coalesce(avg(value) filter (j = {i}), any_value(c{i})) as c{i}" for i in range(3))
+        out += f", k{r} as (select {by}, {mean} from (select x.{by}, value, c0, c1, c2, {near} as j from {source} x join k{r - 1} y on x.{by} = y.{by} where value is not null) group by {by})"
+    rank = "case j when 0 then (c1 < c0)::int + (c2 < c0)::int when 1 then (c0 <= c1)::int + (c2 < c1)::int else (c0 <= c2)::int + (c1 <= c2)::int end"
+    return out + f", bands as (select {by}, sample_id, {rank} as k, value from (select x.{by}, sample_id, value, c0, c1, c2, {near} as j from {source} x join k{rounds} y on x.{by} = y.{by} where value is not null))"
+
+
+@query(kmeans_sql("per_window") + " select w, sample_id, k, round(value, 9) as value from bands")
 def kmeans_1d(v: Views) -> DataFrame:
     return C.kmeans_1d(v.track)
 
 
-@query()
+_ON_BANDS = kmeans_sql("per_window") + (_PAIRS + _SCORES + _PERM + _SIL).replace("per_window", "bands")
+
+
+@query(
+    _ON_BANDS
+    + """, si as (select w, avg(case when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end) as silhouette, count(*) as n from ab where a is not null and b is not null group by 1),
+ch as (select w, sum((concordance < 0.50)::int) over (order by w)::bigint as chain, concordance from al)
+select w, round(silhouette, 9) as silhouette, si.n, round(v, 9) as v, round(ari, 9) as ari, chain, round(concordance, 9) as concordance, round(1 - concordance, 9) as rate,
+ case when silhouette < 0.40 or v is null then 'UNRELIABLE' when v >= 0.70 then 'INTERIOR' when v < 0.40 then 'REGIME_END' else 'CROSSOVER' end as class
+from si left join sc using (w) left join ch using (w)"""
+)
 def regime_pipeline(v: Views) -> DataFrame:
     return regimes.regime_table(v.track)
 
