@@ -379,11 +379,11 @@ def signed_groups(edges: DataFrame, nodes: DataFrame, least: float = 0.70) -> Da
 
 
 def set_pairs(members: DataFrame, keys: list) -> DataFrame:
-    """(id1, id2, both, n1, n2) of sets (id, sample_id) within ``keys`` that share a sample."""
+    """(id1, id2, n_both, n1, n2) of sets (id, sample_id) within ``keys`` that share a sample."""
     size = members.groupBy("id").agg(F.count("*").alias("n"))
     right = members.select(*keys, "sample_id", F.col("id").alias("id2"))
-    p = members.withColumnRenamed("id", "id1").join(right, [*keys, "sample_id"]).where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("both"))
-    return p.join(size.withColumnsRenamed({"id": "id1", "n": "n1"}), "id1").join(size.withColumnsRenamed({"id": "id2", "n": "n2"}), "id2").withColumn("jaccard", F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")))
+    p = members.withColumnRenamed("id", "id1").join(right, [*keys, "sample_id"]).where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("n_both"))
+    return p.join(size.withColumnsRenamed({"id": "id1", "n": "n1"}), "id1").join(size.withColumnsRenamed({"id": "id2", "n": "n2"}), "id2").withColumn("jaccard", F.col("n_both") / (F.col("n1") + F.col("n2") - F.col("n_both")))
 
 
 def refine_regimes(members: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def cross_chrom_links(members: DataFrame, chroms: DataFrame, least: int = 5, jac
     """Sets of different chromosomes that share ``least`` samples and reach the Jaccard."""
     p = set_pairs(members, [])
     p = p.join(chroms.withColumnsRenamed({"id": "id1", "chrom": "chrom1"}), "id1").join(chroms.withColumnsRenamed({"id": "id2", "chrom": "chrom2"}), "id2")
-    return p.where((F.col("chrom1") != F.col("chrom2")) & (F.col("both") >= least) & (F.col("jaccard") >= jaccard)).select("id1", "id2", "both", "jaccard")
+    return p.where((F.col("chrom1") != F.col("chrom2")) & (F.col("n_both") >= least) & (F.col("jaccard") >= jaccard)).select("id1", "id2", "n_both", "jaccard")
 
 
 def interval_relations(pairs: DataFrame, gap: int = 500_000, least: float = 0.5) -> DataFrame:

@@ -117,4 +117,4 @@ SQL_VIEWS = {
 
 def with_views(sql: str) -> str:
     """A query, or more expressions and a query (beginning with a comma), after the tables."""
-    return "with " + ",\n".join(f"{k} as ({v})" for k, v in SQL_VIEWS.items()) + "\n" + sql
+    return ("with recursive " if "union select" in sql else "with ") + ",\n".join(f"{k} as ({v})" for k, v in SQL_VIEWS.items()) + "\n" + sql
