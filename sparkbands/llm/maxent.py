@@ -1,22 +1,27 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-The ``words`` most frequent training tokens are the model's words, in
-``classes`` classes made from the words they stand next to; all other tokens
-form one class more, in which a token has its smoothed share.  The class of a
-token depends on the token before (model words by name, others by a hash to
-``hashed`` buckets) and, as a skip feature, on the class of the one before
-that; a word in its class depends on the classes of both.  Counts of features
-and histories are taken over all training texts.  Gradient updates run as Spark
-jobs over the histories: each task adds up what the model expects, and the
-difference to what was seen moves the weights.
-
-Every history's normaliser is a cell of a small table, so a batch is scored by
+The most frequent training tokens are the model's words, ``2 * sqrt(distinct
+tokens)`` of them, in classes made from the words they stand next to, as many as
+the root of that number; all other tokens form one class more, in which a token
+has its smoothed share.  The class of a token depends on the token before (words
+by name, others by a hash) and, as a skip feature, on the class of the one
+before that.  A word in its class depends on the class of the token before and
+on that token itself: each pair of a token and a word has a weight in a hashed
+table of ``64 * words`` buckets or more.  Words, classes and buckets so grow
+with the corpus, as do the counts of all tokens.
+
+Counts of features and histories are taken over all training texts.  Gradient
+updates run as Spark jobs over the histories: each task adds up what the model
+expects, and the difference to what was seen moves the weights.  The normaliser
+of every history is a cell of a small table, so a batch is scored by sparse
 lookups.  Counts of the ``head`` most frequent tokens are broadcast (a bound of
 16 bytes each), those of all other tokens are joined by hash.
 
 Tokens are words, A-Z lower-cased, and one end for each text; a null text is
-empty.  Repeated rows are scored, and learnt from, each for itself.  Without
-training texts every count is 0.  Extra columns are ignored.
+empty and a very long one is read whole.  Repeated rows are scored, and learnt
+from, each for itself; tokens of one frequency rank by hash.  Without training
+texts every count is 0, and without documents there are no rows.  Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, written
-from .text import batches, tokens
+from .text import batches, mix, tokens
 
 _END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -90,25 +95,36 @@ class Vocabulary:
     of_class: np.ndarray  # class of each
     classes: int
     hashed: int
+    bits: int  # of the table of pair weights
 
     @property
     def features(self) -> int:
         return len(self.keys) + self.hashed + 1
 
+    @property
+    def class_of_feature(self) -> np.ndarray:
+        """Class of the token before by its feature; the last feature is the start of a text."""
+        return np.concatenate([self.of_class, np.full(self.hashed, self.classes), [self.classes + 1]]).astype(np.int64)
+
+    def bucket(self, f1: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of a token before and a word among the pair weights."""
+        pair = f1.astype(np.uint64) * np.uint64(max(len(self.keys), 1)) + word.astype(np.uint64)
+        return (mix(pair + np.uint64(1)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def read(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Word (-1: other), class, feature of the token before, its class, class of the one before that."""
+        """Word (-1: other), class, feature of the token before, class of the one before that."""
         word = _find(self.keys, h)
         cls = np.where(word >= 0, self.of_class[word], self.classes) if len(self.keys) else np.full(len(h), self.classes)
         name = np.where(word >= 0, word, len(self.keys) + (h % np.uint64(self.hashed)).astype(np.int64))
         start = self.classes + 1
-        f1, c1, c2 = np.empty_like(name), np.empty_like(cls), np.empty_like(cls)
-        f1[1:], c1[1:] = name[:-1], cls[:-1]
+        f1, c2 = np.empty_like(name), np.empty_like(cls)
+        f1[1:] = name[:-1]
         c2[2:] = cls[:-2]
         begin = first[:-1]
-        f1[begin], c1[begin], c2[begin] = self.features - 1, start, start
+        f1[begin], c2[begin] = self.features - 1, start
         second = begin[np.diff(first) > 1] + 1
         c2[second] = start
-        return word, cls, f1, c1, c2
+        return word, cls, f1, c2
 
 
 @dataclass
@@ -116,30 +132,48 @@ class Model:
     vocabulary: Vocabulary
     a: np.ndarray  # (features, classes + 1) class weights of the token before
     s: np.ndarray  # (classes + 2, classes + 1) of the skipped token's class; holds the bias
-    b: np.ndarray  # (classes + 2, words)
-    t: np.ndarray  # (classes + 2, words)
+    b: np.ndarray  # (classes + 2, words) of the class of the token before
+    u: np.ndarray  # (buckets,) of pairs of the token before and a word
     z: np.ndarray | None = None
     zw: np.ndarray | None = None
 
+    def logits(self, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features f1, words): weights of all words after each, and their buckets."""
+        v = self.vocabulary
+        bucket = v.bucket(np.repeat(f1, len(v.keys)), np.tile(np.arange(len(v.keys)), len(f1))).reshape(len(f1), -1)
+        return self.b[v.class_of_feature[f1]] + self.u[bucket], bucket
+
+    def shares(self, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(f1, words): each word's share of its class after f1, the buckets, and (f1, classes) log normalisers."""
+        v = self.vocabulary
+        x, bucket = self.logits(f1)
+        order = np.argsort(v.of_class, kind="stable")
+        first = np.searchsorted(v.of_class[order], np.arange(v.classes))
+        full = np.diff(np.append(first, len(order))) > 0
+        z = np.full((len(f1), v.classes), -np.inf)
+        top = x.max(1, keepdims=True) if x.shape[1] else np.zeros((len(f1), 1))
+        e = np.exp(x - top)
+        if full.any():
+            z[:, full] = np.log(np.add.reduceat(e[:, order], first[full], axis=1)) + top
+        return np.exp(x - z[:, v.of_class]) if len(order) else x, bucket, z
+
     def normalise(self) -> Model:
         """Tables of log normalisers of all histories."""
         v = self.vocabulary
         self.z = np.stack([_logsum(self.a + row) for row in self.s], 1)
-        self.zw = np.full((v.classes + 2, v.classes + 2, v.classes), -np.inf)
-        for c in range(v.classes):
-            own = np.flatnonzero(v.of_class == c)
-            if len(own):
-                for k in range(v.classes + 2):
-                    self.zw[k, :, c] = _logsum(self.b[k, own] + self.t[:, own])
+        step = max(1, (1 << 21) // max(1, len(v.keys)))
+        parts = [self.shares(np.arange(i, min(i + step, v.features)))[2] for i in range(0, v.features, step)]
+        self.zw = np.concatenate(parts)
         return self
 
     def log_probability(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of each token's class and word shares, and whether the token is no word of the model."""
-        word, cls, f1, c1, c2 = self.vocabulary.read(h, first)
+        v = self.vocabulary
+        word, cls, f1, c2 = v.read(h, first)
         out = self.a[f1, cls] + self.s[c2, cls] - self.z[f1, c2]
         own = np.flatnonzero(word >= 0)
-        w, k1, k2 = word[own], c1[own], c2[own]
-        out[own] += self.b[k1, w] + self.t[k2, w] - self.zw[k1, k2, cls[own]]
+        w, f = word[own], f1[own]
+        out[own] += self.b[v.class_of_feature[f], w] + self.u[v.bucket(f, w)] - self.zw[f, cls[own]]
         return out, word < 0
 
 
@@ -148,21 +182,31 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(-1, keepdims=True)))[..., 0]
 
 
-def _cells(train: DataFrame, run, least: int = 0) -> DataFrame:
+def _cells(train: DataFrame, run) -> DataFrame:
     """(kind, cell, n) added up over all training texts; run gives arrays of cells by kind for a batch."""
 
     def collect(frames):
         held: dict = {}
+
+        def merged(parts):
+            key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            found, back = np.unique(key, return_inverse=True)
+            return found, np.bincount(back, n, len(found)).astype(np.int64)
+
+        def out(kind, cell, n):
+            for i in range(0, len(cell), 500_000):
+                yield pd.DataFrame({"kind": np.int32(kind), "cell": cell[i : i + 500_000], "n": n[i : i + 500_000]})
+
         for frame in batches(frames, "text"):
-            for kind, cells, size in run(*with_ends(frame["text"].tolist())):
-                if kind not in held:
-                    held[kind] = np.zeros(size, np.int64)
-                held[kind] += np.bincount(cells, minlength=size)
-        for kind, total in held.items():
-            at = np.flatnonzero(total)
-            for i in range(0, len(at), 500_000):
-                some = at[i : i + 500_000]
-                yield pd.DataFrame({"kind": np.int32(kind), "cell": some, "n": total[some]})
+            for kind, cells in run(*with_ends(frame["text"].tolist())):
+                parts = held.setdefault(kind, [])
+                parts.append(np.unique(cells, return_counts=True))
+                if sum(len(p[0]) for p in parts) > 2_000_000:
+                    held[kind] = [merged(parts)]
+                    if len(held[kind][0][0]) > 1_000_000:
+                        yield from out(kind, *held.pop(kind)[0])
+        for kind, parts in held.items():
+            yield from out(kind, *merged(parts))
 
     return train.select("text").mapInPandas(collect, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
 
@@ -184,7 +228,7 @@ def word_classes(train: DataFrame, keys: np.ndarray, counts: np.ndarray, classes
         x, y = word[left], word[left + 1]
         a, b = x >= 0, y >= 0
         cells = np.concatenate([x[a] * width + p[y[a]], y[b] * width + context + 1 + p[x[b]]])
-        return [(0, cells, len(k) * width)]
+        return [(0, cells)]
 
     table = np.zeros(len(keys) * 2 * (context + 1))
     cells = _cells(train, run).select("cell", "n").toPandas()  # at most words * 194 rows
@@ -201,93 +245,115 @@ def word_classes(train: DataFrame, keys: np.ndarray, counts: np.ndarray, classes
     return near
 
 
-def fit(train: DataFrame, counts: DataFrame, words: int = 2048, classes: int = 32, hashed: int = 1024, rounds: int = 8) -> Model:
+def fit(train: DataFrame, counts: DataFrame, distinct: int, words: int | None = None, classes: int | None = None, hashed: int | None = None, rounds: int = 10) -> Model:
+    """The model of all training texts; sizes that are not given follow the number of distinct tokens."""
     spark = train.sparkSession
+    words = words or max(64, 2 * int(np.sqrt(distinct)))
+    classes, hashed = classes or max(4, int(np.sqrt(words))), hashed or max(16, words // 2)
+    bits = max(12, int(64 * words - 1).bit_length())
     top = counts.orderBy(F.desc("c"), "hash").limit(words).toPandas()
     order = np.argsort(top["hash"].to_numpy(np.int64).view(np.uint64))
     keys, c = top["hash"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.int64)[order]
     if not len(keys):
-        v = Vocabulary(keys, np.empty(0, np.int64), classes, hashed)
-        return Model(v, np.zeros((v.features, classes + 1)), np.zeros((classes + 2, classes + 1)), np.zeros((classes + 2, 0)), np.zeros((classes + 2, 0))).normalise()
-    v = Vocabulary(keys, word_classes(train, keys, c, min(classes, len(keys))), classes, hashed)
+        v = Vocabulary(keys, np.empty(0, np.int64), classes, hashed, bits)
+        return Model(v, np.zeros((v.features, classes + 1)), np.zeros((classes + 2, classes + 1)), np.zeros((classes + 2, 0)), np.zeros(1 << bits)).normalise()
+    v = Vocabulary(keys, word_classes(train, keys, c, min(classes, len(keys))), classes, hashed, bits)
     sent = spark.sparkContext.broadcast(v)
-    k, h = classes + 2, classes + 1
+    k, h, w = classes + 2, classes + 1, len(keys)
 
     def run(hash_, first):
-        v = sent.value
-        word, cls, f1, c1, c2 = v.read(hash_, first)
+        word, cls, f1, c2 = sent.value.read(hash_, first)
         own = word >= 0
-        w = word[own]
-        history = (c1[own] * k + c2[own]) * classes + cls[own]
         return [
-            (0, f1 * h + cls, v.features * h),  # seen: feature and class
-            (1, c2 * h + cls, k * h),
-            (2, c1[own] * len(v.keys) + w, k * len(v.keys)),  # seen: class before and word
-            (3, c2[own] * len(v.keys) + w, k * len(v.keys)),
-            (4, f1 * k + c2, v.features * k),  # histories of classes
-            (5, history, k * k * classes),  # histories of words
+            (0, f1 * h + cls),  # seen: token before and class
+            (1, c2 * h + cls),  # seen: skipped token's class and class
+            (2, f1[own] * w + word[own]),  # seen: token before and word
+            (3, f1 * k + c2),  # histories of classes
         ]
 
     cells = written(_cells(train, run), "maxent-cells")
-    shape = {0: (v.features, h), 1: (k, h), 2: (k, len(keys)), 3: (k, len(keys))}
-    seen = {kind: np.zeros(s[0] * s[1]) for kind, s in shape.items()}
-    part = cells.where("kind < 4").toPandas()  # bounded by the model's size, not by the corpus
-    for kind, group in part.groupby("kind"):
-        seen[kind][group["cell"].to_numpy()] = group["n"].to_numpy()
-    seen = {kind: x.reshape(shape[kind]) for kind, x in seen.items()}
-    histories = written(cells.where("kind >= 4").repartition(8), "maxent-histories")
+    shape = {"a": (v.features, h), "s": (k, h), "b": (k, w), "u": (1 << bits,)}
+    seen = _seen(cells, v, shape)
+    histories = cells.where("kind = 3 or kind = 0").withColumn("f1", F.floor(F.col("cell") / F.when(F.col("kind") == 3, k).otherwise(h)))
+    histories = written(histories.repartition(8, F.floor(F.col("f1") / 16)).sortWithinPartitions("kind", "cell"), "maxent-histories")
     # start: shares of classes after a feature, drawn to those of all tokens, and shares of words in their classes
-    all_of = (seen[1].sum(0) + 0.5) / (seen[1].sum() + 0.5 * h)
-    a = np.log((seen[0] + 20 * all_of) / (seen[0].sum(1, keepdims=True) + 20) / all_of)
-    s = np.tile(np.log(all_of), (k, 1))
-    b = np.tile(np.log(c + 0.5), (k, 1))
-    model = Model(v, a, s, b, np.zeros((k, len(keys))))
+    all_of = (seen["s"].sum(0) + 0.5) / (seen["s"].sum() + 0.5 * h)
+    a = np.log((seen["a"] + 20 * all_of) / (seen["a"].sum(1, keepdims=True) + 20) / all_of)
+    model = Model(v, a, np.tile(np.log(all_of), (k, 1)), np.tile(np.log(c + 0.5), (k, 1)), np.zeros(1 << bits))
     for _ in range(rounds):
         want = _expected(histories, model, shape)
-        for kind, x in zip(range(4), (model.a, model.s, model.b, model.t)):
-            # a step of at most 1 along the gradient, scaled by what is expected; the constant holds rare features near their start
-            x += 0.5 * np.clip((seen[kind] - want[kind]) / (want[kind] + 5.0), -1, 1)
+        for name in shape:
+            # a step of at most a half along the gradient, scaled by what is expected; the constant holds rare features near their start
+            weights = getattr(model, name)
+            weights += 0.5 * np.clip((seen[name] - want[name]) / (want[name] + 5.0), -1, 1)
     return model.normalise()
 
 
+def _total(rows: DataFrame, run, shape: dict) -> dict:
+    """Sums of the arrays of the model's size that the tasks give."""
+    out = {name: np.zeros(s) for name, s in shape.items()}
+
+    def packed(frames):
+        total = {name: np.zeros(s) for name, s in shape.items()}
+        run(frames, total)
+        yield pd.DataFrame({"name": list(total), "sums": [x.astype(np.float32).tobytes() for x in total.values()]})
+
+    for r in rows.mapInPandas(packed, "name string, sums binary").toLocalIterator():  # one task's arrays at a time
+        out[r.name] += np.frombuffer(r.sums, np.float32).reshape(shape[r.name])
+    return out
+
+
+def _seen(cells: DataFrame, v: Vocabulary, shape: dict) -> dict:
+    """How often each feature was seen."""
+    sent, k, h, w = cells.sparkSession.sparkContext.broadcast(v), v.classes + 2, v.classes + 1, len(v.keys)
+
+    def run(frames, total):
+        for f in frames:
+            for kind, part in f.groupby("kind"):
+                cell, n = part["cell"].to_numpy(), part["n"].to_numpy(float)
+                if kind in (0, 1):
+                    np.add.at(total["as"[kind]], np.divmod(cell, h), n)
+                elif kind == 2:
+                    f1, word = np.divmod(cell, w)
+                    np.add.at(total["b"], (sent.value.class_of_feature[f1], word), n)
+                    total["u"] += np.bincount(sent.value.bucket(f1, word), n, len(total["u"]))
+
+    return _total(cells.where("kind < 3").coalesce(8), run, shape)
+
+
 def _expected(histories: DataFrame, model: Model, shape: dict) -> dict:
     """What the model expects of each feature over all histories, added up by the tasks."""
     sent = histories.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
+    def run(frames, total):
         m = sent.value
         v = m.vocabulary
-        k = v.classes + 2
-        total = {kind: np.zeros(s) for kind, s in shape.items()}
-        members = [np.flatnonzero(v.of_class == c) for c in range(v.classes)]
+        k, h, before = v.classes + 2, v.classes + 1, v.class_of_feature
         for f in frames:
-            g = f[f["kind"] == 4]
+            g = f[f["kind"] == 3]
             cell, n = g["cell"].to_numpy(), g["n"].to_numpy(float)
             for i in range(0, len(cell), 8192):
                 f1, c2 = np.divmod(cell[i : i + 8192], k)
                 x = m.a[f1] + m.s[c2]
                 p = np.exp(x - _logsum(x)[:, None]) * n[i : i + 8192, None]
-                _add(total[0], f1, p)
-                _add(total[1], c2, p)
-            g = f[f["kind"] == 5]
-            cell, n = g["cell"].to_numpy(), g["n"].to_numpy(float)
-            for c in range(v.classes):
-                some = cell % v.classes == c
-                if some.any() and len(members[c]):
-                    c1, c2 = np.divmod(cell[some] // v.classes, k)
-                    x = m.b[c1][:, members[c]] + m.t[c2][:, members[c]]
-                    p = np.exp(x - _logsum(x)[:, None]) * n[some, None]
-                    block = np.zeros((k, len(members[c])))
-                    _add(block, c1, p)
-                    total[2][:, members[c]] += block
-                    block = np.zeros((k, len(members[c])))
-                    _add(block, c2, p)
-                    total[3][:, members[c]] += block
-        yield pd.DataFrame({"kind": list(total), "sums": [x.tobytes() for x in total.values()]})
-
-    out = {kind: np.zeros(s) for kind, s in shape.items()}
-    for r in histories.mapInPandas(run, "kind int, sums binary").collect():  # eight tasks of the model's size
-        out[r.kind] += np.frombuffer(r.sums).reshape(shape[r.kind])
+                _add(total["a"], f1, p)
+                _add(total["s"], c2, p)
+            g = f[(f["kind"] == 0) & (f["cell"] % h < v.classes)]
+            f1, cls = np.divmod(g["cell"].to_numpy(), h)
+            n = g["n"].to_numpy(float)
+            some = np.unique(f1)
+            step = max(1, (1 << 20) // max(1, len(v.keys)))
+            for i in range(0, len(some), step):
+                part = some[i : i + step]
+                here = (f1 >= part[0]) & (f1 <= part[-1])
+                times = np.zeros((len(part), v.classes))
+                np.add.at(times, (np.searchsorted(part, f1[here]), cls[here]), n[here])
+                p, bucket, _ = m.shares(part)
+                p *= times[:, v.of_class]
+                _add(total["b"], before[part], p)
+                total["u"] += np.bincount(bucket.ravel(), p.ravel(), len(total["u"]))
+
+    out = _total(histories, run, shape)
     sent.unpersist()
     return out
 
@@ -308,7 +374,8 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1, head: int = 1 << 1
     train = docs.where("not held_out")
     counts = written(count_tokens(train), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = fit(train, counts, **options)
+    model = fit(train, counts, v, **options)
+    head = max(head, len(model.vocabulary.keys))
     top = counts.orderBy(F.desc("c"), "hash").limit(head).toPandas()
     hk = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hk)

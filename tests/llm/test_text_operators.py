@@ -188,20 +188,41 @@ def test_maxent_base_is_exact_and_tail_is_joined(awkward, nothing):
         t = [*words(r.text), None]
         want[(r.doc_id, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 4))] += 1
     for head in (1 << 18, 100):
-        got = maxent.score(awkward, head=head, words=64, classes=4, rounds=3).collect()
+        got = maxent.score(awkward, head=head, words=64, classes=4, rounds=2).collect()
         assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
         assert all(r.score < 0 for r in got)
     assert maxent.score(nothing).count() == 0
 
 
-def test_maxent_shares_add_up_to_one():
-    rng = np.random.default_rng(2)
-    v = maxent.Vocabulary(np.arange(1, 11, dtype=np.uint64), np.array([0, 1, 2, 0, 1, 2, 0, 1, 2, 0]), 3, 4)
-    m = maxent.Model(v, *(rng.normal(size=s) for s in ((v.features, 4), (5, 4), (5, 10), (5, 10)))).normalise()
+def total_share(model, history):
+    """Sum of the shares of all words and of the class of other tokens after a history."""
     total = 0.0
-    for h in [*range(1, 11), 99]:
-        total += math.exp(m.log_probability(np.array([3, 50, h], np.uint64), np.array([0, 3]))[0][2])
-    assert abs(total - 1) < 1e-9
+    for h in [*model.vocabulary.keys.tolist(), 2**63 + 99]:
+        tokens_ = np.array([*history, h], np.uint64)
+        total += math.exp(model.log_probability(tokens_, np.array([0, len(tokens_)]))[0][-1])
+    return total
+
+
+def test_maxent_shares_add_up_to_one(spark, awkward):
+    rng = np.random.default_rng(2)
+    v = maxent.Vocabulary(np.arange(1, 11, dtype=np.uint64), np.array([0, 1, 2, 0, 1, 2, 0, 1, 2, 0]), 3, 4, 5)
+    m = maxent.Model(v, *(rng.normal(size=s) for s in ((v.features, 4), (5, 4), (5, 10), (32,)))).normalise()
+    for history in ([3, 50], [50, 3], [], [7]):
+        assert abs(total_share(m, history) - 1) < 1e-9
+    counts = maxent.count_tokens(awkward)
+    fitted = maxent.fit(awkward, counts, counts.count(), words=40, classes=5, rounds=3)
+    some = fitted.vocabulary.keys
+    for history in ([], [some[3]], [some[1], some[2]], [2**62 + 1, some[0]]):
+        assert abs(total_share(fitted, history) - 1) < 1e-9
+
+
+def test_maxent_learns_which_word_follows_which(spark):
+    # b always follows a, c follows others: only a feature of the word before can tell
+    rows = spark.createDataFrame([(i, " ".join(["a b x c y c"] * 5) + " " + "z c " * (i % 3)) for i in range(60)], "doc_id long, text string")
+    got = {n: np.mean([r.score / r.n_tokens for r in maxent.score(rows, words=8, classes=1, hashed=4, rounds=n).collect() if r.held_out]) for n in (0, 12)}
+    assert got[12] > got[0] + 0.1
+    ab, cb = (maxent.score(rows.unionByName(spark.createDataFrame([(1000, t)], "doc_id long, text string")), words=8, classes=1, hashed=4, rounds=12).where("doc_id = 1000").first().score for t in ("a b", "c b"))
+    assert ab > cb + 0.5
 
 
 def labelled(spark):
