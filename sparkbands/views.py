@@ -81,7 +81,7 @@ class Views:
         """Relatedness edges a < b: parts that follow one another in an order, by the larger discount."""
         from pyspark.sql import Window as W
 
-        other = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+        other = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount"))
         p = self.table("lineitem").select(F.col("l_partkey").alias("x"), other.alias("y"), "l_discount").where("y is not null and x <> y")
         return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg((F.max("l_discount") * 3).alias("kinship"))
 
@@ -109,7 +109,7 @@ SQL_VIEWS = {
     "intervals": "select id, o_orderpriority as chrom, o_orderstatus as source, date_diff('day', date '1992-01-01', o_orderdate::date) as start_bp, greatest(date_diff('day', date '1992-01-01', ship::date), date_diff('day', date '1992-01-01', o_orderdate::date)) as end_bp from orders join ship on id = o_orderkey",
     "measures": "select o_orderpriority as test_id, o_orderstatus as grp, o_totalprice as value from orders",
     "calls": "select l_suppkey as candidate_id, l_partkey as sample_id, case arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) when 'A' then 0 when 'N' then 1 else 2 end as k from lineitem group by all",
-    "kin": "select least(x, y) as a, greatest(x, y) as b, max(d) * 3 as kinship from (select l_partkey as x, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as y, l_discount as d from lineitem) where y is not null and x <> y group by all",
+    "kin": "select least(x, y) as a, greatest(x, y) as b, max(d) * 3 as kinship from (select l_partkey as x, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_discount) as y, l_discount as d from lineitem) where y is not null and x <> y group by all",
     "variants": "select l_returnflag as chrom, date_diff('day', date '1992-01-01', l_shipdate::date) * 1000 as pos_bp, l_suppkey as sample_id, ['A', 'C', 'G', 'T'][l_linenumber % 4 + 1] as allele, l_quantity::bigint as reads from lineitem",
     "samples": "select c_custkey as sample_id, c_nationkey as family_id, c_mktsegment as ancestry from customer",
 }
