@@ -1,7 +1,7 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-The most frequent training tokens are the model's words, ``2 * sqrt(distinct
-tokens)`` of them, in classes made from the words they stand next to, as many as
+The most frequent training tokens are the model's words, ``12 * distinct tokens
+** 0.4`` of them, in classes made from the words they stand next to, 0.7 times
 the root of that number; all other tokens form one class more, in which a token
 has its smoothed share.  The class of a token depends on the token before (words
 by name, others by a hash) and, as a skip feature, on the class of the one
@@ -248,8 +248,8 @@ def word_classes(train: DataFrame, keys: np.ndarray, counts: np.ndarray, classes
 def fit(train: DataFrame, counts: DataFrame, distinct: int, words: int | None = None, classes: int | None = None, hashed: int | None = None, rounds: int = 10) -> Model:
     """The model of all training texts; sizes that are not given follow the number of distinct tokens."""
     spark = train.sparkSession
-    words = words or max(64, 2 * int(np.sqrt(distinct)))
-    classes, hashed = classes or max(4, int(np.sqrt(words))), hashed or max(16, words // 2)
+    words = words or max(64, int(12 * distinct**0.4))
+    classes, hashed = classes or max(4, int(0.7 * np.sqrt(words))), hashed or max(16, words // 2)
     bits = max(12, int(64 * words - 1).bit_length())
     top = counts.orderBy(F.desc("c"), "hash").limit(words).toPandas()
     order = np.argsort(top["hash"].to_numpy(np.int64).view(np.uint64))
