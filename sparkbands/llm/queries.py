@@ -41,8 +41,8 @@ def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = rans.new_folder(spark)
-    table = rans.write_files(read_documents(spark, sf_dir), word_bpe_path(), folder)
-    return rans.read_files(spark, folder, table).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rans.write_files(read_documents(spark, sf_dir), word_bpe_path(), folder)
+    return rans.read_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

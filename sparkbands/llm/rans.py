@@ -6,10 +6,15 @@ doc_id and is coded by itself, in interleaved lanes of 64-bit states that give
 out 32-bit words.  It carries the document ids and lengths, the states and word
 offset at every checkpoint, from which decoding can begin, a checksum of its
 bytes and one of the table.  A file is a row of (part, block, payload) in a
-Parquet folder, so Spark's writers place it, and a lost task is written again.
-
-Null and empty texts give the end id alone.  Null ids come first; rows that
-share an id follow by length and checksum.  Extra columns are ignored.
+Parquet folder, so Spark's writers place it, and a lost task is written again;
+the table is a row beside them, so a folder is read without anything else.
+Blocks are decoded side by side, and a stretch of ids from the checkpoints
+before it.
+
+Null and empty texts give the end id alone; a document longer than a block is
+one block.  Null ids come first; rows that share an id follow by length and
+checksum, so ties that are left are equal rows.  An empty table gives files of
+no rows.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -120,6 +125,14 @@ def unpack(raw: bytes, table: Table, parts: slice | None = None) -> tuple[list,
     return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, np.concatenate(ids) if ids else np.empty(0, np.int32)
 
 
+def run_edges(raw: bytes) -> np.ndarray:
+    """Position in a block of the first id of each run between checkpoints, and the end."""
+    _, _, docs, n, lanes, _, marks = _HEAD.unpack_from(raw)
+    at = _HEAD.size + 13 * docs
+    steps = [struct.unpack_from("<I", raw, at + k * (8 + 8 * lanes))[0] for k in range(marks)]
+    return np.array([*(t * lanes for t in steps), n])
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """(doc_id, n, ids, crc): 16-bit ids of each whole text with the end id after them."""
 
@@ -132,8 +145,11 @@ def token_ids(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     return map_texts(docs, run, "n long, ids binary, crc long")
 
 
-def write_files(docs: DataFrame, path: str, folder: str, block: int = 1 << 18, partitions: int | None = None) -> Table:
-    """Encode documents and write their ids to ``folder`` in ascending order of doc_id; returns the shared table."""
+def write_files(docs: DataFrame, path: str, folder: str, block: int = 1 << 18, partitions: int | None = None) -> None:
+    """Encode documents and write their ids and the shared table to ``folder``, ids in ascending order of doc_id.
+
+    Without ``partitions`` there are as many as hold about eight blocks each.
+    """
     spark = docs.sparkSession
     size = codec(path).name_at.size - 1
     rows = written(token_ids(docs, path), "token-ids")
@@ -152,6 +168,8 @@ def write_files(docs: DataFrame, path: str, folder: str, block: int = 1 << 18, p
     for r in rows.select("ids").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     table = Table(frequencies(counts))
+    row = [(bytearray(table.freq.astype("<u4").tobytes()),)]
+    spark.createDataFrame(row, "frequencies binary").coalesce(1).write.parquet(f"{folder}/table")  # four bytes an id of the vocabulary
     sent = spark.sparkContext.broadcast(table)
 
     def pack_all(frames):
@@ -173,23 +191,31 @@ def write_files(docs: DataFrame, path: str, folder: str, block: int = 1 << 18, p
         if docs_:
             yield out()
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, -(-int(counts.sum()) // (8 * block)))
     dealt = rows.repartitionByRange(n, "doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc")
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
-    dealt.mapInPandas(pack_all, "part int, block int, n long, payload binary").write.option("compression", "uncompressed").parquet(folder)
-    return table
+    dealt.mapInPandas(pack_all, "part int, block int, n long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
-def read_files(spark, folder: str, table: Table) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files."""
-    blocks = spark.read.parquet(folder)
+def read_table(spark, folder: str) -> Table:
+    return Table(np.frombuffer(bytes(spark.read.parquet(f"{folder}/table").first()[0]), "<u4").astype(np.int64))
+
+
+def placed_blocks(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks (part, block, n, payload), and (part, block, base): the ids before each."""
+    blocks = spark.read.parquet(f"{folder}/blocks")
     sizes = written(blocks.select("part", "block", "n"), "block-sizes")
     # sums over blocks inside a part, then over parts: a few numbers for each
     parts = sizes.groupBy("part").agg(F.sum("n").alias("m"))
     parts = parts.select("part", (F.sum("m").over(W.orderBy("part")) - F.col("m")).alias("base"))
     sizes = sizes.withColumn("inside", F.sum("n").over(W.partitionBy("part").orderBy("block")) - F.col("n")).join(parts, "part")
-    sizes = sizes.select("part", "block", (F.col("base") + F.col("inside")).alias("base"))
-    sent = spark.sparkContext.broadcast(table)
+    return blocks, sizes.select("part", "block", (F.col("base") + F.col("inside")).alias("base"))
+
+
+def read_files(spark, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files."""
+    blocks, sizes = placed_blocks(spark, folder)
+    sent = spark.sparkContext.broadcast(read_table(spark, folder))
 
     def run(frames):
         for f in frames:
@@ -205,6 +231,24 @@ def read_files(spark, folder: str, table: Table) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
+def read_range(spark, folder: str, first: int, last: int) -> DataFrame:
+    """(start, ids): the ids at positions ``first`` up to ``last``, a row for each block that holds some; only runs between checkpoints that reach them are decoded."""
+    blocks, sizes = placed_blocks(spark, folder)
+    sent = spark.sparkContext.broadcast(read_table(spark, folder))
+
+    def run(frames):
+        for f in frames:
+            for base, n, raw in zip(f["base"], f["n"], f["payload"]):
+                a, b = max(first - base, 0), min(last - base, n)
+                edges = run_edges(raw)
+                i, j = np.searchsorted(edges, a, "right") - 1, np.searchsorted(edges, b)
+                ids = unpack(raw, sent.value, slice(i, j))[2][a - edges[i] : b - edges[i]]
+                yield pd.DataFrame({"start": [base + a], "ids": [ids.astype("<u4").tobytes()]})
+
+    rows = blocks.join(sizes, ["part", "block"]).where((F.col("base") < last) & (F.col("base") + F.col("n") > first))
+    return rows.select("base", "n", "payload").mapInPandas(run, "start long, ids binary")
+
+
 def new_folder(spark) -> str:
     import uuid
 
