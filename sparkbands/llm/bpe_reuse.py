@@ -7,13 +7,15 @@ space, so a core has the same ids wherever it stands.  Cores that occur more
 than once in the corpus are counted over all documents, and each is encoded
 once, in a job of its own; the table of their ids is broadcast under a stated
 bound (``reuse_cores`` cores of at most ``_CORE_MOST`` bytes).  Cores beyond
-the bound are encoded where they stand, with the same ids.  The joins between
-cores, a word that the cut divides, are repaired by encoding the text from the
-last safe point before the cut to the first after it: there the ids agree with
-those of the whole text.
-
-Null and empty texts have no ids and decode to the empty string.  Repeated rows
-give repeated rows; extra columns are ignored.
+the bound are encoded where they stand, with the same ids.  The join of two
+cores, a word that the cut divides, is encoded anew, and again with one more
+word on either side: if the wider ids are not the narrower ones between those of
+the two words, the join is widened to both cores, and so on until they agree.
+
+Null and empty texts have no ids and decode to the empty string.  Very long
+texts are read whole, one at a time.  Repeated rows give repeated rows, equal
+texts equal ids; an empty table gives no rows.  Columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -65,6 +67,48 @@ def pieces(texts: list, mask: int) -> tuple[bytes, np.ndarray, np.ndarray, np.nd
     return raw, bounds, core, np.searchsorted(bounds, edges)
 
 
+def repaired(raw: bytes, bounds: np.ndarray, core: np.ndarray, first: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces whose joins agree: a join that reads otherwise with a word more on either side takes in the pieces beside it."""
+    safe = None
+    checked = np.zeros(0, np.int64)
+    while True:
+        seam = np.flatnonzero(~core)
+        seam = seam[(bounds[seam + 1] > bounds[seam]) & ~np.isin(bounds[seam], checked)]
+        if not len(seam):
+            return bounds, core, first
+        if safe is None:
+            space = _SPACE[np.frombuffer(raw, np.uint8)]
+            safe = np.union1d(np.flatnonzero(space[1:] & ~space[:-1]) + 1, bounds)
+        edges = bounds[first]  # a join does not look into another text
+        text = np.searchsorted(edges, bounds[seam], "right") - 1
+        a, b = bounds[seam], bounds[seam + 1]
+        before = np.maximum(safe[np.maximum(np.searchsorted(safe, a) - 1, 0)], edges[text])
+        after = np.minimum(safe[np.minimum(np.searchsorted(safe, b, "right"), len(safe) - 1)], edges[text + 1])
+        spans = [raw[x:y] for group in ((before, after), (before, a), (a, b), (b, after)) for x, y in zip(group[0].tolist(), group[1].tolist())]
+        ids, at = encode(spans)
+        n = len(seam)
+        wide, narrow = at[n] - at[0], at[4 * n] - at[n]
+        size = np.diff(at).reshape(4, n)
+        bad = size[0] != size[1:].sum(0)
+        if not bad.any() and wide == narrow:
+            # ids of the three parts, join by join, against those of the wider text
+            order = np.argsort(np.concatenate([np.repeat(np.arange(n) * 3 + k, size[k + 1]) for k in range(3)]), kind="stable")
+            differs = ids[at[n] : at[4 * n]][order] != ids[at[0] : at[n]]
+            bad[np.repeat(np.arange(n), size[0])[differs]] = True
+        checked = np.union1d(checked, bounds[seam[~bad]])
+        if not bad.any():
+            return bounds, core, first
+        drop = np.unique(np.concatenate([bounds[seam[bad]], bounds[seam[bad] + 1]]))
+        drop = drop[~np.isin(drop, edges)]
+        if not len(drop):
+            checked = np.union1d(checked, bounds[seam[bad]])  # the join is its whole text
+            continue
+        keep = ~np.isin(bounds, drop)
+        joined_ = np.add.reduceat((~core).astype(int), np.flatnonzero(keep[:-1])) > 0
+        bounds, core = bounds[keep], ~joined_
+        first = np.searchsorted(bounds, edges)
+
+
 def core_key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
@@ -115,6 +159,7 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = 512, reuse_cores: int
         ready = {k: np.frombuffer(v, np.uint16) for k, v in table.value.items()}
         for frame in batches(frames, "text", 2 << 20):
             raw, bounds, core, first = pieces(frame["text"].tolist(), mask)
+            bounds, core, first = repaired(raw, bounds, core, first, codec(path).encode)
             known = [ready.get(k) if k else None for k in _keys(raw, bounds, core)]
             rest = [raw[a:b] for a, b, x in zip(bounds[:-1].tolist(), bounds[1:].tolist(), known) if x is None]
             ids, at = codec(path).encode(rest)

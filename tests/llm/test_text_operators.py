@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -46,34 +47,68 @@ def test_bpe_equals_the_library(awkward, chunk):
     assert sorted((repr((r.doc_id, r.ids, r.decoded)) for r in again)) == sorted(repr((r.doc_id, r.ids, r.decoded)) for r in out)
 
 
+def test_joins_widen_until_they_agree():
+    """An encoder that merges across words forces joins to take in their neighbours."""
+    rnd = random.Random(6)
+    say = lambda words_, n: " ".join(rnd.choices(words_, k=n))
+    texts = [say(["aa", "bb", "cc", "dd", "ee", "ff"], 300), "", None, say(["ii", "jj", "kk"], 300)]
+
+    def encode(parts):
+        # one id for a part's every run of whole text after "dd": what follows it cannot be encoded alone
+        ids = []
+        for p in parts:
+            raw = p if isinstance(p, bytes) else (p or "").encode()
+            words_ = raw.split()
+            cut = words_.index(b"dd") if b"dd" in words_ else len(words_)
+            ids.append([hash(w) % 1000 for w in words_[:cut]] + ([hash(tuple(words_[cut:])) % 1000] if cut < len(words_) else []))
+        return np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)])
+
+    raw, bounds, core, first = bpe_reuse.pieces(texts, 15)
+    bounds, core, first = bpe_reuse.repaired(raw, bounds, core, first, encode)
+    got = [raw[bounds[a] : bounds[b]].rstrip() for a, b in zip(first, first[1:])]
+    assert got == [(t or "").encode().rstrip() for t in texts]
+    per_text = [[raw[x:y] for x, y in zip(bounds[a:b], bounds[a + 1 : b + 1])] for a, b in zip(first, first[1:])]
+    assert len(per_text[3]) > 1  # joins that agree stay where they are
+    raw2, b2, c2, f2 = bpe_reuse.pieces(texts, 15)
+    again = bpe_reuse.repaired(raw2, b2, c2, f2, lambda p: encode([x.replace(b"dd", b"xx") for x in p]))
+    assert np.array_equal(again[0], b2) and np.array_equal(again[1], c2) and len(b2) > len(bounds)
+
+
 def test_bpe_and_files_of_nothing(spark, nothing):
     assert bpe_reuse.encode(nothing, word_bpe_path()).count() == 0
     folder = rans.new_folder(spark)
-    table = rans.write_files(nothing, word_bpe_path(), folder)
-    assert rans.read_files(spark, folder, table).count() == 0
+    rans.write_files(nothing, word_bpe_path(), folder)
+    assert rans.read_files(spark, folder).count() == 0
 
 
 def test_files_round_trip_in_order(spark, awkward):
     want, _ = library(awkward.collect())
     folder = rans.new_folder(spark)
-    table = rans.write_files(awkward, word_bpe_path(), folder, block=500, partitions=3)
-    got = sorted(rans.read_files(spark, folder, table).collect(), key=lambda r: r.start)
+    rans.write_files(awkward, word_bpe_path(), folder, block=500, partitions=3)
+    got = sorted(rans.read_files(spark, folder).collect(), key=lambda r: r.start)
     assert sorted((r.doc_id is None, r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == sorted((d is None, d or 0, [*ids, 1]) for d, ids in want)
     keys = [(r.doc_id is not None, r.doc_id or 0) for r in got]
     assert keys == sorted(keys)
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in got)
+    every = np.concatenate([np.frombuffer(r.ids, "<u4") for r in got])
+    for first, last in ((0, 10), (700, 90_001), (len(every) - 3, len(every) + 50)):
+        part = sorted(rans.read_range(spark, folder, first, last).collect(), key=lambda r: r.start)
+        assert part[0].start == first and (np.concatenate([np.frombuffer(r.ids, "<u4") for r in part]) == every[first:last]).all()
 
 
 def test_block_decodes_from_checkpoints_and_sees_damage():
     rng = np.random.default_rng(1)
-    ids = (rng.zipf(1.3, 60_000) % 3000).astype(np.uint16)
+    ids = (rng.zipf(1.3, 400_000) % 3000).astype(np.uint16)
     table = rans.Table(rans.frequencies(np.bincount(ids, minlength=49408)))
-    raw = rans.pack([1, None], np.array([10, 59_990]), ids, table)
+    raw = rans.pack([1, None], np.array([10, 399_990]), ids, table)
     docs, lengths, back = rans.unpack(raw, table)
-    assert docs == [1, None] and lengths.tolist() == [10, 59_990] and (back == ids).all()
-    body, lanes, n_words, marks = rans.encode_block(ids, table, lanes=64, every=100)
-    assert marks > 3
+    assert docs == [1, None] and lengths.tolist() == [10, 399_990] and (back == ids).all()
+    edges = rans.run_edges(raw)
+    for k in range(len(edges) - 1):
+        assert (rans.unpack(raw, table, slice(k, k + 1))[2] == ids[edges[k] : edges[k + 1]]).all()
+    small = rans.pack([7], np.array([len(ids)]), ids, table)
+    assert len(edges) == len(rans.run_edges(small)) and edges[-1] == len(ids)
     with pytest.raises(ValueError):
         rans.unpack(raw[:-9] + b"x" + raw[-8:], table)
 
