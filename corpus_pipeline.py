@@ -2,9 +2,13 @@
 
 A filtering stage keeps the rows that its operator accepts, with the columns of
 the documents.  Decisions are made for each row by itself: rows without an id, or
-with one that others have too, are told apart.  The mix repeats a document once for each whole pass that takes
-it, and once more if the last pass takes at least half of its words.  The last
-stage returns (doc_id, n_tokens, ids_sha256), one row for each row of the mix.
+with one that others have too, are told apart.  Null texts are empty: the classifiers give them the
+score of a text that says nothing, the mix leaves them out, as it does texts
+without words.  The mix repeats a document once for each whole pass that takes
+it, and once more if the last pass takes at least half of its words; each file
+it writes holds its rows in the order of the schedule.  Equal rows are near
+duplicates like others, so one of them stays.  An empty table gives an empty
+table, columns beyond those of the documents are dropped.  The last stage returns (doc_id, n_tokens, ids_sha256), one row for each row of the mix.
 """
 
 from __future__ import annotations
@@ -72,9 +76,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _keyed(docs)
     taken = mixing.mix(docs, keep=("mark", "row"))
     times = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size") + 0.5).otherwise(0)).cast("int")
-    many = written(taken.select("row", times.alias("times")).where("times > 0"), "times")
-    rows = docs.join(many, "row")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    many = written(taken.select("row", times.alias("times"), "first_slot").where("times > 0"), "times")
+    rows = docs.join(many, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    return rows.sortWithinPartitions("copy", "first_slot").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
