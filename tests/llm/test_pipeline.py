@@ -57,3 +57,13 @@ def test_run_equals_brute_force(spark, tmp_path):
     ids = [(r[0], t.encode(r[1], add_special_tokens=False).ids) for r in first.values() if r[1]]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == Counter((d, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for d, x in ids)
+
+
+def test_run_of_nothing_and_of_extra_columns(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256"]
+    docs = spark.createDataFrame([(1, "some words", None, None, None, 0.5, 1)], SCHEMA + ", score double, row long")
+    assert corpus_pipeline.mixed(spark, docs, "").columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 1
