@@ -115,10 +115,28 @@ def band_fingerprint(table: DataFrame, by: list, classes: int) -> DataFrame:
     return h.select(*by, "a", (-F.col("m.minus_b")).alias("mode"), "entropy", (1 - F.col("entropy") / F.log(F.lit(float(classes)))).alias("concentration"))
 
 
-def candidate_pairs(calls: DataFrame, least: int = 20) -> DataFrame:
-    """Labels of the samples that two candidates share; pairs meet on the sample."""
-    right = calls.select(F.col("candidate_id").alias("c2"), "sample_id", F.col("k").alias("b"))
-    return calls.select(F.col("candidate_id").alias("c1"), "sample_id", F.col("k").alias("a")).join(right, "sample_id").where("c1 < c2")
+def candidate_scores(calls: DataFrame, classes: int = 3) -> DataFrame:
+    """n, chi-square, df and Cramer's V of each pair of candidates that share a sample.
+
+    Pairs meet on the sample and are counted into the cells of one row for each
+    pair, before the shuffle as far as they meet in a task; the scores are sums
+    over those cells.
+    """
+    known = calls.where(F.col("k").between(0, classes - 1))
+    right = known.select(F.col("candidate_id").alias("c2"), "sample_id", F.col("k").alias("b"))
+    pairs = known.select(F.col("candidate_id").alias("c1"), "sample_id", F.col("k").alias("a")).join(right, "sample_id").where("c1 < c2")
+    every = [(i, j) for i in range(classes) for j in range(classes)]
+    cells = pairs.groupBy("c1", "c2").agg(*(F.count_if((F.col("a") == i) & (F.col("b") == j)).alias(f"n{i}{j}") for i, j in every))
+    add = lambda xs: sum(xs[1:], xs[0])
+    row = [add([F.col(f"n{i}{j}") for j in range(classes)]) for i in range(classes)]
+    col = [add([F.col(f"n{i}{j}") for i in range(classes)]) for j in range(classes)]
+    t = cells.withColumns({**{f"r{i}": x for i, x in enumerate(row)}, **{f"s{j}": x for j, x in enumerate(col)}, "n": add(row)})
+    q = add([F.when(F.col(f"n{i}{j}") > 0, F.col(f"n{i}{j}") * F.col(f"n{i}{j}") / (F.col(f"r{i}") * F.col(f"s{j}"))).otherwise(0.0) for i, j in every])
+    there = lambda s: add([(F.col(f"{s}{i}") > 0).cast("int") for i in range(classes)])
+    t = t.withColumns({"q": q, "rows": there("r"), "cols": there("s")})
+    chi2, least = F.col("n") * (F.col("q") - 1), F.least("rows", "cols") - 1
+    v = F.when(F.col("n") < 2, None).when(least < 1, 0.0).otherwise(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), chi2 / (F.col("n") * least)))))
+    return t.select("c1", "c2", "n", chi2.alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("df"), v.alias("v"))
 
 
 def co_occurrence_strength(scores: DataFrame, least: int = 20) -> DataFrame:

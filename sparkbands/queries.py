@@ -206,8 +206,7 @@ _CAND = ", pr as (select (a.candidate_id * 100000 + b.candidate_id) as w, a.samp
 @query(_CAND + _SCORES + " select w // 100000 as c1, w % 100000 as c2, n, round(chi2, 9) as chi2, df, round(v, 9) as v, case when n < 20 then 'insufficient_data' when df >= 1 and chi2 > [3.841458821, 5.991464547, 7.814727903, 9.487729037][greatest(1, least(df, 4))] and v >= 0.5 then 'strong' when df >= 1 and chi2 > [3.841458821, 5.991464547, 7.814727903, 9.487729037][greatest(1, least(df, 4))] and v >= 0.2 then 'weak' else 'independent' end as strength from sc")
 def co_occurrence_strength(v: Views) -> DataFrame:
     """Also the V of cross_candidate_matrix with non-empty denominators."""
-    t = A.contingency_table(A.candidate_pairs(v.calls), ["c1", "c2"])
-    s = A.co_occurrence_strength(A.contingency_scores(t, ["c1", "c2"]))
+    s = A.co_occurrence_strength(A.candidate_scores(v.calls))
     return s.select("c1", "c2", "n", "chi2", "df", "v", "strength")
 
 
