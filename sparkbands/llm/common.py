@@ -57,3 +57,16 @@ def map_texts(docs: DataFrame, run, schema: str) -> DataFrame:
     """docs(doc_id, text) through mapInPandas; ids travel as text, so null ids and large ones stay what they are."""
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, f"doc_id string, {schema}")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str], words: int = 1 << 20) -> DataFrame:
+    """Adds ``maybe``: false only for rows whose keys are not in ``wanted``, true for all others and a few more.
+
+    The keys' hashes set bits in at most ``words`` numbers of 64 bits, a table
+    of bounded size that is broadcast.  So rows with long texts that are not
+    wanted, or those that are not to be left out, need no shuffle.
+    """
+    at = lambda: F.pmod(F.xxhash64(*keys), F.lit(words * 64))
+    bits = wanted.select(at().alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    rows = rows.withColumn("bit", at()).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(bits), "word", "left")
+    return rows.withColumn("maybe", F.coalesce(F.expr("bit_get(bits, cast(bit % 64 as int))") == 1, F.lit(False))).drop("bit", "word", "bits")

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_in, written
 from .graph import components
 from .text import batches, joined, mix, tokens
 
@@ -197,7 +197,10 @@ def confirmed(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 ok = [i for i, s in enumerate(sets) if len(s) and set_id(s) == (part["h1"].iat[i], part["h2"].iat[i])]
                 yield pd.DataFrame({"node": [part["node"].iat[i] for i in ok], "shingles": [sets[i].tobytes() for i in ok]})
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    owners = written(owners, "owners")
+    wanted = owners.select(F.col("own").alias("doc_id"), "text_hash")
+    texts = maybe_in(texts, wanted, ["doc_id", "text_hash"]).where("maybe").alias("d")
     same = (F.col("d.text_hash") == F.col("o.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("o.own"))
     texts = texts.join(owners.alias("o"), same).select("node", "h1", "h2", "text")
     sets = written(texts.mapInPandas(full, "node long, shingles binary").dropDuplicates(["node"]), "sets")

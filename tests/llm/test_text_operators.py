@@ -14,7 +14,7 @@ pytest.importorskip("tokenizers")
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkbands.llm import bpe_reuse, maxent, mixing, near_dup, quality, rans, toxicity
+from sparkbands.llm import bpe_reuse, common, maxent, mixing, near_dup, quality, rans, toxicity
 from sparkbands.llm.queries import word_bpe_path
 from sparkbands.llm.text import tokens
 
@@ -152,6 +152,15 @@ def test_near_duplicates_equal_brute_force(spark, awkward, monkeypatch, small, b
     assert len(got) == len(rows) + 12
 
 
+def test_maybe_in_misses_no_key(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(None, "t")], "doc_id long, text string")
+    wanted = rows.where("doc_id % 7 = 0 or doc_id is null")
+    for words_, most in ((1, 501), (1 << 20, 80)):
+        got = {r.doc_id for r in common.maybe_in(rows, wanted, ["doc_id", "text"], words_).where("maybe").collect()}
+        assert got >= {None, *range(0, 500, 7)} and len(got) <= most
+    assert common.maybe_in(rows, wanted.limit(0), ["doc_id"]).where("maybe").count() == 0
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_dup.link(nothing).count() == 0
 
