@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbands.llm import bpe_reuse, mixing, near_dup, quality, toxicity
-from sparkbands.llm.common import shared_folder, written
+from sparkbands.llm.common import maybe_in, shared_folder, written
 from sparkbands.llm.queries import word_bpe_path
 from sparkbands.llm.text import batches
 
@@ -69,7 +69,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(docs.select("row", "doc_id", "mark"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row"))
     keep = written(groups.groupBy("component_id").agg(first.alias("first")).select("first.row"), "kept")
-    return docs.join(keep, "row", "left_semi").select(*COLUMNS)
+    drop = written(groups.select("row").join(keep, "row", "left_anti"), "dropped")
+    # rows that are surely not among those to drop stay where they are
+    docs = maybe_in(docs, drop, ["row"])
+    rest = docs.where("maybe").join(drop, "row", "left_anti")
+    return docs.where("not maybe").unionByName(rest.select(docs.columns)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
