@@ -29,7 +29,10 @@ def catalogue_rows(candidates: DataFrame, text: str, columns: list, equal: dict,
     """Candidates with equal columns as given and the text in one of the columns, sorted."""
     for name, value in equal.items():
         candidates = candidates.where(F.col(name) == value)
-    return sorted_rows(candidates.where(F.lower(F.concat_ws(" ", *columns)).contains(text.lower())), sort, False, "id")
+    hit = F.lit(False)
+    for name in columns:
+        hit |= F.coalesce(F.lower(F.col(name).cast("string")).contains(text.lower()), F.lit(False))
+    return sorted_rows(candidates.where(hit), sort, False, "id")
 
 
 def gini(sizes: Column) -> Column:

@@ -80,10 +80,10 @@ def merge_runs(verdicts: DataFrame, keys: tuple = ()) -> DataFrame:
     return merged.select(*keys, "start", "end", (F.col("end") - F.col("start") + 1).alias("length"))
 
 
-def outliers(windows: DataFrame, z: float = 2.0, share: float = 0.01) -> DataFrame:
-    """Windows with |z| at the limit; where a chromosome has none, its top share (one at least) by |z|."""
+def outliers(windows: DataFrame, z: float = 2.0, share: float = 0.01, mean: str = "lam2") -> DataFrame:
+    """Windows with |z| at the limit; where a chromosome has none, its top share (one at least) by the size of its mean."""
     per = windows.groupBy("chrom").agg(F.count("*").alias("n"), F.count_if(F.abs("z") >= z).alias("hits"))
-    rank = F.row_number().over(W.partitionBy("chrom").orderBy(F.desc(F.abs("z")), "w"))
+    rank = F.row_number().over(W.partitionBy("chrom").orderBy(F.desc(F.abs(mean)), "w"))
     rows = windows.join(per, "chrom").withColumn("r", rank)
     return rows.where(F.when(F.col("hits") > 0, F.abs("z") >= z).otherwise(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))).select("chrom", "w", "z")
 

@@ -231,9 +231,10 @@ ti as (select test_id, sum(t * t * t - t) as ties, sum(t) as n from (select test
 """
 
 
-@query(_RANKS.format("measures") + ", g as (select test_id, grp, sum(rank) as s, count(*) as m from r group by all), h as (select test_id, sum(s * s / m) as q, count(*) as groups from g group by 1) select test_id, n::bigint as n, groups - 1 as df, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 9) as h from h join ti using (test_id)")
+@query(_RANKS.format("measures") + ", g as (select test_id, grp, sum(rank) as s, count(*) as m from r group by all), h as (select test_id, sum(s * s / m) as q, count(*) as groups from g group by 1) select test_id, n::bigint as n, groups - 1 as df, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 9) as h, round(exp(-(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) / 2), 9) as p from h join ti using (test_id) where groups = 3")
 def kruskal_wallis(v: Views) -> DataFrame:
-    return A.kruskal_wallis(v.measures, ["test_id"])
+    k = A.kruskal_wallis(v.measures, ["test_id"])
+    return k.withColumn("p", chi_square_tail(F.col("h"), F.col("df")))
 
 
 _NORMAL = "least(1.0, 2 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) * exp(-x * x / 2) / sqrt(2 * pi()))"
@@ -374,7 +375,7 @@ def merge_runs_from_verdicts(v: Views) -> DataFrame:
     return O.merge_runs(A.restricted_concordance(A.label_pairs(v.labels), ["w"], 0.33))
 
 
-@query(", n as (select *, count(*) over (partition by chrom) as n, count(*) filter (abs(z) >= 2) over (partition by chrom) as hits, row_number() over (partition by chrom order by abs(z) desc, w) as r from windows) select chrom, w, round(z, 9) as z from n where case when hits > 0 then abs(z) >= 2 else r <= greatest(1, floor(n * 0.01)) end")
+@query(", n as (select *, count(*) over (partition by chrom) as n, count(*) filter (abs(z) >= 2) over (partition by chrom) as hits, row_number() over (partition by chrom order by abs(lam2) desc, w) as r from windows) select chrom, w, round(z, 9) as z from n where case when hits > 0 then abs(z) >= 2 else r <= greatest(1, floor(n * 0.01)) end")
 def xpehh_outliers(v: Views) -> DataFrame:
     return O.outliers(v.windows)
 
@@ -590,7 +591,7 @@ def support_matrix_rows(v: Views) -> DataFrame:
     return N.support_matrix(v.calls)
 
 
-@query("select id, chrom, source, start_bp, end_bp from intervals where source = 'F' and contains(lower(chrom), 'urgent')")
+@query("select id, chrom, source, start_bp, end_bp from intervals where source = 'F' and (contains(lower(chrom), 'urgent') or contains(lower(source), 'urgent'))")
 def catalogue_rows_filter_sort(v: Views) -> DataFrame:
     return N.catalogue_rows(v.intervals, "URGENT", ["chrom", "source"], {"source": "F"}, "start_bp").select("id", "chrom", "source", "start_bp", "end_bp")
 
