@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkbands.operators import aggregates, bands, clusters, loci, ordered
+from sparkbands.operators import aggregates, bands, clusters, loci, ordered, planes
 from sparkbands.sources import documents
 
 
@@ -85,3 +85,23 @@ def test_awkward_rows(spark):
     assert {(r.node, r.grp, r.sign) for r in bands.signed_groups(signed, nodes).collect()} == {(1, 1, 1), (2, 1, -1), (3, 1, 1), (4, 4, 1), (9, 9, 1)}
     parts = bands.partitions_of(spark, 4)
     assert parts.select("partition").distinct().count() == 15
+
+
+def test_paths_and_stretches(spark):
+    j = spark.createDataFrame([("c", 0, 1, 2, 1, 0.9), ("c", 1, 2, 1, 0, 0.8), ("c", 2, 3, 0, 0, 0.3), ("c", 1, 0, 1, 2, 0.9)], "chrom string, w1 int, w2 int, a int, b int, jaccard double")
+    seeds = spark.createDataFrame([("c", 7, 1, 1), ("d", 8, 0, 0)], "chrom string, seed int, w int, a int")
+    got = sorted(tuple(r)[1:4] for r in planes.single_band_track(j, seeds).collect())
+    assert got == [(7, 0, 2), (7, 1, 1), (7, 2, 0), (8, 0, 0)]
+    rows = [("c", 1, 0, 10, ["a", "b"]), ("c", 2, 15, 20, ["a", "b", "x"]), ("c", 3, 25, 60, ["q"]), ("c", 4, 500, 600, ["q"])]
+    iv = spark.createDataFrame(rows, "chrom string, id int, start_bp long, end_bp long, core array<string>")
+    got = sorted(tuple(r)[1:] for r in planes.merge_het_intervals(iv, gap=100).collect())
+    assert got == [(0, 20, 2, 3), (25, 60, 1, 1), (500, 600, 1, 1)]
+    w = spark.createDataFrame([("c", i, n) for i, n in enumerate([5, 5, 1, 5, 5])], "chrom string, w int, n int")
+    focal = spark.createDataFrame([("c", 2), ("c", 0), ("e", 0)], "chrom string, w int")
+    assert sorted(tuple(r) for r in planes.grow_span(w, focal, 10, "n").collect()) == [("c", 0, 0, 1, 10.0), ("c", 2, 1, 3, 11.0)]
+    het = spark.createDataFrame([(1, i, 0.1 + 0.001 * i) for i in range(6)] + [(1, 10 + i, 0.6 + 0.001 * i) for i in range(6)] + [(2, i, 0.3 + 0.01 * i) for i in range(6)], "key int, sample_id int, value double")
+    assert {r.key: r.two_modes for r in planes.band_modes(het).collect()} == {1: True, 2: False}
+    pool = spark.createDataFrame([("a", float(i)) for i in range(100)], "id string, value double")
+    low = planes.subsample_control(pool, spark.createDataFrame([("a", 20, 20.0)], "id string, n long, mean double"), 200).first()
+    assert low.verdict == "real_reduction" and abs(low["mean"] - 49.5) < 3
+    assert planes.slabs(12, 2) == [(0, 0, 4), (1, 5, 9), (2, 10, 11)]
