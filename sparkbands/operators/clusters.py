@@ -35,14 +35,14 @@ def band_reach(labels: DataFrame, narrow: int = 2) -> DataFrame:
 
 
 def kmeans_1d(track: DataFrame, k: int = 3, rounds: int = 12, by: str = "w") -> DataFrame:
-    """Labels 0 .. k-1 by centre within each window (or other key); seeds are the quantiles at (i + 0.5) / k, ties go to the lower centre.
+    """Labels 0 .. k-1 by centre within each window (or other key); seeds are the quantiles at (i + 0.5) / k, to four digits, ties go to the lower centre.
 
     Values are written once; a round is one aggregate, and only the centres, k
     numbers a window, come to the driver, so a window of any size is spread.
     """
     rows = stored(track.where("value is not null").select(by, "sample_id", "value"))
     names = [f"c{i}" for i in range(k)]
-    seeds = rows.groupBy(by).agg(*(F.expr(f"percentile_disc({(i + 0.5) / k}) within group (order by value)").alias(c) for i, c in enumerate(names)))
+    seeds = rows.groupBy(by).agg(*(F.expr(f"percentile_disc({round((i + 0.5) / k, 4)}) within group (order by value)").alias(c) for i, c in enumerate(names)))
     centres = {r[by]: list(r)[1:] for r in seeds.select(by, *names).collect()}
     kind = dict(rows.dtypes)[by]
     off = F.array(*(F.abs(F.col("value") - F.col(c)) for c in names))

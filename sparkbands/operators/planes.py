@@ -12,12 +12,12 @@ from .clusters import kmeans_1d, silhouette_1d
 
 
 def kmeans_2d(points: DataFrame, k: int = 3, rounds: int = 8, by: str = "w") -> DataFrame:
-    """Labels 0 .. k-1 by the centres' x, and the centre of each row of (key, sample_id, x, y); seeds are points at the quantiles (i + 0.5) / k of x.
+    """Labels 0 .. k-1 by the centres' x, and the centre of each row of (key, sample_id, x, y); seeds are points at the quantiles (i + 0.5) / k of x, to four digits.
 
     As in one dimension, a round is one aggregate, and only centres come to the driver.
     """
     rows = stored(points.where("x is not null and y is not null").select(by, "sample_id", "x", "y"))
-    at = rows.groupBy(by).agg(*(F.expr(f"percentile_disc({(i + 0.5) / k}) within group (order by x)").alias(f"q{i}") for i in range(k)))
+    at = rows.groupBy(by).agg(*(F.expr(f"percentile_disc({round((i + 0.5) / k, 4)}) within group (order by x)").alias(f"q{i}") for i in range(k)))
     seeds = rows.join(at, by).groupBy(by).agg(*(F.avg(F.when(F.col("x") == F.col(f"q{i}"), F.col(c))).alias(f"{c}{i}") for i in range(k) for c in "xy"))
     names = [f"{c}{i}" for i in range(k) for c in "xy"]
     centres = {r[by]: list(r)[1:] for r in seeds.select(by, *names).collect()}
@@ -161,7 +161,7 @@ def grow_span(windows: DataFrame, focal: DataFrame, target: float, size: str) ->
         rows = rows.sort_values("w")
         w, n = rows["w"].tolist(), rows[size].astype(float).tolist()
         at, out = {x: i for i, x in enumerate(w)}, []
-        for c, f in zip(start["chrom"], start["w"]):
+        for c, f in zip(start["of"], start["at"]):
             if f not in at:
                 continue
             a = b = at[f]
@@ -176,7 +176,9 @@ def grow_span(windows: DataFrame, focal: DataFrame, target: float, size: str) ->
             out.append((c, f, w[a], w[b], n[at[f]] + left + right))
         return pd.DataFrame(out, columns=["chrom", "w", "first", "last", "held"])
 
-    return windows.select("chrom", "w", size).groupBy("chrom").cogroup(focal.groupBy("chrom")).applyInPandas(grow, "chrom string, w int, first int, last int, held double")
+    # names of their own: both sides may come from one table
+    focal = focal.select(F.col("chrom").alias("of"), F.col("w").alias("at"))
+    return windows.select("chrom", "w", size).groupBy("chrom").cogroup(focal.groupBy("of")).applyInPandas(grow, "chrom string, w int, first int, last int, held double")
 
 
 def tier_signatures(bins: DataFrame, shown: int = 4) -> DataFrame:

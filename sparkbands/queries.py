@@ -525,7 +525,7 @@ def adjacent_transition_rate(v: Views) -> DataFrame:
 
 def kmeans_sql(source: str, by: str = "w", rounds: int = 12) -> str:
     """``bands``: three clusters of each key's values, by as many rounds as the operator takes at most."""
-    seeds = ", ".join(f"quantile_disc(value, {(i + 0.5) / 3}) as c{i}" for i in range(3))
+    seeds = ", ".join(f"quantile_disc(value, {round((i + 0.5) / 3, 4)}) as c{i}" for i in range(3))
     near = "case when abs(value - c0) <= abs(value - c1) and abs(value - c0) <= abs(value - c2) then 0 when abs(value - c1) <= abs(value - c2) then 1 else 2 end"
     out = f", k0 as (select {by}, {seeds} from {source} where value is not null group by {by})"
     for r in range(1, rounds + 1):

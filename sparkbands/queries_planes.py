@@ -22,7 +22,7 @@ def _points(v: Views) -> DataFrame:
 def _kmeans_2d_sql(rounds: int = 8) -> str:
     far = [f"((x - x{i}) * (x - x{i}) + (y - y{i}) * (y - y{i}))" for i in range(3)]
     near = f"case when {far[0]} <= {far[1]} and {far[0]} <= {far[2]} then 0 when {far[1]} <= {far[2]} then 1 else 2 end"
-    out = ", po as (select floor(s / 259200)::int as w, user_id as sample_id, avg(value) as x, max(value) as y from ev group by all), qt as (select w, " + ", ".join(f"quantile_disc(x, {(i + 0.5) / 3}) as q{i}" for i in range(3)) + " from po group by w)"
+    out = ", po as (select floor(s / 259200)::int as w, user_id as sample_id, avg(value) as x, max(value) as y from ev group by all), qt as (select w, " + ", ".join(f"quantile_disc(x, {round((i + 0.5) / 3, 4)}) as q{i}" for i in range(3)) + " from po group by w)"
     out += ", c0 as (select po.w, " + ", ".join(f"avg({c}) filter (x = q{i}) as {c}{i}" for i in range(3) for c in "xy") + " from po join qt using (w) group by po.w)"
     for r in range(1, rounds + 1):
         mean = ", ".join(f"coalesce(avg({c}) filter (j = {i}), any_value({c}{i})) as {c}{i}" for i in range(3) for c in "xy")
