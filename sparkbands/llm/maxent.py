@@ -161,7 +161,7 @@ class Model:
         """Tables of log normalisers of all histories."""
         v = self.vocabulary
         self.z = np.stack([_logsum(self.a + row) for row in self.s], 1)
-        step = max(1, (1 << 21) // max(1, len(v.keys)))
+        step = max(1, (1 << 19) // max(1, len(v.keys)))
         parts = [self.shares(np.arange(i, min(i + step, v.features)))[2] for i in range(0, v.features, step)]
         self.zw = np.concatenate(parts)
         return self
