@@ -55,9 +55,10 @@ def kmeans_1d(track: DataFrame, k: int = 3, rounds: int = 12, by: str = "w") ->
     for _ in range(rounds):
         found = labelled().groupBy(by).agg(*(F.avg(F.when(F.col("j") == i, F.col("value"))).alias(c) for i, c in enumerate(names))).collect()
         new = {r[by]: [m if m is not None else old for m, old in zip((r[c] for c in names), centres[r[by]])] for r in found}
-        if new == centres:
-            break
+        still = all(abs(m - old) <= 1e-12 * max(1.0, abs(old)) for w in new for m, old in zip(new[w], centres[w]))  # sums differ in their last digits
         centres = new
+        if still:
+            break
     rank = sum((F.when((F.col(c) < F.get(F.array(*names), "j")) | ((F.col(c) == F.get(F.array(*names), "j")) & (F.lit(i) < F.col("j"))), 1).otherwise(0) for i, c in enumerate(names)), F.lit(0))
     return labelled().select(by, "sample_id", rank.cast("int").alias("k"), "value")
 

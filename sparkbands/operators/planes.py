@@ -32,9 +32,10 @@ def kmeans_2d(points: DataFrame, k: int = 3, rounds: int = 8, by: str = "w") ->
     for _ in range(rounds):
         found = labelled().groupBy(by).agg(*(F.avg(F.when(F.col("j") == int(n[1:]), F.col(n[0]))).alias(n) for n in names)).collect()
         new = {r[by]: [m if m is not None else old for m, old in zip((r[n] for n in names), centres[r[by]])] for r in found}
-        if new == centres:
-            break
+        still = all(abs(m - old) <= 1e-12 * max(1.0, abs(old)) for w in new for m, old in zip(new[w], centres[w]))  # sums differ in their last digits
         centres = new
+        if still:
+            break
     own = lambda c: F.get(F.array(*(F.col(f"{c}{i}") for i in range(k))), "j")
     rank = sum((F.when((F.col(f"x{i}") < own("x")) | ((F.col(f"x{i}") == own("x")) & (F.lit(i) < F.col("j"))), 1).otherwise(0) for i in range(k)), F.lit(0))
     return labelled().select(by, "sample_id", "x", "y", rank.cast("int").alias("k"), own("x").alias("cx"), own("y").alias("cy"))
@@ -188,3 +189,24 @@ def tier_signatures(bins: DataFrame, shown: int = 4) -> DataFrame:
     first = s.withColumn("i", F.row_number().over(W.partitionBy("signature").orderBy("sample_id")))
     t = first.groupBy("signature").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("i") <= shown, F.col("sample_id")))), ",").alias("representatives"))
     return t
+
+
+def detect_groups(means: DataFrame, most: int = 4, least: int = 4) -> DataFrame:
+    """Groups of samples by their mean (key, sample_id, value): of 2 to ``most`` bands of at least ``least`` samples each, the number with the best silhouette.
+
+    A group has its size, centre, distance to the nearest other centre and, as
+    confidence, the silhouette of its key; a key without such bands has no rows.
+    """
+    found = None
+    for k in range(2, most + 1):
+        t = stored(kmeans_1d(means, k, by="key").withColumnRenamed("key", "w"))
+        ok = t.groupBy("w", "k").agg(F.count("*").alias("m")).groupBy("w").agg(F.min("m").alias("m"), F.count("*").alias("g")).where((F.col("m") >= least) & (F.col("g") == k))
+        s = silhouette_1d(t).join(ok, "w", "left_semi").select("w", "silhouette")
+        g = t.groupBy("w", "k").agg(F.count("*").alias("n"), F.avg("value").alias("centre")).join(s, "w").withColumn("groups", F.lit(k))
+        found = g if found is None else found.unionByName(g)
+    found = stored(found)
+    best = found.groupBy("w").agg(F.max(F.struct("silhouette", (-F.col("groups")).alias("minus"))).alias("b"))
+    rows = found.join(best, "w").where(F.col("groups") == -F.col("b.minus"))
+    by = W.partitionBy("w").orderBy("centre")  # a few groups a key
+    gap = F.least(F.col("centre") - F.lag("centre").over(by), F.lead("centre").over(by) - F.col("centre"))
+    return rows.select(F.col("w").alias("key"), F.col("k").alias("grp"), "n", "centre", "groups", gap.alias("separation"), F.col("silhouette").alias("confidence"))

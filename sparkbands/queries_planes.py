@@ -74,6 +74,11 @@ def nested_band_scan(v: Views) -> DataFrame:
     return P.nested_band_scan(v.track.withColumn("stratum", F.col("w") % 2))
 
 
+@query()
+def detect_groups(v: Views) -> DataFrame:
+    return P.detect_groups(v.dosage.groupBy(F.col("grp").alias("key"), "sample_id").agg(F.avg("dosage").alias("value")))
+
+
 @query()
 def subsample_control(v: Views) -> DataFrame:
     pool = v.measures.select(F.col("test_id").alias("id"), "grp", "value")

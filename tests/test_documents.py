@@ -105,3 +105,6 @@ def test_paths_and_stretches(spark):
     low = planes.subsample_control(pool, spark.createDataFrame([("a", 20, 20.0)], "id string, n long, mean double"), 200).first()
     assert low.verdict == "real_reduction" and abs(low["mean"] - 49.5) < 3
     assert planes.slabs(12, 2) == [(0, 0, 4), (1, 5, 9), (2, 10, 11)]
+    two = spark.createDataFrame([(1, i, 0.1 * (i % 5)) for i in range(20)] + [(1, 50 + i, 5 + 0.1 * (i % 5)) for i in range(20)] + [(2, i, float(i)) for i in range(5)], "key int, sample_id int, value double")
+    got = planes.detect_groups(two).orderBy("key", "grp").collect()
+    assert [(r.key, r.grp, r.n, r.groups) for r in got] == [(1, 0, 20, 2), (1, 1, 20, 2)] and abs(got[0].separation - 5) < 1e-9
