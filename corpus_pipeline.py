@@ -81,7 +81,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs, keep=("mark", "row"))
     times = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size") + 0.5).otherwise(0)).cast("int")
     many = written(taken.select("row", times.alias("times"), "first_slot").where("times > 0"), "times")
-    rows = docs.join(many, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    # almost as many rows as documents: never broadcast, whatever the size
+    rows = docs.join(many.hint("merge"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
     return rows.sortWithinPartitions("copy", "first_slot").select(*COLUMNS)
 
 
