@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_reuse, embedding_dedup, maxent, mixing, near_dup, quality, quotes, rans, toxicity
+from . import alignment, ann, bpe_reuse, embedding_dedup, license_scan, maxent, mixing, near_dup, prefix_trie, quality, quotes, rans, toxicity
 from .common import read_documents, remainder, written
 
 
@@ -68,7 +68,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings")).drop("n_compared")
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op4_maxent_scores, op5_rans_files, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.link_counts(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(read_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_quality_classifier, op3_bpe, op4_maxent_scores, op5_rans_files, op6_source_mix, op7_embedding_dedup, op8_toxicity, op9_near_duplicates, op10_nearest, op11_token_alignment, op12_prefix_trie, op13_license_scan)}
 
 #: Sources by code point, null last; targets by a level that is raised over the sources in the order in which they reach their limits.
 #: Then the schedule: points on a grid of 2**31, slots of 16 words, ranked by source, and each document in each of three passes.
@@ -134,4 +148,31 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, d.
 from documents d join m on m.n = d.doc_id left join n on n.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op9_near_duplicates": OP9_SQL, "op7_embedding_dedup": OP7_SQL, "op10_nearest": OP10_SQL, "op6_source_mix": OP6_SQL}
+#: crc32 of a short ASCII text: a table of 256 remainders, then one fold over the bytes.
+_CRC = """b as (select n, list_reduce([n] || range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from (select unnest(range(256)) as n)),
+t as (select list(v order by n) as t from b)"""
+
+#: Every conversation rebuilt as a list, every prefix of every list.
+OP12_SQL = (
+    "with "
+    + _CRC
+    + """,
+r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, sha256(text)) as own from r group by conv_id),
+h as (select conv_id, own, conv_id - conv_id % 100 as base, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+  lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 6 as h from o, t),
+c as (select h.conv_id, coalesce(o.own[1:h.h], []) || h.own[h.h + 1:] as seq from h left join o on o.conv_id = h.base),
+p as (select conv_id, len(seq) as size, unnest(range(len(seq) + 1)) as depth, seq from c),
+q as (select conv_id, size, depth, seq[1:depth] as pre, seq[1:depth - 1] as up, length(seq[depth].text) as chars from p),
+n as (select depth, pre, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (size = depth), '')) as ends_sha256 from q group by depth, pre),
+k as (select depth - 1 as depth, up as pre, count(*) as n_children from n where depth > 0 group by all),
+m as (select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * coalesce(chars, 0) as value from n left join k on k.depth = n.depth and k.pre = n.pre),
+s as (select a.depth, a.pre, sum(b.value)::bigint as saved_tokens, sum((b.n_children = 0)::int)::bigint as n_leaves
+  from m a join m b on b.depth >= a.depth and b.pre[1:a.depth] = a.pre group by all)
+select m.conv_id, m.depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children::bigint as n_children, n_leaves, saved_tokens, m.ends_sha256
+from m join s on s.depth = m.depth and s.pre = m.pre left join m u on m.depth > 0 and u.depth = m.depth - 1 and u.pre = m.up
+"""
+)
+
+ORACLE_SQL = {"op12_prefix_trie": OP12_SQL, "op9_near_duplicates": OP9_SQL, "op7_embedding_dedup": OP7_SQL, "op10_nearest": OP10_SQL, "op6_source_mix": OP6_SQL}

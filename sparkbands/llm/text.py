@@ -65,13 +65,14 @@ class Tokens:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
 
-def tokens(texts: Iterable[str | None], hashed: bool = True, lower: bool = True) -> Tokens:
+def tokens(texts: Iterable[str | None], hashed: bool = True, lower: bool = True, gaps: np.ndarray = _SPACE) -> Tokens:
+    """``gaps`` holds the 256 bytes that are between words; the space must be one of them."""
     parts = [t.encode("utf-8", "replace") if t else b"" for t in texts]
     offsets = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=offsets[1:])
     raw = b" ".join(parts) + b" "
     buf = np.frombuffer(raw.translate(_LOWER) if lower else raw, np.uint8)
-    space = _SPACE[buf]
+    space = gaps[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
