@@ -5,7 +5,7 @@ Labels are rows (w, sample_id, k); null and negative labels are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -216,13 +216,6 @@ def karyotype_model(rows: DataFrame, split: float = 0.20) -> DataFrame:
 # -- seeds, votes, partitions ----------------------------------------------
 
 
-def pair_table(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(w1, w2, a, b, n): contingency of labels of the two windows of each pair."""
-    x = labels.where("k >= 0").select(F.col("w").alias("w1"), "sample_id", F.col("k").alias("a"))
-    y = labels.where("k >= 0").select(F.col("w").alias("w2"), "sample_id", F.col("k").alias("b"))
-    return x.join(pairs, "w1").join(y, ["w2", "sample_id"]).groupBy("w1", "w2", "a", "b").agg(F.count("*").alias("n"))
-
-
 def projections(table: DataFrame, least: int = 5, purity: float = 0.80, second: float = 0.20, count: int = 3) -> DataFrame:
     """Where each voter set (w1, a) goes among the bands of w2: SINGLE, SPLIT, or none of them, and the bands it visits.
 
@@ -275,47 +268,29 @@ def linkage_groups(votes: DataFrame, windows: DataFrame) -> DataFrame:
     return c.select(F.col("node").alias("w"), number.alias("group"))
 
 
-def anchor_signals(table: DataFrame, least: int = 5) -> DataFrame:
-    """Per anchor and window: Cramer's V, and the entropy of what leaves each row's largest cell, weighted by rows; null under ``least`` samples."""
-    by = ("w1", "w2")
-    t = table.withColumns({"ra": F.sum("n").over(W.partitionBy(*by, "a")), "cb": F.sum("n").over(W.partitionBy(*by, "b")), "t": F.sum("n").over(W.partitionBy(*by))})
-    s = t.groupBy(*by).agg(F.max("t").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"), F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("q"), (F.sum(-F.col("n") * F.log(F.col("n") / F.col("ra"))) / F.max("t")).alias("h"))
-    v = F.when(F.least("r", "c") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - 1) / (F.least("r", "c") - 1)))))
-    sure = F.col("n") >= least
-    return s.select(*by, "n", F.when(sure, v).alias("v"), F.when(sure, F.col("h")).alias("entropy"))
-
-
 def adjacent_seed_merge(signals: DataFrame, merge: float = 0.85, least: int = 4) -> DataFrame:
     """Neighbouring seeds (w1, w2, n, v, r, c): INSUFFICIENT, MERGE or SEPARATE."""
     return signals.select("w1", "w2", "n", "v", F.when(F.col("n") < least, "INSUFFICIENT").when(F.col("v") >= merge, "MERGE").otherwise("SEPARATE").alias("verdict"))
 
 
-def band_jaccards(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """Jaccard of each band of w1 with its best partner in w2, ties to the smaller band."""
-    size = labels.where("k >= 0").groupBy("w", "k").agg(F.count("*").alias("m"))
-    t = table.join(size.select(F.col("w").alias("w1"), F.col("k").alias("a"), F.col("m").alias("ma")), ["w1", "a"]).join(size.select(F.col("w").alias("w2"), F.col("k").alias("b"), F.col("m").alias("mb")), ["w2", "b"])
+def band_jaccards(table: DataFrame, size: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Jaccard of each band of w1 with its best partner in w2, ties to the smaller band; ``size`` is (*keys, w, k, m)."""
+    t = table.join(size.withColumnsRenamed({"w": "w1", "k": "a", "m": "ma"}), [*keys, "w1", "a"]).join(size.withColumnsRenamed({"w": "w2", "k": "b", "m": "mb"}), [*keys, "w2", "b"])
     j = F.col("n") / (F.col("ma") + F.col("mb") - F.col("n"))
-    best = t.groupBy("w1", "w2", "a").agg(F.max(F.struct(j.alias("j"), (-F.col("b")).alias("minus"))).alias("m"))
-    return best.select("w1", "w2", "a", (-F.col("m.minus")).alias("b"), F.col("m.j").alias("jaccard"))
+    best = t.groupBy(*keys, "w1", "w2", "a").agg(F.max(F.struct(j.alias("j"), (-F.col("b")).alias("minus"))).alias("m"))
+    return best.select(*keys, "w1", "w2", "a", (-F.col("m.minus")).alias("b"), F.col("m.j").alias("jaccard"))
 
 
-def locus_chains(quality: DataFrame, jaccards: DataFrame, least_quality: float, least_jaccard: float, least: int) -> DataFrame:
-    """Stretches of windows of at least ``least_quality`` whose worst band keeps ``least_jaccard`` from each to the next."""
-    worst = jaccards.where("w2 = w1 + 1").groupBy(F.col("w2").alias("w")).agg(F.min("jaccard").alias("worst"))
-    good = quality.where(F.col("quality") >= least_quality).join(worst, "w", "left")
-    by = W.orderBy("w")  # one row per window of a chromosome
+def locus_chains(quality: DataFrame, jaccards: DataFrame, least_quality: float = 0.4, least_jaccard: float = 0.7, least: int = 5, keys: tuple = ()) -> DataFrame:
+    """Stretches of windows of at least ``least_quality`` whose worst band keeps ``least_jaccard`` from each to the next; jaccards are of neighbours."""
+    worst = jaccards.groupBy(*keys, F.col("w2").alias("w")).agg(F.min("jaccard").alias("worst"))
+    good = quality.where(F.col("quality") >= least_quality).join(worst, [*keys, "w"], "left")
+    by = W.partitionBy(*keys).orderBy("w")  # one row per window of a chromosome
     cut = (F.coalesce(F.lag("w").over(by) + 1 != F.col("w"), F.lit(True)) | F.coalesce(F.col("worst") < least_jaccard, F.lit(True))).cast("int")
-    c = good.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(by)).groupBy("chain").agg(F.min("w").alias("start"), F.max("w").alias("end"), F.count("*").alias("length"), F.avg("quality").alias("quality"))
+    c = good.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(by)).groupBy(*keys, "chain").agg(F.min("w").alias("start"), F.max("w").alias("end"), F.count("*").alias("length"), F.avg("quality").alias("quality"))
     return c.where(F.col("length") >= least).drop("chain")
 
 
-def partner_sets(pairs: DataFrame) -> DataFrame:
-    """Per band pair (locus, i, j, affinity, weight): primary, secondary, uncertain or excluded."""
-    a = F.col("affinity")
-    kind = F.when(F.col("weight") < 1, "no_evidence").when(a >= 0.7, "primary").when(a < 0.3, "excluded").when(a >= 0.4, "secondary").otherwise("uncertain")
-    return pairs.withColumn("kind", kind)
-
-
 def partitions_of(spark, k: int) -> DataFrame:
     """(partition, i, j, same) for every way to part ``k`` bands, each numbered by its growth string; 15 ways for 4, 52 for 5."""
     ways: list[tuple] = [(0,)]
@@ -335,34 +310,6 @@ def partition_scores(pairs: DataFrame, parts: DataFrame, within: float = 0.10, m
     return s.where((F.round("score", 9) >= F.round(F.col("best") - within, 9)) & (F.col("place") <= most)).select("locus", "partition", "score", "total_weight", "place")
 
 
-def refines(a: Column, b: Column) -> Column:
-    """Whether every block of partition a lies in one block of b; both as growth strings of one digit a band."""
-    k = F.length(a)
-    pairs = F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.substring(a, i, F.lit(1)), F.substring(b, i, F.lit(1))))
-    return F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(F.split(a, "")))
-
-
-def consensus_class(kept: DataFrame, clean: float = 0.85, soft: float = 0.65, strong: float = 0.50, evidence: float = 1.0, layer: float = 0.55) -> DataFrame:
-    """Per locus: NO_CLEAN_CONSENSUS, MULTI_LAYER_STRUCTURE (a good partition that neither refines nor is refined by the best), CLEAN, SOFT or OVERLAPPING."""
-    best = kept.where("place = 1").select("locus", F.col("partition").alias("p"), F.col("score").alias("top"), F.col("total_weight").alias("weight"))
-    other = kept.where("place > 1").join(best.select("locus", "p"), "locus").where(F.col("score") >= layer)
-    apart = ~refines(F.col("partition"), F.col("p")) & ~refines(F.col("p"), F.col("partition"))
-    other = other.groupBy("locus").agg(F.bool_or(apart).alias("apart"))
-    weak = (F.col("top") < strong) | (F.col("weight") < evidence)
-    kind = F.when(weak, "NO_CLEAN_CONSENSUS").when(F.col("apart"), "MULTI_LAYER_STRUCTURE").when(F.col("top") >= clean, "CLEAN_CONSENSUS").when(F.col("top") >= soft, "SOFT_CONSENSUS").otherwise("OVERLAPPING_CONSENSUS")
-    return best.join(other, "locus", "left").select("locus", F.col("p").alias("partition"), F.col("top").alias("score"), kind.alias("consensus"))
-
-
-def consensus_summary(kept: DataFrame, residuals: DataFrame) -> DataFrame:
-    """Per locus: best score, residual max(1 - score, mean residual of its bands), entropy of the kept scores over ln n, and the class at 0.2, 0.4, 0.6."""
-    t = kept.groupBy("locus").agg(F.max("score").alias("score"), F.sum("score").alias("s"), F.sum(F.col("score") * F.log("score")).alias("slog"), F.count("*").alias("n"))
-    entropy = F.when((F.col("n") > 1) & (F.col("s") > 0), (F.log("s") - F.col("slog") / F.col("s")) / F.log("n")).otherwise(0.0)
-    r = residuals.groupBy("locus").agg(F.avg("residual").alias("band"))
-    t = t.join(r, "locus", "left").withColumn("residual", F.greatest(1 - F.col("score"), F.coalesce("band", F.lit(0.0))))
-    kind = F.when(F.col("residual") <= 0.20, "STRONG").when(F.col("residual") <= 0.40, "MODERATE").when(F.col("residual") <= 0.60, "WEAK").otherwise("INVALID")
-    return t.select("locus", "score", "residual", entropy.alias("entropy"), kind.alias("resolving"))
-
-
 def signed_groups(edges: DataFrame, nodes: DataFrame, least: float = 0.70) -> DataFrame:
     """Groups of nodes joined where |r| reaches ``least``, each with its sign against the group's first node.
 

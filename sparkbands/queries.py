@@ -483,7 +483,7 @@ def sample_concordance(v: Views) -> DataFrame:
 
 
 @query(", l as (select w, sample_id, k, family_id from per_window join samples using (sample_id)) select a.family_id, a.sample_id as s1, b.sample_id as s2, count(*) filter (a.k = b.k) as together, count(*) as total, round(count(*) filter (a.k = b.k) / count(*), 9) as affinity from l a join l b on a.w = b.w and a.family_id = b.family_id and a.sample_id < b.sample_id group by all having count(*) >= 2")
-def coassociation(v: Views) -> DataFrame:
+def sample_coassociation(v: Views) -> DataFrame:
     return C.coassociation(v.labels.join(v.samples.select("sample_id", "family_id"), "sample_id"))
 
 
@@ -500,11 +500,6 @@ def align_labels(v: Views) -> DataFrame:
     return C.align_labels(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"]).drop("n")
 
 
-@query(_PAIRS + _PERM + " select w, sum((concordance < 0.50)::int) over (order by w)::bigint as chain, round(concordance, 9) as concordance from al")
-def chain_projection(v: Views) -> DataFrame:
-    return C.chains(C.align_labels(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"]))
-
-
 @query(", r as (select sample_id, count(distinct k) as reach from per_window group by 1) select reach, count(*) as n_samples, reach <= 2 as narrow from r group by 1")
 def band_reach(v: Views) -> DataFrame:
     return C.band_reach(v.labels)
@@ -646,4 +641,4 @@ def chi_square_test(v: Views) -> DataFrame:
     return s.select("w", "chi2", "df", chi_square_tail(F.col("chi2"), F.col("df")).alias("p"))
 
 
-from . import queries_bands, queries_loci, queries_planes  # noqa: E402, F401  they register more
+from . import queries_bands, queries_loci, queries_planes, queries_votes  # noqa: E402, F401  they register more

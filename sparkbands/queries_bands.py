@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import bands as D
 from .operators import clusters as C
+from .operators import votes as V
 from .registry import query
 from .views import Views
 
@@ -62,25 +63,6 @@ def sign_align(v: Views) -> DataFrame:
     return D.sign_align(v.track)
 
 
-def _quality(v: Views) -> DataFrame:
-    sp = v.track.groupBy("w").agg((F.var_samp("value") * 3).alias("lam1"), F.var_samp("value").alias("lam2"))
-    sil = v.track.groupBy("w").agg((F.avg("value") / F.max("value")).alias("silhouette"))
-    return D.band_quality(v.labels, sil, sp)
-
-
-_QUALITY = ", qn as (select w, k, count(*) as n from per_window group by all), qs as (select w, avg(value) / max(value) as sil from per_window group by 1), qq as (select w, case when count(*) > 1 then (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)) else 0.0 end as bal, count(*) as bands from qn group by 1), qu as (select w, least(least(1.0, greatest(0.0, sil)), bal, 1 - exp(-2 / 1.5)) as quality, bal as size_balance, 1 - exp(-2 / 1.5) as eigen, bands as k_eff from qq join qs using (w))"
-
-
-@query(_QUALITY + " select w, round(quality, 9) as quality, round(size_balance, 9) as size_balance, round(eigen, 9) as eigen, k_eff from qu")
-def band_quality(v: Views) -> DataFrame:
-    return _quality(v)
-
-
-@query(_QUALITY + ", t as (select count(*) as n_windows, count(*) filter (quality >= 0.3) as pass_3, count(*) filter (quality >= 0.4) as pass_4, count(*) filter (quality >= 0.5) as pass_5, avg(quality) as mean, max(quality) as max from qu) select n_windows, pass_3, pass_4, pass_5, round(mean, 9) as mean, round(max, 9) as max, case when pass_5 >= 5 then 0.5 when pass_4 >= 5 then 0.4 when pass_3 >= 5 then 0.3 else round(greatest(0.2, least(0.3, max / 2)), 9) end as threshold from t")
-def band_quality_stats(v: Views) -> DataFrame:
-    return D.band_quality_stats(_quality(v))
-
-
 _WHOLE = ", wn as (select sample_id, k, count(*) as n from per_window group by all), wh as (select sample_id, arg_max(k, n * 10 - k) as k from wn group by 1), wm as (select sample_id, avg(value) as m from per_window group by 1)"
 
 
@@ -216,10 +198,12 @@ def karyotype_model(v: Views) -> DataFrame:
 _ALL = ", tb as (select x.w as w1, y.w as w2, x.k as a, y.k as b, count(*) as n from per_window x join per_window y on x.sample_id = y.sample_id and x.w <> y.w group by all)"
 
 
-def _table(v: Views) -> DataFrame:
-    """All windows against all others: a chromosome's seeds."""
+def _table(v: Views, neighbours: bool = False) -> DataFrame:
+    """Windows against all others, or each against the next: a chromosome's seeds, met as bitmaps."""
     w = v.labels.select("w").distinct()
-    return D.stored(D.pair_table(v.labels, w.select(F.col("w").alias("w1")).join(w.select(F.col("w").alias("w2")), F.col("w1") != F.col("w2"))))
+    met = F.col("w2") == F.col("w1") + 1 if neighbours else F.col("w1") != F.col("w2")
+    pairs = w.select(F.col("w").alias("w1")).join(w.select(F.col("w").alias("w2")), met)
+    return D.stored(V.pair_table(V.band_bits(v.labels, ()), pairs, ()))
 
 
 _PROJ = (
@@ -265,14 +249,9 @@ def linkage_groups(v: Views) -> DataFrame:
 _SIG = _ALL + ", s1 as (select *, sum(n) over (partition by w1, w2, a) as ra, sum(n) over (partition by w1, w2, b) as cb, sum(n) over (partition by w1, w2) as t from tb), sg as (select w1, w2, max(t)::bigint as n, count(distinct a) as r, count(distinct b) as c, sum(n * n / (ra * cb)) as q, sum(-n * ln(n / ra)) / max(t) as h from s1 group by w1, w2), an as (select w1, w2, n, case when n >= 5 then case when least(r, c) < 2 then 0.0 else least(1.0, sqrt(greatest(0.0, (q - 1) / (least(r, c) - 1)))) end end as v, case when n >= 5 then h end as entropy from sg)"
 
 
-@query(_SIG + " select w1, w2, n, round(v, 9) as v, round(entropy, 9) as entropy from an")
-def anchor_signals(v: Views) -> DataFrame:
-    return D.anchor_signals(_table(v))
-
-
 @query(_SIG + " select w1, w2, n, round(v, 9) as v, case when n < 4 then 'INSUFFICIENT' when v >= 0.15 then 'MERGE' else 'SEPARATE' end as verdict from an where w2 = w1 + 1")
 def adjacent_seed_merge(v: Views) -> DataFrame:
-    return D.adjacent_seed_merge(D.anchor_signals(_table(v)).where("w2 = w1 + 1"), merge=0.15)
+    return D.adjacent_seed_merge(V.anchor_signals(_table(v, neighbours=True), 3, ()), merge=0.15)
 
 
 @query(_SIG + ", ag as (select w1 as locus, w2 as w, sum(m) / sum(n) as agreement from (select w1, w2, a, max(n) as m, sum(n) as n from tb group by all) group by 1, 2) select locus, w, round(v, 9) as v, round(agreement, 9) as agreement, v >= 0.1 and agreement >= 0.4 as supported from an join ag on locus = w1 and w = w2")
@@ -280,64 +259,10 @@ def regime_tables(v: Views) -> DataFrame:
     """Window support of each locus; calls and summaries follow by groupings."""
     t = _table(v)
     agree = t.groupBy("w1", "w2", "a").agg(F.max("n").alias("m"), F.sum("n").alias("n")).groupBy(F.col("w1").alias("locus"), F.col("w2").alias("w")).agg((F.sum("m") / F.sum("n")).alias("agreement"))
-    signals = D.anchor_signals(t).select(F.col("w1").alias("locus"), F.col("w2").alias("w"), "v")
+    signals = V.anchor_signals(t, 3, ()).select(F.col("w1").alias("locus"), F.col("w2").alias("w"), "v")
     return D.regime_support(signals, agree, v=0.1, agree=0.4)
 
 
-_JAC = _ALL + ", sz as (select w, k, count(*) as m from per_window group by all), ja as (select w1, w2, a, b, n / (x.m + y.m - n) as j from tb join sz x on x.w = w1 and x.k = a join sz y on y.w = w2 and y.k = b), jb as (select w1, w2, a, arg_max(b, j) as b, max(j) as j from (select * from ja order by b) group by 1, 2, 3)"
-
-
-@query(_JAC + _QUALITY + ", wo as (select w2 as w, min(j) as worst from jb where w2 = w1 + 1 group by 1), g as (select qu.w, quality, worst from qu left join wo using (w) where quality >= 0.3), c as (select *, (coalesce(lag(w) over (order by w) + 1 <> w, true) or coalesce(worst < 0.2, true))::int as cut from g), d as (select *, sum(cut) over (order by w) as chain from c) select min(w) as start, max(w) as \"end\", count(*) as length, round(avg(quality), 9) as quality from d group by chain having count(*) >= 2")
-def locus_chains(v: Views) -> DataFrame:
-    return D.locus_chains(_quality(v), D.band_jaccards(_table(v), v.labels), 0.3, 0.2, 2)
-
-
-_PARTS = ", pa as (select candidate_id as locus, x as i, y as j, ((candidate_id * 7 + x * 3 + y * 5) % 11) / 10 as affinity, ((candidate_id + x + y) % 4) / 2 as weight from (select distinct candidate_id from calls), (select unnest([0, 0, 0, 1, 1, 2]) as x, unnest([1, 2, 3, 2, 3, 3]) as y))"
-_WAYS = ", gs as (select '0' || a || b || c as partition, [0, a, b, c] as g from (select unnest(range(0, 2)) as a), (select unnest(range(0, 3)) as b), (select unnest(range(0, 4)) as c) where b <= a + 1 and c <= greatest(a, b) + 1)"
-_SCORED = _PARTS + _WAYS + ", sc1 as (select locus, partition, sum(case when g[i + 1] = g[j + 1] then affinity else 1 - affinity end * weight) / sum(weight) as score, sum(weight) as total_weight from pa, gs group by all), sc2 as (select *, max(score) over (partition by locus) as best, row_number() over (partition by locus order by round(score, 9) desc, partition) as place from sc1), kp as (select locus, partition, score, total_weight, place from sc2 where round(score, 9) >= round(best - 0.10, 9) and place <= 10)"
-
-
-def _affinities(v: Views) -> DataFrame:
-    c = v.calls.select(F.col("candidate_id").alias("locus")).distinct()
-    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(i + 1, 4)))
-    p = c.withColumn("p", F.explode(pairs)).select("locus", "p.i", "p.j")
-    return p.withColumns({"affinity": (F.col("locus") * 7 + F.col("i") * 3 + F.col("j") * 5) % 11 / 10, "weight": (F.col("locus") + F.col("i") + F.col("j")) % 4 / 2})
-
-
-def _kept(v: Views) -> DataFrame:
-    return D.partition_scores(_affinities(v), D.partitions_of(v.spark, 4))
-
-
-@query(_PARTS + " select locus, i, j, affinity, weight, case when weight < 1 then 'no_evidence' when affinity >= 0.7 then 'primary' when affinity < 0.3 then 'excluded' when affinity >= 0.4 then 'secondary' else 'uncertain' end as kind from pa")
-def band_partner_sets(v: Views) -> DataFrame:
-    return D.partner_sets(_affinities(v))
-
-
-@query(_SCORED + " select locus, partition, round(score, 9) as score, total_weight, place from kp")
-def partition_scores(v: Views) -> DataFrame:
-    return _kept(v)
-
-
-_REFINES = "len(list_distinct(list_transform([1, 2, 3, 4], lambda i: {a}[i] || {b}[i]))) = len(list_distinct(string_split({a}, '')))"
-
-
-@query(
-    _SCORED
-    + ", b as (select locus, partition as p, score as top, total_weight as weight from kp where place = 1), o as (select kp.locus, bool_or(not ("
-    + _REFINES.format(a="partition", b="p")
-    + ") and not ("
-    + _REFINES.format(a="p", b="partition")
-    + ")) as apart from kp join b on b.locus = kp.locus where place > 1 and score >= 0.55 group by 1) select locus, p as partition, round(top, 9) as score, case when top < 0.5 or weight < 1 then 'NO_CLEAN_CONSENSUS' when apart then 'MULTI_LAYER_STRUCTURE' when top >= 0.85 then 'CLEAN_CONSENSUS' when top >= 0.65 then 'SOFT_CONSENSUS' else 'OVERLAPPING_CONSENSUS' end as consensus from b left join o using (locus)"
-)
-def consensus_class(v: Views) -> DataFrame:
-    return D.consensus_class(_kept(v))
-
-
-@query(_SCORED + ", r as (select locus, avg(2 * (1 - affinity)) as band from pa where weight >= 1 group by 1), t as (select locus, max(score) as score, sum(score) as s, sum(score * ln(score)) as sl, count(*) as n from kp group by 1), u as (select locus, score, greatest(1 - score, coalesce(band, 0)) as residual, case when n > 1 then (ln(s) - sl / s) / ln(n) else 0.0 end as entropy from t left join r using (locus)) select locus, round(score, 9) as score, round(residual, 9) as residual, round(entropy, 9) as entropy, case when residual <= 0.2 then 'STRONG' when residual <= 0.4 then 'MODERATE' when residual <= 0.6 then 'WEAK' else 'INVALID' end as resolving from u")
-def consensus_summary(v: Views) -> DataFrame:
-    return D.consensus_summary(_kept(v), _affinities(v).where("weight >= 1").select("locus", (2 * (1 - F.col("affinity"))).alias("residual")))
-
-
 _MEANS_BY_W = ", mw as (select w, sample_id % 40 as g, avg(value) as m from per_window group by all), rr as (select x.g as a, y.g as b, corr(x.m, y.m) as r from mw x join mw y on x.w = y.w and x.g < y.g group by all)"
 
 
@@ -419,12 +344,6 @@ def merge_per_chrom_regimes(v: Views) -> DataFrame:
     return D.merge_per_chrom([t.where(F.col("chrom") == c) for c in chroms])
 
 
-@query(", p as (select w, unnest([0, 1, 2]) as k from (select distinct w from per_window)) select sample_id, ((k + w) % 3)::int as band, count(*) as votes from per_window group by all")
-def k_band_votes(v: Views) -> DataFrame:
-    perms = v.labels.select("w").distinct().withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("to", (F.col("k") + F.col("w")) % 3)
-    return D.k_band_votes(v.labels, perms)
-
-
 @query(", l as (select event_type as chrom, floor(s / 3600)::int as w, ['fst', 'pi', 'dxy', 'other'][user_id % 4 + 1] as name, value, row_number() over (order by user_id, s, value) as ord from ev), f as (select *, row_number() over (partition by chrom, w, name order by ord) as i from l where name in ('fst', 'pi', 'dxy')) select f.chrom, f.w, name, round(value, 9) as value from f join windows w on w.chrom = f.chrom and w.w = f.w and w.n_snps >= 2 where i = 1")
 def merge_enrichment_layers(v: Views) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("fst", "pi", "dxy", "other"))), (F.col("user_id") % 4 + 1).cast("int"))

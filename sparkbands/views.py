@@ -37,6 +37,25 @@ class Views:
     def track(self) -> DataFrame:
         return self.per_window.select("w", "sample_id", "value")
 
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Running sums of each user's values along the half days of each event type, as chromosomes of many windows."""
+        from pyspark.sql import Window as W
+
+        cell = self.events.groupBy(F.col("event_type").alias("chrom"), F.floor(F.col("s") / 43200).cast("int").alias("w"), F.col("user_id").alias("sample_id")).agg(F.sum("value").alias("x"))
+        last = F.broadcast(cell.agg(F.max("w").alias("last")))  # one row
+        grid = cell.select("chrom", "sample_id").distinct().join(last).select("chrom", "sample_id", F.explode(F.sequence(F.lit(0), "last")).alias("w"))
+        run = W.partitionBy("chrom", "sample_id").orderBy("w").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row for each window
+        return grid.join(cell, ["chrom", "sample_id", "w"], "left").select("chrom", "w", "sample_id", F.sum(F.coalesce("x", F.lit(0.0))).over(run).alias("value"))
+
+    @cached_property
+    def panel_bands(self) -> DataFrame:
+        """Four bands of each window of the panel, by the distance from the mean in standard deviations."""
+        s = self.panel.groupBy("chrom", "w").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+        z = F.round((F.col("value") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")), 9)
+        k = F.when(z < -0.8, 0).when(z < 0.0, 1).when(z < 0.8, 2).otherwise(3)
+        return self.panel.join(s, ["chrom", "w"]).select("chrom", "w", "sample_id", k.alias("k"), "value")
+
     @cached_property
     def windows(self) -> DataFrame:
         """Hours of each event type as windows along it."""
@@ -101,6 +120,11 @@ class Views:
 SQL_VIEWS = {
     "ev": "select user_id, event_type, value, floor(epoch_us(ts) / 1000000 - 1704067200)::bigint as s from events",
     "per_window": "select floor(s / 259200)::int as w, user_id as sample_id, (count(*) % 3)::int as k, avg(value) as value from ev group by all",
+    "pcell": "select event_type as chrom, floor(s / 43200)::int as w, user_id as sample_id, sum(value) as x from ev group by all",
+    "pgrid": "select chrom, sample_id, unnest(range((select max(w) + 1 from pcell)))::int as w from (select distinct chrom, sample_id from pcell)",
+    "panel": "select g.chrom, g.w, g.sample_id, sum(coalesce(x, 0.0)) over (partition by g.chrom, g.sample_id order by g.w) as value from pgrid g left join pcell c on c.chrom = g.chrom and c.sample_id = g.sample_id and c.w = g.w",
+    "pz": "select *, round((value - avg(value) over (partition by chrom, w)) / nullif(stddev_pop(value) over (partition by chrom, w), 0), 9) as z from panel",
+    "pband": "select chrom, w, sample_id, case when z < -0.8 then 0 when z < 0.0 then 1 when z < 0.8 then 2 else 3 end as k, value from pz",
     "windows": "select event_type as chrom, floor(s / 3600)::int as w, floor(s / 3600)::bigint * 3600 as start_bp, floor(s / 3600)::bigint * 3600 + 3599 as end_bp, count(*)::int as n_snps, var_pop(value) as lam1, avg(value) as lam2, (avg(value) - (select avg(value) from ev)) / (select stddev_pop(value) from ev) as z from ev group by all",
     "points": "select event_type as chrom, s as pos_bp from ev",
     "emb": "select vec_id, label, unnest(embedding) as x, unnest(range(len(embedding))) as marker from embeddings",
@@ -117,4 +141,4 @@ SQL_VIEWS = {
 
 def with_views(sql: str) -> str:
     """A query, or more expressions and a query (beginning with a comma), after the tables."""
-    return ("with recursive " if "union select" in sql else "with ") + ",\n".join(f"{k} as ({v})" for k, v in SQL_VIEWS.items()) + "\n" + sql
+    return ("with recursive " if "union select" in sql or "union all select" in sql else "with ") + ",\n".join(f"{k} as ({v})" for k, v in SQL_VIEWS.items()) + "\n" + sql
