@@ -31,6 +31,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .common import written
 from .wordcodec import _byte_symbols
 
 _PART = 1 << 20  # bytes of text worked on at once
-_REMEMBERED = 250_000  # units; the memory is emptied when they are reached
+_REMEMBERED = 500_000  # units; the memory is emptied when they are reached
 _WIDTH = 1 << 20  # a pair of ids is a * _WIDTH + b
 
 
@@ -50,17 +51,22 @@ class _Pool:
     """Lists of numbers, one after the other."""
 
     def __init__(self):
-        self.values, self.used, self.at = np.zeros(1 << 16, np.int32), 0, [0]
-
-    def add(self, ids: list) -> None:
-        if self.used + len(ids) > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros(max(len(ids), len(self.values)), np.int32)])
-        self.values[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.at.append(self.used)
+        self.values, self.used, self.at = np.zeros(1 << 16, np.int32), 0, [np.zeros(1, np.int64)]
+
+    def add(self, lists: list) -> np.ndarray:
+        """Appends lists; returns all their numbers."""
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        new = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        if self.used + len(new) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(max(len(new), len(self.values)), np.int32)])
+        self.values[self.used : self.used + len(new)] = new
+        self.at.append(self.used + np.cumsum(size))
+        self.used += len(new)
+        return new
 
     def lists(self) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.array(self.at, np.int32)), pa.array(self.values[: self.used]))
+        self.at = [np.concatenate(self.at)]
+        return pa.ListArray.from_arrays(pa.array(self.at[0].astype(np.int32)), pa.array(self.values[: self.used]))
 
 
 class Pair:
@@ -92,7 +98,7 @@ class Pair:
         self._forget()
 
     def _forget(self) -> None:
-        self.place, self.pools, self.good = {}, (_Pool(), _Pool()), []
+        self.place, self.pools, self.good = {}, (_Pool(), _Pool()), [np.zeros(0, bool)]
 
     def units(self, raw: list) -> tuple[pa.Array, pa.ListArray, pa.ListArray, np.ndarray]:
         """Of distinct units: their places among what is remembered, all remembered lists of A and B ids, and which give back their bytes."""
@@ -102,15 +108,17 @@ class Pair:
         for x in range(0, len(new), 4096):
             part = new[x : x + 4096]
             texts = [u.decode("utf-8", "replace") for u in part]
-            ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-            ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # the model adds the space again
-            for u, ia, ib in zip(part, ids_a, ids_b):
-                self.place[u] = len(self.good)
-                self.pools[0].add(ia)
-                self.pools[1].add(ib)
-                self.good.append(b"".join([self.a_bytes[i] for i in ia]) == u and b"".join([self.b_bytes[i] for i in ib]) == u)
+            ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)  # B adds the space again
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+            raw_ = b"".join(part)
+            good = np.ones(len(part), bool)
+            for pool, names, lists in zip(self.pools, (self.a_bytes, self.b_bytes), ids):
+                back = [names[i] for i in pool.add(lists).tolist()]
+                if b"".join(back) != raw_:
+                    good &= [b"".join([names[i] for i in x]) == u for x, u in zip(lists, part)]
+            self.good.append(good)
         at = pa.array(np.fromiter((self.place[u] for u in raw), np.int64, len(raw)))
-        return at, self.pools[0].lists(), self.pools[1].lists(), np.array(self.good, bool)
+        return at, self.pools[0].lists(), self.pools[1].lists(), np.concatenate(self.good)
 
 
 @lru_cache(maxsize=2)
@@ -121,12 +129,13 @@ def pair(byte_path: str, piece_path: str) -> Pair:
 
 def unit_bounds(buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Offsets of the units of texts at ``edges``: cuts before a space that follows a printable ASCII or a Latin-1 letter and doesn't end its text."""
-    if not len(buf):
-        return np.unique(edges)
     safe = (buf > 0x20) & (buf < 0x7F)
     safe[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0)
-    cut = np.flatnonzero((buf[1:] == 0x20) & safe[:-1]) + 1
-    return np.union1d(np.setdiff1d(cut, edges[1:] - 1, assume_unique=False), edges)
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[1:-1] = (buf[1:] == 0x20) & safe[:-1]
+    cut[edges[edges > 0] - 1] = False
+    cut[edges] = True
+    return np.flatnonzero(cut)
 
 
 def _ends(lists: pa.ListArray, sizes: pa.Array) -> tuple[pa.Array, pa.Array]:
