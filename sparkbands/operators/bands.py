@@ -16,16 +16,17 @@ from ..storage import stored
 
 
 def aggregate_l2(track: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """Mean and median of each sample over the windows of each envelope (env_id, s0, e0, bounds included)."""
+    """Mean and median of each sample over the windows of each envelope (env_id, s0, e0, bounds included), and the mean of the second component ``value2`` if there is one."""
     inside = envelopes.select("env_id", F.explode(F.sequence("s0", "e0")).alias("w"))
-    return track.where("value is not null").join(inside, "w").groupBy("env_id", "sample_id").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.count("*").alias("n_windows"))
+    rows = track.where("value is not null").join(inside, "w").groupBy("env_id", "sample_id")
+    second = [F.avg("value2").alias("mean2")] if "value2" in track.columns else []
+    return rows.agg(F.avg("value").alias("mean"), F.median("value").alias("median"), *second, F.count("*").alias("n_windows"))
 
 
-def cluster_l2(bands: DataFrame, windows: DataFrame, least: int = 3, least_windows: int = 2) -> DataFrame:
-    """Per envelope, whether its clusters can be used: every band of at least ``least`` samples, and enough windows."""
-    b = bands.groupBy("env_id", "k").agg(F.count("*").alias("n")).groupBy("env_id").agg(F.count("*").alias("n_bands"), F.min("n").alias("smallest"))
-    b = b.join(windows, "env_id")
-    return b.withColumn("flag", F.when(F.col("n_windows") < least_windows, "LOW_NWIN").when(F.col("smallest") < least, "LOW_GROUP_N").otherwise("ok"))
+def cluster_l2(best: DataFrame, windows: DataFrame, least: int = 3, least_windows: int = 2) -> DataFrame:
+    """Per envelope, what was chosen (env_id, used_k, silhouette, smallest) and whether its clusters can be used: every one of at least ``least`` samples, and enough windows (env_id, n_windows)."""
+    flag = F.when(F.col("n_windows") < least_windows, "LOW_NWIN").when(F.col("smallest") < least, "LOW_GROUP_N").otherwise("ok")
+    return best.join(windows, "env_id").withColumn("flag", flag)
 
 
 def sign_align(track: DataFrame, hold: float = 0.10, keys: tuple = ()) -> DataFrame:
@@ -389,9 +390,9 @@ def k_band_votes(labels: DataFrame, perms: DataFrame) -> DataFrame:
 
 
 def k_labels_table(bands: DataFrame, samples: DataFrame, envelopes: DataFrame, quality: DataFrame) -> DataFrame:
-    """One row for each envelope and sample: bounds, family, label, silhouette, flag."""
+    """One row for each envelope and sample: bounds, family, used k, adaptive and fixed label, silhouette, flag."""
     out = bands.join(samples.select("sample_id", "family_id"), "sample_id", "left").join(envelopes, "env_id").join(quality, "env_id", "left")
-    return out.select("env_id", "s0", "e0", "sample_id", "family_id", "k", "silhouette", "flag")
+    return out.select("env_id", "s0", "e0", "sample_id", "family_id", "used_k", "k", "fixed_k", "silhouette", "flag")
 
 
 def merge_layers(base: DataFrame, layers: DataFrame, allowed: list) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from . import kmeans
 
 
 def align_labels(table: DataFrame, by: list, classes: int = 3) -> DataFrame:
@@ -35,32 +36,10 @@ def band_reach(labels: DataFrame, narrow: int = 2) -> DataFrame:
 
 
 def kmeans_1d(track: DataFrame, k: int = 3, rounds: int = 12, by: str = "w") -> DataFrame:
-    """Labels 0 .. k-1 by centre within each window (or other key); seeds are the quantiles at (i + 0.5) / k, to four digits, ties go to the lower centre.
-
-    Values are written once; a round is one aggregate, and only the centres, k
-    numbers a window, come to the driver, so a window of any size is spread.
-    """
+    """Labels 0 .. k-1 by centre within each window (or other key); seeds at floor((i + 0.5) / k * n), values halfway go to the lower centre."""
     rows = stored(track.where("value is not null").select(by, "sample_id", "value"))
-    names = [f"c{i}" for i in range(k)]
-    seeds = rows.groupBy(by).agg(*(F.expr(f"percentile_disc({round((i + 0.5) / k, 4)}) within group (order by value)").alias(c) for i, c in enumerate(names)))
-    centres = {r[by]: list(r)[1:] for r in seeds.select(by, *names).collect()}
-    kind = dict(rows.dtypes)[by]
-    off = F.array(*(F.abs(F.col("value") - F.col(c)) for c in names))
-    near = (F.array_position(off, F.array_min(off)) - 1).cast("int")
-
-    def labelled() -> DataFrame:
-        table = rows.sparkSession.createDataFrame([(w, *c) for w, c in centres.items()], f"{by} {kind}, " + ", ".join(f"{c} double" for c in names))
-        return rows.join(table, by).withColumn("j", near)
-
-    for _ in range(rounds):
-        found = labelled().groupBy(by).agg(*(F.avg(F.when(F.col("j") == i, F.col("value"))).alias(c) for i, c in enumerate(names))).collect()
-        new = {r[by]: [m if m is not None else old for m, old in zip((r[c] for c in names), centres[r[by]])] for r in found}
-        still = all(abs(m - old) <= 1e-12 * max(1.0, abs(old)) for w in new for m, old in zip(new[w], centres[w]))  # sums differ in their last digits
-        centres = new
-        if still:
-            break
-    rank = sum((F.when((F.col(c) < F.get(F.array(*names), "j")) | ((F.col(c) == F.get(F.array(*names), "j")) & (F.lit(i) < F.col("j"))), 1).otherwise(0) for i, c in enumerate(names)), F.lit(0))
-    return labelled().select(by, "sample_id", rank.cast("int").alias("k"), "value")
+    fit = kmeans.fitted(kmeans.packed(rows, [by]), [by], (k,), rounds)
+    return kmeans.labelled(rows, fit, [by], k).select(by, "sample_id", "k", "value")
 
 
 def silhouette_1d(rows: DataFrame) -> DataFrame:

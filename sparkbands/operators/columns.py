@@ -47,7 +47,7 @@ def classify_dosage_mean(mean: Column, n: Column, least: int = 5) -> Column:
 
 
 def classify_window(quality: Column, v: Column, h_off: Column) -> Column:
-    call = F.when((quality < 0.40) | v.isNull(), "UNRELIABLE").when(v >= 0.70, "INTERIOR").when(v < 0.40, "REGIME_END")
+    call = F.when(F.coalesce(quality < 0.40, F.lit(True)) | v.isNull(), "UNRELIABLE").when(v >= 0.70, "INTERIOR").when(v < 0.40, "REGIME_END")
     return call.when(h_off.isNull() | (h_off <= 0.40), "CROSSOVER").otherwise("REGIME_END")
 
 

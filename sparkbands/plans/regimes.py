@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clusters, columns
+from ..operators import aggregates, clusters, columns, kmeans
 from ..storage import stored
 
 
 def regime_table(track: DataFrame) -> DataFrame:
     """One row per window: bands, silhouette, association with the next window, chain and class.
 
-    Bands are worked out and written once; all that follows reads them.
+    Values are packed and bands are worked out and written once; all that follows reads them.
     """
-    bands = stored(clusters.kmeans_1d(track))
+    rows = stored(track.where("value is not null").select("w", "sample_id", "value"))
+    p = kmeans.packed(rows, ["w"])
+    fit = kmeans.fitted(p, ["w"], (3,))
+    bands = stored(kmeans.labelled(rows, fit, ["w"], 3))
+    sil = kmeans.scores(p, fit, ["w"], 3).join(fit.select("w", F.col("total").alias("n")), "w").select("w", "silhouette", "n")
     table = stored(aggregates.contingency_table(aggregates.label_pairs(bands.select("w", "sample_id", "k")), ["w"]))
     scores = aggregates.contingency_scores(table, ["w"]).select("w", "v", "ari")
     aligned = clusters.align_labels(table, ["w"])
     chain = clusters.chains(aligned).join(aligned.select("w", (1 - F.col("concordance")).alias("rate")), "w")
-    out = clusters.silhouette_1d(bands).join(scores, "w", "left").join(chain, "w", "left")
+    out = sil.join(scores, "w", "left").join(chain, "w", "left")
     return out.withColumn("class", columns.classify_window(F.col("silhouette"), F.col("v"), F.lit(None).cast("double")))

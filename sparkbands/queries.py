@@ -518,16 +518,16 @@ def adjacent_transition_rate(v: Views) -> DataFrame:
     return O.adjacent_transition_rate(C.align_labels(A.contingency_table(A.label_pairs(v.labels), ["w"]), ["w"]))
 
 
-def kmeans_sql(source: str, by: str = "w", rounds: int = 12) -> str:
-    """``bands``: three clusters of each key's values, by as many rounds as the operator takes at most."""
-    seeds = ", ".join(f"quantile_disc(value, {round((i + 0.5) / 3, 4)}) as c{i}" for i in range(3))
-    near = "case when abs(value - c0) <= abs(value - c1) and abs(value - c0) <= abs(value - c2) then 0 when abs(value - c1) <= abs(value - c2) then 1 else 2 end"
-    out = f", k0 as (select {by}, {seeds} from {source} where value is not null group by {by})"
-    for r in range(1, rounds + 1):
-        mean = ", ".join(f"coalesce(avg(value) filter (j = {i}), any_value(c{i})) as c{i}" for i in range(3))
-        out += f", k{r} as (select {by}, {mean} from (select x.{by}, value, c0, c1, c2, {near} as j from {source} x join k{r - 1} y on x.{by} = y.{by} where value is not null) group by {by})"
-    rank = "case j when 0 then (c1 < c0)::int + (c2 < c0)::int when 1 then (c0 <= c1)::int + (c2 < c1)::int else (c0 <= c2)::int + (c1 <= c2)::int end"
-    return out + f", bands as (select {by}, sample_id, {rank} as k, value from (select x.{by}, sample_id, value, c0, c1, c2, {near} as j from {source} x join k{rounds} y on x.{by} = y.{by} where value is not null))"
+def kmeans_sql(source: str, by: str = "w", rounds: int = 12, k: int = 3, out: str = "bands") -> str:
+    """``bands``: k clusters of each key's values, by as many rounds as the operator takes."""
+    seeds = ", ".join(f"list_sort(list(value))[least(count(*) - 1, {2 * i + 1} * count(*) // {2 * k}) + 1] as c{i}" for i in range(k))
+    near = " + ".join(["0", *(f"(value > (c{i} + c{i + 1}) / 2)::int" for i in range(k - 1))])
+    cols = ", ".join(f"c{i}" for i in range(k))
+    text = f", {out}_k0 as (select {by}, {seeds} from {source} where value is not null group by {by})"
+    for r in range(1, rounds):
+        mean = ", ".join(f"coalesce(avg(value) filter (j = {i}), any_value(c{i})) as c{i}" for i in range(k))
+        text += f", {out}_k{r} as (select {by}, {mean} from (select x.{by}, value, {cols}, {near} as j from {source} x join {out}_k{r - 1} y on x.{by} = y.{by} where value is not null) group by {by})"
+    return text + f", {out} as (select x.{by}, sample_id, {near} as k, value from {source} x join {out}_k{rounds - 1} y on x.{by} = y.{by} where value is not null)"
 
 
 @query(kmeans_sql("per_window") + " select w, sample_id, k, round(value, 9) as value from bands")
@@ -535,15 +535,28 @@ def kmeans_1d(v: Views) -> DataFrame:
     return C.kmeans_1d(v.track)
 
 
+def adaptive_sql(source: str, by: str = "w", ks: tuple = (2, 3, 4), least: int = 3) -> str:
+    """``bands`` with the number of clusters of the highest silhouette, and ``best`` (key, used_k, silhouette, smallest)."""
+    text = "".join(kmeans_sql(source, by, k=k, out=f"b{k}") for k in ks)
+    text += ", bk as (" + " union all ".join(f"(select {k} as kk, {by}, sample_id, k, value from b{k})" for k in ks) + ")"
+    return text + f""", bp as (select x.kk, x.{by}, x.sample_id, x.k, y.k as kb, sum(abs(x.value - y.value)) as d, count(*) as m from bk x join bk y on x.kk = y.kk and x.{by} = y.{by} group by all),
+bq as (select kk, {by}, sample_id, k, max(case when k = kb then d / nullif(m - 1, 0) end) as a, min(case when k <> kb then d / m end) as b from bp group by all),
+bs as (select kk, {by}, case when count(*) >= 4 and count(distinct k) = kk and count(a) = count(*) then avg(case when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end) end as sil, count(*) as n from bq group by kk, {by}),
+bz as (select kk, {by}, case when count(*) = kk then min(m) else 0 end as smallest from (select kk, {by}, k, count(*) as m from bk group by all) group by kk, {by}),
+bb as (select kk, {by}, sil, smallest, smallest >= {least} and sil is not null as fair from bs join bz using (kk, {by}) where n >= {min(ks) * least}),
+best as (select {by}, kk as used_k, sil as silhouette, smallest from bb qualify row_number() over (partition by {by} order by fair desc, case when fair then round(sil, 9) end desc, kk) = 1),
+bands as (select bk.{by}, sample_id, k, value from bk join best on best.{by} = bk.{by} and used_k = kk)"""
+
+
 _ON_BANDS = kmeans_sql("per_window") + (_PAIRS + _SCORES + _PERM + _SIL).replace("per_window", "bands")
 
 
 @query(
     _ON_BANDS
-    + """, si as (select w, avg(case when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end) as silhouette, count(*) as n from ab where a is not null and b is not null group by 1),
+    + """, si as (select w, case when count(*) >= 4 and count(distinct k) = 3 and count(a) = count(*) then avg(case when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end) end as silhouette, count(*) as n from ab group by 1),
 ch as (select w, sum((concordance < 0.50)::int) over (order by w)::bigint as chain, concordance from al)
 select w, round(silhouette, 9) as silhouette, si.n, round(v, 9) as v, round(ari, 9) as ari, chain, round(concordance, 9) as concordance, round(1 - concordance, 9) as rate,
- case when silhouette < 0.40 or v is null then 'UNRELIABLE' when v >= 0.70 then 'INTERIOR' when v < 0.40 then 'REGIME_END' else 'CROSSOVER' end as class
+ case when coalesce(silhouette < 0.40, true) or v is null then 'UNRELIABLE' when v >= 0.70 then 'INTERIOR' when v < 0.40 then 'REGIME_END' else 'CROSSOVER' end as class
 from si left join sc using (w) left join ch using (w)"""
 )
 def regime_pipeline(v: Views) -> DataFrame:

@@ -7,50 +7,56 @@ from pyspark.sql import functions as F
 
 from .operators import bands as D
 from .operators import clusters as C
+from .operators import kmeans as K
 from .operators import votes as V
 from .registry import query
 from .views import Views
 
 
 def _envelopes(v: Views) -> DataFrame:
-    """Three windows an envelope."""
-    return v.spark.createDataFrame([(e, 3 * e, 3 * e + 2) for e in range(4)], "env_id int, s0 int, e0 int")
+    """Three windows an envelope, as many as the track has."""
+    return v.track.select(F.floor(F.col("w") / 3).cast("int").alias("env_id")).distinct().select("env_id", (F.col("env_id") * 3).alias("s0"), (F.col("env_id") * 3 + 2).alias("e0"))
 
 
-_ENV = ", agg as (select w // 3 as env_id, sample_id, avg(value) as mean, median(value) as median, count(*) as n_windows from per_window group by all)"
+_ENV = ", agg as (select w // 3 as env_id, sample_id, avg(value) as mean, median(value) as median, avg(k) as mean2, count(*) as n_windows from per_window group by all), envs as (select distinct w // 3 as env_id from per_window)"
 
 
-@query(_ENV + " select env_id, sample_id, round(mean, 9) as mean, round(median, 9) as median, n_windows from agg")
+@query(_ENV + " select env_id, sample_id, round(mean, 9) as mean, round(median, 9) as median, round(mean2, 9) as mean2, n_windows from agg")
 def aggregate_l2(v: Views) -> DataFrame:
-    return D.aggregate_l2(v.track, _envelopes(v))
+    return D.aggregate_l2(v.per_window.withColumn("value2", F.col("k")), _envelopes(v))
 
 
-def _env_bands(v: Views) -> DataFrame:
-    return C.kmeans_1d(D.aggregate_l2(v.track, _envelopes(v)).select("env_id", "sample_id", F.col("mean").alias("value")), by="env_id")
+def _env_bands(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Labels by the best number of clusters of each envelope, and what was chosen."""
+    rows = D.aggregate_l2(v.track, _envelopes(v)).select("env_id", "sample_id", F.col("mean").alias("value"))
+    return K.adaptive(rows, ["env_id"], 2, 4, 3)
 
 
 def _l2(then: str) -> str:
-    from .queries import kmeans_sql
+    from .queries import adaptive_sql, kmeans_sql
 
-    return _ENV + ", src as (select env_id, sample_id, mean as value from agg)" + kmeans_sql("src", "env_id") + then
+    return _ENV + ", src as (select env_id, sample_id, mean as value from agg)" + adaptive_sql("src", "env_id") + kmeans_sql("src", "env_id", out="fixed") + then
 
 
-_FLAG = ", bn as (select env_id, k, count(*) as n from bands group by all), fl as (select env_id, count(*) as n_bands, min(n) as smallest, 3 as n_windows, case when min(n) < 3 then 'LOW_GROUP_N' else 'ok' end as flag from bn group by env_id)"
+_FLAG = ", en as (select w // 3 as env_id, count(distinct w) as n_windows from per_window group by all), fl as (select env_id, used_k, best.silhouette, smallest, n_windows, case when n_windows < 2 then 'LOW_NWIN' when smallest < 3 then 'LOW_GROUP_N' else 'ok' end as flag from best join en using (env_id))"
 
 
-def _flags(v: Views, bands: DataFrame) -> DataFrame:
-    return D.cluster_l2(bands, _envelopes(v).select("env_id", (F.col("e0") - F.col("s0") + 1).alias("n_windows")))
+def _flags(v: Views, best: DataFrame) -> DataFrame:
+    n = v.track.select("w").distinct().groupBy(F.floor(F.col("w") / 3).cast("int").alias("env_id")).agg(F.count("*").alias("n_windows"))
+    return D.cluster_l2(best, n)
 
 
-@query(_l2(_FLAG + " select * from fl"))
+@query(_l2(_FLAG + " select env_id, used_k, round(silhouette, 9) as silhouette, smallest, n_windows, flag from fl"))
 def cluster_l2(v: Views) -> DataFrame:
-    return _flags(v, _env_bands(v))
+    return _flags(v, _env_bands(v)[1])
 
 
-@query(_l2(_FLAG + " select b.env_id, b.env_id * 3 as s0, b.env_id * 3 + 2 as e0, b.sample_id, family_id, k, null::double as silhouette, flag from bands b left join samples using (sample_id) join fl using (env_id)"))
+@query(_l2(_FLAG + " select b.env_id, b.env_id * 3 as s0, b.env_id * 3 + 2 as e0, b.sample_id, family_id, used_k, b.k, f.k as fixed_k, round(fl.silhouette, 9) as silhouette, flag from bands b join fixed f on f.env_id = b.env_id and f.sample_id = b.sample_id left join samples on samples.sample_id = b.sample_id join fl on fl.env_id = b.env_id"))
 def k_labels_table(v: Views) -> DataFrame:
-    bands = D.stored(_env_bands(v))
-    return D.k_labels_table(bands, v.samples, _envelopes(v), _flags(v, bands).withColumn("silhouette", F.lit(None).cast("double")))
+    bands, best = _env_bands(v)
+    bands = D.stored(bands)
+    fixed = C.kmeans_1d(bands.select("env_id", "sample_id", "value"), by="env_id").select("env_id", "sample_id", F.col("k").alias("fixed_k"))
+    return D.k_labels_table(bands.join(fixed, ["env_id", "sample_id"]), v.samples, _envelopes(v), _flags(v, best))
 
 
 @query(
