@@ -109,7 +109,9 @@ def _numbered(messages: DataFrame) -> DataFrame:
 
 def linked(conversations: DataFrame) -> DataFrame:
     """One row per message: its number, its quotes, the message it replies to, and its text without quotes."""
-    messages = conversations.groupBy("conv_id", "turn").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "role")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    messages = conversations.where(placed).groupBy("conv_id", "turn").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "role")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    lone = conversations.where(~placed).select("conv_id", "turn", "role", "text")  # each a message of its own
     quoted = written(passages(messages), "passages")
     whole = quoted.select("conv_id", "turn", "passage", "level", "lines", *two_hashes(F.array_join("lines", "\n")))
     wanted = quoted.select(F.xxhash64(F.get("lines", F.lit(0))).alias("first"), F.size("lines").alias("n"))
@@ -126,7 +128,7 @@ def linked(conversations: DataFrame) -> DataFrame:
         F.max("level").alias("depth"),
         F.max(F.when(F.col("to_turn").isNotNull(), F.struct(-F.col("level"), (F.col("to_conv") == F.col("conv_id")).alias("same"), "to_turn", "to_conv"))).alias("best"),
     )
-    out = _numbered(messages).join(links, ["conv_id", "turn"], "left")
+    out = _numbered(messages).join(links, ["conv_id", "turn"], "left").unionByName(lone, allowMissingColumns=True)
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^[ \t]*>.*(?:\r?\n|$)", "")
     return out.select(
         "conv_id",
@@ -143,7 +145,8 @@ def linked(conversations: DataFrame) -> DataFrame:
 
 def threads(messages: DataFrame) -> DataFrame:
     """Rows of linked() with ``position``, a conversation's reply order from 0, sorted by it."""
-    rows = written(messages, "messages")
+    every = written(messages, "messages")
+    rows, lone = every.where("o is not null"), every.where("o is null")
     # runs of turns that each reply to the one before: head is the number of the first
     rows = rows.withColumns({"run": F.floor(F.col("o") / _RUN), "h": F.when(F.col("head"), F.col("o"))})
     carried = rows.groupBy("conv_id", "run").agg(F.max("h").alias("top"))
@@ -162,7 +165,8 @@ def threads(messages: DataFrame) -> DataFrame:
     placed = _tour(segs.join(many, "conv_id", "left_semi"))
     out = rows.join(placed, ["conv_id", "seg"], "left")
     out = out.withColumn("position", F.when(F.col("seg").isNotNull(), F.coalesce("begin", F.lit(0)) + F.col("o") - F.col("seg")))
-    return out.drop("o", "head", "seg", "begin").orderBy("conv_id", "position", "turn")
+    out = out.drop("o", "head", "seg", "begin").unionByName(lone.drop("o", "head"), allowMissingColumns=True)
+    return out.orderBy("conv_id", "position", "turn")
 
 
 def _tour(segs: DataFrame) -> DataFrame:
