@@ -9,8 +9,10 @@ ascend together, a bit at a time, until the distinct rows under the prefixes are
 as many as wanted; in the last step tree after tree goes up.  Those candidates
 alone are compared by cosine in double precision.
 
-What is wanted is ``effort * rows ** 0.75`` of all rows, a shard's part of it
-in each shard, so the share that is compared falls as the table grows.  Queries
+What is wanted is ``effort * rows ** 0.75`` of all rows and ``least`` at the
+least, a shard's part of it in each shard, so the share that is compared falls as
+the table grows; a table of at most ``least`` rows is climbed to the roots, which
+is exact.  Queries
 are met in blocks that are broadcast, of at most ``block`` numbers, and the best
 ``k`` of every shard are merged per query; rows are neither copied nor shuffled,
 so a hot vector or label makes no hot task.
@@ -112,14 +114,14 @@ class Forest:
         return out
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 256, effort: float = 1.45, shard: int = 8192, block: int = 1 << 20) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 256, effort: float = 1.45, least: int = 1024, shard: int = 8192, block: int = 1 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score, n_compared): the k nearest found of each row whose id is divisible by ``every``, and how many rows the query was compared with."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     asked = rows.where(F.col("vec_id") % every == 0)
     n = rows.count()
     q, longest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    share = min(1.0, effort * max(n, 1) ** -0.25)
+    share = min(1.0, max(effort * max(n, 1) ** -0.25, least / max(n, 1)))
     blocks = max(1, -(-q * longest // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)))
 
