@@ -178,7 +178,7 @@ def het_band_candidate(bands: DataFrame) -> DataFrame:
     every = W.partitionBy("id")
     b = bands.withColumns({"lo": F.min("mean").over(every), "hi": F.max("mean").over(every), "n": F.count("*").over(every)}).where("n >= 3")
     share = F.when(F.col("hi") > F.col("lo"), (F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    b = b.withColumns({"share": share, "off": F.abs(F.col("mean") - (F.col("lo") + F.col("hi")) / 2), "dev": F.abs(F.col("dosage") - 1)})
+    b = b.withColumns({"share": share, "off": F.round(F.abs(F.col("mean") - (F.col("lo") + F.col("hi")) / 2), 9), "dev": F.abs(F.col("dosage") - 1)})
     key = lambda ok, x: F.min(F.when(ok, F.struct(F.col(x), "k")))
     t = b.groupBy("id").agg(key(F.col("share").between(0.2, 0.8), "off").alias("m"), key(F.col("dev") <= 0.35, "dev").alias("d"))
     return t.select("id", F.coalesce("m.k", "d.k").alias("k"), F.when(F.col("m").isNotNull(), "midpoint").when(F.col("d").isNotNull(), "dosage").alias("by"))

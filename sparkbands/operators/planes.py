@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -99,87 +100,149 @@ def subsample_control(values: DataFrame, observed: DataFrame, reps: int = 1000)
     return t.withColumn("verdict", F.when(F.col("p") < 0.05, "real_reduction").when(F.col("p") > 0.5, "consistent_with_sample_size").otherwise("inconclusive"))
 
 
-def single_band_track(jaccards: DataFrame, seeds: DataFrame, least: float = 0.5) -> DataFrame:
-    """From each seed (chrom, seed, w, a), step by step to the band with the largest Jaccard in the next window either way, until it is below ``least``.
+def best_partners(jaccards: DataFrame, least: float = 0.5) -> DataFrame:
+    """(chrom, side, w, k, to_w, to_k, jaccard): the best partner of each band in the next window to the right (side 1) and the left (-1), if it reaches ``least``."""
+    j = jaccards.where(F.col("jaccard") >= least)
+    return j.select("chrom", (F.col("w2") - F.col("w1")).cast("int").alias("side"), F.col("w1").alias("w"), F.col("a").alias("k"), F.col("w2").alias("to_w"), F.col("b").alias("to_k"), "jaccard")
 
-    jaccards is (chrom, w1, w2, a, b, jaccard), the best partner of each band in
-    both neighbours: a few rows for each window, one chromosome a group.
-    """
 
-    def walk(edges: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(start):
-            return pd.DataFrame([], columns=["chrom", "seed", "w", "band", "jaccard"])
-        edges = edges if len(edges) else pd.DataFrame([], columns=["w1", "w2", "a", "b", "jaccard"])
-        best = {(w1, w2, a): (b, j) for w1, w2, a, b, j in zip(edges["w1"], edges["w2"], edges["a"], edges["b"], edges["jaccard"])}
-        out = []
-        for c, seed, w, a in zip(start["chrom"], start["seed"], start["w"], start["a"]):
-            out.append((c, seed, w, a, 1.0))
-            for step in (-1, 1):
-                at, band = w, a
-                while (found := best.get((at, at + step, band))) and found[1] >= least:
-                    at, band = at + step, found[0]
-                    out.append((c, seed, at, band, found[1]))
-        return pd.DataFrame(out, columns=["chrom", "seed", "w", "band", "jaccard"])
+def single_band_track(partners: DataFrame, seeds: DataFrame) -> DataFrame:
+    """From each seed (chrom, w, k), step by step to the best partner either way: (chrom, seed_w, seed_k, w, k, jaccard), a seed itself with 1.
 
-    return jaccards.groupBy("chrom").cogroup(seeds.groupBy("chrom")).applyInPandas(walk, "chrom string, seed int, w int, band int, jaccard double")
+    ``partners`` is best_partners().  Steps are doubled: what is reached within
+    2**i windows goes on by jumps of 2**i, for all seeds and chromosomes at once,
+    so rounds are a logarithm of the longest track.
+    """
+    names = ["chrom", "side", "w", "k"]
+    jump = stored(partners.select(*names, "to_w", "to_k", "jaccard"))
+    one = seeds.select("chrom", F.col("w").alias("seed_w"), F.col("k").alias("seed_k"), "w", "k", F.lit(1.0).alias("jaccard")).distinct()
+    sides = F.explode(F.array(F.lit(-1), F.lit(1)))
+    reached = stored(one.withColumn("side", sides))
+    while not jump.isEmpty():
+        onward = jump.withColumnRenamed("jaccard", "next")
+        more = reached.join(onward, names).select("chrom", "seed_w", "seed_k", F.col("to_w").alias("w"), F.col("to_k").alias("k"), F.col("next").alias("jaccard"), "side")
+        reached = stored(reached.unionByName(more))
+        then = jump.select("chrom", "side", F.col("w").alias("to_w"), F.col("k").alias("to_k"), F.col("to_w").alias("w2"), F.col("to_k").alias("k2"), F.col("jaccard").alias("next"))
+        jump = stored(jump.join(then, ["chrom", "side", "to_w", "to_k"]).select(*names, F.col("w2").alias("to_w"), F.col("k2").alias("to_k"), F.col("next").alias("jaccard")))
+    return reached.where("side = 1 or w <> seed_w").drop("side")
 
 
 def het_skeleton(track: DataFrame, means: DataFrame, windows: DataFrame) -> DataFrame:
-    """A tracked band's share of the span of band means in each window, and where the track begins and ends."""
-    span = means.groupBy("w").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
-    rows = track.join(means.withColumnRenamed("k", "band"), ["w", "band"]).join(span, "w").join(windows, ["chrom", "w"])
+    """Per seed (chrom, seed_w, seed_k) of a track: its windows, where it begins and ends, the band's mean share of the span of band means, and how well steps hold on.
+
+    ``means`` is (chrom, w, k, mean), ``windows`` (chrom, w, start_bp, end_bp).
+    """
+    span = means.groupBy("chrom", "w").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
+    rows = track.join(means, ["chrom", "w", "k"]).join(span, ["chrom", "w"]).join(windows, ["chrom", "w"])
     share = F.when(F.col("hi") > F.col("lo"), (F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return rows.groupBy("chrom", "seed").agg(F.min("start_bp").alias("start_bp"), F.max("end_bp").alias("end_bp"), F.avg(share).alias("mean_share"), F.count("*").alias("n_windows"))
+    step = F.when(F.col("w") != F.col("seed_w"), F.col("jaccard"))
+    return rows.groupBy("chrom", "seed_w", "seed_k").agg(
+        F.min("w").alias("s"),
+        F.max("w").alias("e"),
+        F.min("start_bp").alias("start_bp"),
+        F.max("end_bp").alias("end_bp"),
+        F.count("*").alias("n_windows"),
+        F.avg(share).alias("mean_share"),
+        F.coalesce(F.avg(step), F.lit(0.0)).alias("mean_continuity"),
+        F.coalesce(F.min(step), F.lit(0.0)).alias("min_continuity"),
+    )
 
 
 def merge_het_intervals(intervals: DataFrame, gap: int = 100_000, least: float = 0.5) -> DataFrame:
-    """Intervals (chrom, id, start_bp, end_bp, core) by start: one joins the stretch before it if it is near and its core's Jaccard with the stretch's union reaches ``least``."""
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        union: set = set()
-        for r in frame.sort_values(["start_bp", "end_bp", "id"]).itertuples(index=False):
-            core = set(r.core)
-            if out and r.start_bp - out[-1][2] <= gap and len(core & union) >= least * max(1, len(core | union)):
-                out[-1][2] = max(out[-1][2], r.end_bp)
-                out[-1][3] += 1
-                union |= core
-            else:
-                out.append([r.chrom, r.start_bp, r.end_bp, 1, 0])
-                union = core
-            out[-1][4] = len(union)
-        return pd.DataFrame(out, columns=["chrom", "start_bp", "end_bp", "n", "n_core"])
-
-    return intervals.groupBy("chrom").applyInPandas(merge, "chrom string, start_bp long, end_bp long, n int, n_core int")
+    """Intervals (chrom, id, start_bp, end_bp, core) by start: one joins the stretch before it if it is near and its core's Jaccard with the stretch's union reaches ``least``.
+
+    ``core`` is the bitmap of a sample set, an array of (chunk, b0 .. b3).  Where
+    an interval is further than ``gap`` from all before it, the gap alone breaks;
+    only what lies between such breaks is walked, in order, holding one union.
+    """
+    by = W.partitionBy("chrom").orderBy("start_bp", "end_bp", "id")  # a row for each interval, without its core
+    far = F.max("end_bp").over(by.rowsBetween(W.unboundedPreceding, -1))
+    cut = F.coalesce(F.col("start_bp") - far > gap, F.lit(True)).cast("int")
+    at = intervals.select("chrom", "id", "start_bp", "end_bp").withColumn("cut", cut).withColumn("part", F.sum("cut").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = intervals.join(at.select("chrom", "id", "part"), ["chrom", "id"]).repartition("chrom", "part").sortWithinPartitions("chrom", "part", "start_bp", "end_bp", "id")
+    size = lambda bits: sum(int(w & _ALL).bit_count() for ws in bits.values() for w in ws)
+
+    def run(frames):
+        last, union = None, {}
+        for f in frames:
+            done = []
+            for chrom, part, start, end, core in f.itertuples(index=False):
+                bits = {c["chunk"]: [int(c[b]) for b in ("b0", "b1", "b2", "b3")] for c in core}
+                joins = False
+                if last and (last[0], last[1]) == (chrom, part) and start - last[3] <= gap:
+                    both = size({k: [x & y for x, y in zip(bits[k], union[k])] for k in bits.keys() & union.keys()})
+                    whole = size(bits) + size(union) - both
+                    joins = both >= least * whole if whole else least <= 0
+                if joins:
+                    last[3], last[4] = max(last[3], end), last[4] + 1
+                    for k, ws in bits.items():
+                        union[k] = [x | y for x, y in zip(ws, union.get(k, (0, 0, 0, 0)))]
+                else:
+                    if last:
+                        done.append((last[0], last[2], last[3], last[4], size(union)))
+                    last, union = [chrom, part, start, end, 1], bits
+            yield pd.DataFrame(done, columns=["chrom", "start_bp", "end_bp", "n", "n_core"])
+        if last:
+            yield pd.DataFrame([(last[0], last[2], last[3], last[4], size(union))], columns=["chrom", "start_bp", "end_bp", "n", "n_core"])
+
+    return rows.select("chrom", "part", "start_bp", "end_bp", "core").mapInPandas(run, "chrom string, start_bp long, end_bp long, n int, n_core int")
+
+
+_ALL = (1 << 64) - 1
 
 
 def grow_span(windows: DataFrame, focal: DataFrame, target: float, size: str) -> DataFrame:
-    """From each focal window (chrom, w), windows are taken in from the side that has given less (left if equal) until they hold ``target`` of ``size``."""
+    """From each focal window (chrom, w), windows are taken in from the side that has given less (left if equal) until they hold ``target`` of ``size``.
+
+    A window is taken when its side has given what lies between it and the focal
+    one, so the order is a merge of two rising sequences of running sums, and the
+    last window taken is found by bisection on either side.  Null sizes are 0.
+    Returns (chrom, w, first, last, held, met, asymmetric): whether the target is
+    reached, and whether a chromosome's end forced the side.
+    """
 
     def grow(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(start):
-            return pd.DataFrame([], columns=["chrom", "w", "first", "last", "held"])
         rows = rows.sort_values("w")
-        w, n = rows["w"].tolist(), rows[size].astype(float).tolist()
-        at, out = {x: i for i, x in enumerate(w)}, []
-        for c, f in zip(start["of"], start["at"]):
-            if f not in at:
-                continue
-            a = b = at[f]
-            left = right = 0.0
-            while n[at[f]] + left + right < target and (a > 0 or b < len(w) - 1):
-                if a > 0 and (left <= right or b == len(w) - 1):
-                    a -= 1
-                    left += n[a]
-                else:
-                    b += 1
-                    right += n[b]
-            out.append((c, f, w[a], w[b], n[at[f]] + left + right))
-        return pd.DataFrame(out, columns=["chrom", "w", "first", "last", "held"])
+        w, n = rows["w"].to_numpy(np.int64), rows[size].fillna(0).to_numpy(float)
+        f = np.flatnonzero(np.isin(w, start["at"].to_numpy(np.int64)))
+        sums, m = np.concatenate([[0.0], np.cumsum(n)]), len(w)
+        left = lambda i: sums[f] - sums[f - i]  # what the i windows to the left hold
+        right = lambda j: sums[f + 1 + j] - sums[f + 1]
+        most_l, most_r = f, m - 1 - f
+
+        def first(ok, most):
+            """The smallest count up to ``most`` for which ok holds, most + 1 if none."""
+            lo, hi = np.zeros(len(f), np.int64), most + 1
+            while (lo < hi).any():
+                mid = (lo + hi) // 2
+                good = ok(np.minimum(mid, most)) | (mid > most)
+                lo, hi = np.where(good | (lo >= hi), lo, mid + 1), np.where(good & (lo < hi), mid, hi)
+            return lo
+
+        # how many of the other side are taken before: those that come after less (or, to the left, as much)
+        rights = lambda i: first(lambda j: (j >= most_r) | (right(j) >= left(i - 1)), most_r)
+        lefts = lambda j: first(lambda i: (i >= most_l) | (left(i) > right(j - 1)), most_l)
+        need = target - n[f]
+        end_l = first(lambda i: (i > 0) & (left(i) + right(rights(np.maximum(i, 1))) >= need), most_l)
+        end_r = first(lambda j: (j > 0) & (right(j) + left(lefts(np.maximum(j, 1))) >= need), most_r)
+        # the end is the earlier of the two picks: the left one if it comes after no more than the right one
+        i, j = np.minimum(end_l, most_l), np.minimum(end_r, most_r)
+        by_l, by_r = end_l <= most_l, end_r <= most_r
+        l_first = by_l & (~by_r | (left(np.maximum(i, 1) - 1) <= right(np.maximum(j, 1) - 1)))
+        a = np.where(l_first, i, np.where(by_r, lefts(np.maximum(j, 1)), most_l))
+        b = np.where(l_first, rights(np.maximum(i, 1)), np.where(by_r, j, most_r))
+        none = need <= 0
+        a, b = np.where(none, 0, a), np.where(none, 0, b)
+        held = n[f] + left(a) + right(b)
+        # forced: the last pick of one side came when the other had no more, and had given less or as much
+        used_l = (a == most_l) & (b > 0) & (left(a) <= right(np.maximum(b, 1) - 1))
+        used_r = (b == most_r) & (a > 0) & (right(b) < left(np.maximum(a, 1) - 1))
+        name = start["of"].iloc[0] if len(start) else None
+        return pd.DataFrame({"chrom": name, "w": w[f], "first": w[f - a], "last": w[f + b], "held": held, "met": held >= target, "asymmetric": used_l | used_r | ((held < target) & (m > 1))})
 
     # names of their own: both sides may come from one table
-    focal = focal.select(F.col("chrom").alias("of"), F.col("w").alias("at"))
-    return windows.select("chrom", "w", size).groupBy("chrom").cogroup(focal.groupBy("of")).applyInPandas(grow, "chrom string, w int, first int, last int, held double")
+    focal = focal.select(F.col("chrom").alias("of"), F.col("w").alias("at")).distinct()
+    return windows.select("chrom", "w", size).groupBy("chrom").cogroup(focal.groupBy("of")).applyInPandas(grow, "chrom string, w int, first int, last int, held double, met boolean, asymmetric boolean")
 
 
 def tier_signatures(bins: DataFrame, shown: int = 4) -> DataFrame:

@@ -85,37 +85,18 @@ def subsample_control(v: Views) -> DataFrame:
     return P.subsample_control(pool.where("grp <> 'P'").select("id", "value"), pool.where("grp = 'P'").groupBy("id").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), reps=20)
 
 
-def _tracks(v: Views) -> DataFrame:
-    w = v.labels.select("w").distinct()
-    near = w.select(F.col("w").alias("w1"), F.explode(F.array(F.col("w") - 1, F.col("w") + 1)).alias("w2"))
-    j = D.band_jaccards(D.stored(D.pair_table(v.labels, near)), v.labels).withColumn("chrom", F.lit("c"))
-    seeds = v.labels.select("k").distinct().select(F.lit("c").alias("chrom"), F.col("k").alias("seed"), F.lit(5).alias("w"), F.col("k").alias("a"))
-    return P.single_band_track(j, seeds, 0.2)
-
-
-@query()
-def single_band_track(v: Views) -> DataFrame:
-    return _tracks(v)
-
-
-@query()
-def het_skeleton(v: Views) -> DataFrame:
-    means = v.per_window.groupBy("w", "k").agg(F.avg("value").alias("mean"))
-    windows = v.labels.select("w").distinct().select(F.lit("c").alias("chrom"), "w", (F.col("w") * 259200).alias("start_bp"), (F.col("w") * 259200 + 259199).alias("end_bp"))
-    return P.het_skeleton(_tracks(v), means, windows)
-
-
-@query()
-def merge_het_intervals(v: Views) -> DataFrame:
-    """A customer's orders are a chromosome's intervals, their parts the core."""
-    core = v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_returnflag")).alias("core"))
-    owner = v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("chrom"))
-    return P.merge_het_intervals(v.intervals.drop("chrom").join(owner, "id").join(core, "id"), gap=30)
-
-
-@query()
+@query(
+    """, x as (select chrom, w, n_snps::double as n, row_number() over (partition by chrom order by w) as i from windows),
+p as (select f.chrom, f.w as fw, f.n as fn, x.w, x.n, case when x.i < f.i then 0 else 1 end as side, abs(x.i - f.i) as d from x f join x on x.chrom = f.chrom and x.i <> f.i),
+q as (select *, sum(n) over (partition by chrom, fw, side order by d) - n as key from p),
+o as (select *, sum(n) over (partition by chrom, fw order by key, side, d rows unbounded preceding) - n as before, row_number() over (partition by chrom, fw order by key, side, d) as place from q),
+t as (select *, fn + before < 40.0 as taken from o),
+g as (select chrom, fw, any_value(fn) + coalesce(sum(n) filter (taken), 0) as held, min(w) filter (taken) as lo, max(w) filter (taken) as hi from t group by all)
+select x.chrom, x.w, coalesce(least(lo, x.w), x.w) as first, coalesce(greatest(hi, x.w), x.w) as last, coalesce(held, x.n) as held, coalesce(held, x.n) >= 40.0 as met from x left join g on g.chrom = x.chrom and g.fw = x.w"""
+)
 def snp_and_kb_bands(v: Views) -> DataFrame:
-    return P.grow_span(v.windows, v.windows.where("n_snps >= 2").select("chrom", "w"), 40.0, "n_snps")
+    """Every window as the focal one."""
+    return P.grow_span(v.windows, v.windows.select("chrom", "w"), 40.0, "n_snps").drop("asymmetric")
 
 
 @query(", b as (select sample_id, marker // 8 as bin, avg(dosage) as mean from dosage group by all), s as (select sample_id, string_agg(case when mean < 0.5 then '0' when mean < 1.5 then '1' else '2' end, '' order by bin) as signature from b group by 1), r as (select *, row_number() over (partition by signature order by sample_id) as i from s) select signature, count(*) as n, string_agg(sample_id, ',' order by sample_id) filter (i <= 4) as representatives from r group by 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import association as A
 from .operators import bands as B
 from .operators import clusters as C
+from .operators import planes as P
 from .operators import votes as D
 from .registry import query
 from .storage import stored
@@ -44,6 +45,10 @@ class _Bands:
         # to nine digits, so that equal windows tie whatever the order of sums
         return stored(q.withColumns({"chrom": at[0], "w": at[1].cast("int"), "quality": F.round("quality", 9)}))
 
+    @cached_property
+    def means(self) -> DataFrame:
+        return stored(self.labels.groupBy("chrom", "w", "k").agg(F.avg("value").alias("mean")))
+
     def table(self, radius: int) -> DataFrame:
         return stored(D.pair_table(self.bits, D.window_pairs(self.labels, radius)))
 
@@ -191,6 +196,69 @@ def seed_discovery(v: Views) -> DataFrame:
     return D.seed_discovery(b.labels, b.bits, b.quality.select("chrom", "w", "quality"), CLASSES, **_SEED)
 
 
+# -- tracks of one band ----------------------------------------------------
+
+_TRACKED = (
+    _QUALITY
+    + _table_sql("abs(x.w - y.w) = 1")
+    + """, sz as (select chrom, w, k, count(*) as m from pband group by all),
+je as (select pt.chrom, w2 - w1 as side, w1 as w, a as k, w2 as to_w, b as to_k, n / (x.m + y.m - n) as j from pt join sz x on x.chrom = pt.chrom and x.w = w1 and x.k = a join sz y on y.chrom = pt.chrom and y.w = w2 and y.k = b),
+jp as (select * from je where j >= 0.5 qualify row_number() over (partition by chrom, side, w, k order by j desc, to_k) = 1),
+me as (select chrom, w, k, avg(value) as mean from pband group by all), sn as (select chrom, w, min(mean) as lo, max(mean) as hi, count(*) as n from me group by all),
+hc as (select chrom, w, k from me join sn using (chrom, w) where n >= 3 and hi > lo and (mean - lo) / (hi - lo) between 0.2 and 0.8 qualify row_number() over (partition by chrom, w order by round(abs(mean - (lo + hi) / 2), 9), k) = 1),
+hs as (select hc.* from hc join pq using (chrom, w) where quality >= 0.5),
+tk as (select chrom, w as seed_w, k as seed_k, side, w, k, 1.0::double as j from hs cross join (select unnest([-1, 1]) as side)
+  union all select tk.chrom, seed_w, seed_k, tk.side, to_w, to_k, jp.j from tk join jp on jp.chrom = tk.chrom and jp.side = tk.side and jp.w = tk.w and jp.k = tk.k),
+tr as (select chrom, seed_w, seed_k, w, k, j from tk where side = 1 or w <> seed_w)
+"""
+)
+
+
+def _tracks(b: _Bands) -> DataFrame:
+    """Tracks of the heterozygous band of every window of enough quality."""
+    near = D.window_pairs(b.labels, 1)
+    partners = P.best_partners(B.band_jaccards(D.pair_table(b.bits, near), D.band_sizes(b.bits), ("chrom",)))
+    named = b.means.withColumns({"id": F.struct("chrom", "w"), "dosage": F.lit(None).cast("double")})
+    seeds = B.het_band_candidate(named).select("id.chrom", "id.w", "k").join(b.quality.where("quality >= 0.5"), ["chrom", "w"], "left_semi")
+    return P.single_band_track(partners, seeds)
+
+
+@query(_TRACKED + " select chrom, seed_w, seed_k, w, k, round(j, 9) as jaccard from tr")
+def single_band_track(v: Views) -> DataFrame:
+    return _tracks(_Bands(v))
+
+
+_SKELETON = _TRACKED + """, sk as (select tr.chrom, seed_w, seed_k, min(tr.w) as s, max(tr.w) as e, min(tr.w)::bigint * 43200 as start_bp, max(tr.w)::bigint * 43200 + 43199 as end_bp, count(*) as n_windows, avg(case when hi > lo then (mean - lo) / (hi - lo) end) as mean_share, coalesce(avg(j) filter (tr.w <> seed_w), 0.0) as mean_continuity, coalesce(min(j) filter (tr.w <> seed_w), 0.0) as min_continuity
+  from tr join me on me.chrom = tr.chrom and me.w = tr.w and me.k = tr.k join sn on sn.chrom = tr.chrom and sn.w = tr.w group by tr.chrom, seed_w, seed_k)"""
+
+
+def _skeleton(b: _Bands) -> DataFrame:
+    w = F.col("w").cast("long")
+    windows = b.labels.select("chrom", "w").distinct().select("chrom", "w", (w * 43200).alias("start_bp"), (w * 43200 + 43199).alias("end_bp"))
+    return P.het_skeleton(_tracks(b), b.means, windows)
+
+
+@query(_SKELETON + " select chrom, seed_w, seed_k, s, e, start_bp, end_bp, n_windows, round(mean_share, 9) as mean_share, round(mean_continuity, 9) as mean_continuity, round(min_continuity, 9) as min_continuity from sk")
+def het_skeleton(v: Views) -> DataFrame:
+    return _skeleton(_Bands(v))
+
+
+@query(
+    _SKELETON
+    + """, iv as (select sk.chrom, start_bp, end_bp, list(sample_id) as core, row_number() over (partition by sk.chrom order by start_bp, end_bp, seed_w) as i from sk join pband p on p.chrom = sk.chrom and p.w = seed_w and p.k = seed_k group by sk.chrom, start_bp, end_bp, seed_w),
+mg as (select chrom, i, start_bp as s0, end_bp as e0, core as u, 1::bigint as grp, 1::bigint as c from iv where i = 1
+  union all select v.chrom, v.i, case when ok then s0 else v.start_bp end, case when ok then greatest(e0, v.end_bp) else v.end_bp end, case when ok then list_distinct(u || v.core) else v.core end, grp + (not ok)::bigint, case when ok then c + 1 else 1 end
+  from (select iv.*, mg.s0, mg.e0, mg.u, mg.grp, mg.c, iv.start_bp - mg.e0 <= 43200 and len(list_intersect(mg.u, iv.core)) >= 0.5 * len(list_distinct(mg.u || iv.core)) as ok from mg join iv on iv.chrom = mg.chrom and iv.i = mg.i + 1) v)
+select chrom, max(s0) as start_bp, max(e0) as end_bp, max(c) as n, max(len(u)) as n_core from mg group by chrom, grp"""
+)
+def merge_het_intervals(v: Views) -> DataFrame:
+    """Skeletons whose heterozygous samples agree, the bitmap of the seed's band being the core."""
+    b = _Bands(v)
+    core = b.bits.groupBy("chrom", F.col("w").alias("seed_w"), F.col("k").alias("seed_k")).agg(F.collect_list(F.struct("chunk", "b0", "b1", "b2", "b3")).alias("core"))
+    rows = stored(_skeleton(b)).join(core, ["chrom", "seed_w", "seed_k"])
+    return P.merge_het_intervals(rows.select("chrom", F.col("seed_w").alias("id"), "start_bp", "end_bp", "core"), gap=43200)
+
+
 # -- votes and consensus ---------------------------------------------------
 
 _VOTES = (
