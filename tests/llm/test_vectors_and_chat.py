@@ -71,9 +71,9 @@ def test_nearest_with_recall(spark, least):
             assert sorted(mine) == list(range(1, len(mine) + 1)) and len(mine) == min(5, len(best))
             hit += len({v for v, _ in mine.values()} & {v for _, v in best})
             total += len(best)
-    if least:  # climbed to the roots: exact
-        assert hit == total
-    else:
+            if least:  # climbed to the roots: exact but for the order of scores that differ in their last digits
+                assert [mine[k + 1][1] for k in range(len(best))] == pytest.approx([-b[0] for b in best], abs=1e-9)
+    if not least:
         assert hit >= 0.9 * total
         assert max(r.n_compared for r in got) < 0.7 * len(usable)
 
