@@ -58,7 +58,7 @@ def test_links_equal_brute_force(spark, block):
 
 @pytest.mark.parametrize("least", [0, 1 << 20])
 def test_nearest_with_recall(spark, least):
-    data = rows(np.random.default_rng(4), 1000)
+    data = rows(np.random.default_rng(4), 900 if least else 1000)  # 1000: some ids are repeated
     got = ann.search(spark.createDataFrame(data, VECTORS).repartition(2), least=least, shard=400, block=64).collect()
     found, hit, total = {}, 0, 0
     for r in got:
