@@ -234,11 +234,12 @@ def grow_span(windows: DataFrame, focal: DataFrame, target: float, size: str) ->
         none = need <= 0
         a, b = np.where(none, 0, a), np.where(none, 0, b)
         held = n[f] + left(a) + right(b)
-        # forced: the last pick of one side came when the other had no more, and had given less or as much
-        used_l = (a == most_l) & (b > 0) & (left(a) <= right(np.maximum(b, 1) - 1))
-        used_r = (b == most_r) & (a > 0) & (right(b) < left(np.maximum(a, 1) - 1))
+        # forced: a window was taken when the other side had no more
+        last_l, last_r = left(np.maximum(a, 1) - 1), right(np.maximum(b, 1) - 1)
+        used_l = (a == most_l) & (b > 0) & ((a == 0) | (last_l <= last_r))
+        used_r = (b == most_r) & (a > 0) & ((b == 0) | (last_r < last_l))
         name = start["of"].iloc[0] if len(start) else None
-        return pd.DataFrame({"chrom": name, "w": w[f], "first": w[f - a], "last": w[f + b], "held": held, "met": held >= target, "asymmetric": used_l | used_r | ((held < target) & (m > 1))})
+        return pd.DataFrame({"chrom": name, "w": w[f], "first": w[f - a], "last": w[f + b], "held": held, "met": held >= target, "asymmetric": used_l | used_r})
 
     # names of their own: both sides may come from one table
     focal = focal.select(F.col("chrom").alias("of"), F.col("w").alias("at")).distinct()

@@ -89,16 +89,18 @@ def test_awkward_rows(spark):
 
 def test_paths_and_stretches(spark):
     j = spark.createDataFrame([("c", 0, 1, 2, 1, 0.9), ("c", 1, 2, 1, 0, 0.8), ("c", 2, 3, 0, 0, 0.3), ("c", 1, 0, 1, 2, 0.9)], "chrom string, w1 int, w2 int, a int, b int, jaccard double")
-    seeds = spark.createDataFrame([("c", 7, 1, 1), ("d", 8, 0, 0)], "chrom string, seed int, w int, a int")
-    got = sorted(tuple(r)[1:4] for r in planes.single_band_track(j, seeds).collect())
-    assert got == [(7, 0, 2), (7, 1, 1), (7, 2, 0), (8, 0, 0)]
+    seeds = spark.createDataFrame([("c", 1, 1), ("d", 0, 0)], "chrom string, w int, k int")
+    got = sorted((r.chrom, r.w, r.k) for r in planes.single_band_track(planes.best_partners(j), seeds).collect())
+    assert got == [("c", 0, 2), ("c", 1, 1), ("c", 2, 0), ("d", 0, 0)]
+    bit = {"a": 1, "b": 2, "x": 1 << 62, "q": -(1 << 63)}  # the highest bit is the sign
     rows = [("c", 1, 0, 10, ["a", "b"]), ("c", 2, 15, 20, ["a", "b", "x"]), ("c", 3, 25, 60, ["q"]), ("c", 4, 500, 600, ["q"])]
-    iv = spark.createDataFrame(rows, "chrom string, id int, start_bp long, end_bp long, core array<string>")
+    rows = [(*r[:4], [(0, sum(bit[x] for x in r[4]), 0, 0, 0)]) for r in rows]
+    iv = spark.createDataFrame(rows, "chrom string, id int, start_bp long, end_bp long, core array<struct<chunk:long,b0:long,b1:long,b2:long,b3:long>>")
     got = sorted(tuple(r)[1:] for r in planes.merge_het_intervals(iv, gap=100).collect())
     assert got == [(0, 20, 2, 3), (25, 60, 1, 1), (500, 600, 1, 1)]
     w = spark.createDataFrame([("c", i, n) for i, n in enumerate([5, 5, 1, 5, 5])], "chrom string, w int, n int")
     focal = spark.createDataFrame([("c", 2), ("c", 0), ("e", 0)], "chrom string, w int")
-    assert sorted(tuple(r) for r in planes.grow_span(w, focal, 10, "n").collect()) == [("c", 0, 0, 1, 10.0), ("c", 2, 1, 3, 11.0)]
+    assert sorted(tuple(r) for r in planes.grow_span(w, focal, 10, "n").collect()) == [("c", 0, 0, 1, 10.0, True, True), ("c", 2, 1, 3, 11.0, True, False)]
     het = spark.createDataFrame([(1, i, 0.1 + 0.001 * i) for i in range(6)] + [(1, 10 + i, 0.6 + 0.001 * i) for i in range(6)] + [(2, i, 0.3 + 0.01 * i) for i in range(6)], "key int, sample_id int, value double")
     assert {r.key: r.two_modes for r in planes.band_modes(het).collect()} == {1: True, 2: False}
     pool = spark.createDataFrame([("a", float(i)) for i in range(100)], "id string, value double")
@@ -108,3 +110,72 @@ def test_paths_and_stretches(spark):
     two = spark.createDataFrame([(1, i, 0.1 * (i % 5)) for i in range(20)] + [(1, 50 + i, 5 + 0.1 * (i % 5)) for i in range(20)] + [(2, i, float(i)) for i in range(5)], "key int, sample_id int, value double")
     got = planes.detect_groups(two).orderBy("key", "grp").collect()
     assert [(r.key, r.grp, r.n, r.groups) for r in got] == [(1, 0, 20, 2), (1, 1, 20, 2)] and abs(got[0].separation - 5) < 1e-9
+
+
+def test_tracks_merges_and_spans_equal_walks(spark):
+    import random
+
+    rnd = random.Random(3)
+    # tracks: partners may meet in one band
+    edges = [(c, w, w + d, a, rnd.randrange(3), rnd.random()) for c in "xy" for w in range(40) for d in (-1, 1) for a in range(3) if 0 <= w + d < 40]
+    best = {(c, w, v, a): (b, j) for c, w, v, a, b, j in edges if j >= 0.2}
+    seeds = [(c, w, k) for c in "xy" for w in range(0, 40, 7) for k in range(3)]
+    want = set()
+    for c, w, k in seeds:
+        want.add((c, w, k, w, k, 1.0))
+        for d in (-1, 1):
+            at, band = w, k
+            while (c, at, at + d, band) in best:
+                band, j = best[c, at, at + d, band]
+                at += d
+                want.add((c, w, k, at, band, j))
+    partners = planes.best_partners(spark.createDataFrame(edges, "chrom string, w1 int, w2 int, a int, b int, jaccard double"), 0.2)
+    got = [tuple(r) for r in planes.single_band_track(partners, spark.createDataFrame(seeds, "chrom string, w int, k int")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+    # merged intervals
+    rows = []
+    for c in "xy":
+        for i in range(60):
+            s = rnd.randrange(3000)
+            rows.append((c, i, s, s + rnd.randrange(80), rnd.sample(range(200), rnd.randrange(1, 4)) + [1, 2, 3][: rnd.randrange(4)]))
+    word = lambda core, k: sum(1 << x % 64 for x in set(core) if x // 64 == k)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    bits = [(*r[:4], [(0, *(signed(word(r[4], k)) for k in range(4)))]) for r in rows]
+    iv = spark.createDataFrame(bits, "chrom string, id int, start_bp long, end_bp long, core array<struct<chunk:long,b0:long,b1:long,b2:long,b3:long>>")
+    want = []
+    for c in "xy":
+        last = None
+        for _, i, s, e, core in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[3], r[1])):
+            core = set(core)
+            if last and s - last[2] <= 20 and len(core & last[4]) >= 0.3 * len(core | last[4]):
+                last[2], last[3] = max(last[2], e), last[3] + 1
+                last[4] |= core
+            else:
+                last = [c, s, e, 1, core]
+                want.append(last)
+    assert sorted(tuple(r) for r in planes.merge_het_intervals(iv, gap=20, least=0.3).collect()) == sorted((c, s, e, n, len(u)) for c, s, e, n, u in want)
+
+    # spans from every window, with windows of no size
+    sizes = {c: [rnd.choice([0, 0, 1, 3, 7]) for _ in range(n)] for c, n in (("x", 50), ("y", 1), ("z", 9))}
+    w = spark.createDataFrame([(c, i * 2, n) for c, v in sizes.items() for i, n in enumerate(v)], "chrom string, w int, n int")
+    for target in (0.0, 5.0, 40.0, 1000.0):
+        want = set()
+        for c, v in sizes.items():
+            for f in range(len(v)):
+                a = b = f
+                left = right = 0
+                forced = False
+                while v[f] + left + right < target and (a > 0 or b < len(v) - 1):
+                    forced = forced or a == 0 or b == len(v) - 1
+                    if a > 0 and (b == len(v) - 1 or left <= right):
+                        a -= 1
+                        left += v[a]
+                    else:
+                        b += 1
+                        right += v[b]
+                total = v[f] + left + right
+                want.add((c, f * 2, a * 2, b * 2, float(total), total >= target, forced))
+        got = {tuple(r) for r in planes.grow_span(w, w.select("chrom", "w"), target, "n").collect()}
+        assert {g[:6] for g in got} == {x[:6] for x in want}
+        assert {g[:2] for g in got if g[6]} == {x[:2] for x in want if x[6]}
