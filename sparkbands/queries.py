@@ -654,4 +654,4 @@ def chi_square_test(v: Views) -> DataFrame:
     return s.select("w", "chi2", "df", chi_square_tail(F.col("chi2"), F.col("df")).alias("p"))
 
 
-from . import queries_bands, queries_loci, queries_planes, queries_votes  # noqa: E402, F401  they register more
+from . import queries_bands, queries_loci, queries_planes, queries_sources, queries_votes  # noqa: E402, F401  they register more

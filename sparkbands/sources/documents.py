@@ -14,9 +14,9 @@ CHROM_SCHEMA = (
 )
 
 
-def read_chrom_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``windows``, ``scores`` (a row for each window and sample), ``samples`` and ``envelopes`` (bounds from 0) of chromosome documents."""
-    doc = spark.read.option("multiLine", True).schema(CHROM_SCHEMA).json(path).where("chrom is not null")
+def read_chrom_json(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """``windows``, ``scores`` (a row for each window and sample), ``samples`` and ``envelopes`` (bounds from 0) of chromosome documents, one a file or one a line."""
+    doc = spark.read.option("multiLine", not lines).schema(CHROM_SCHEMA).json(path).where("chrom is not null")
     w = doc.select("chrom", "samples", F.explode("windows").alias("w"))
     each = F.posexplode(F.arrays_zip(F.col("samples").alias("sample_id"), F.col("w.pc1").alias("pc1"), F.col("w.pc2").alias("pc2"))).alias("sample_idx", "s")
     known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c.split(".")[-1])
@@ -61,10 +61,10 @@ def read_annotated_tsv(spark: SparkSession, path: str, schema: str | None = None
     return found, rows
 
 
-def density_track_ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def density_track_ingest(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chrom, w, class, density) of density documents, and (chrom, class, n) of the blocks that are rejected for their length."""
     schema = "chrom string, n_windows int, by_class map<string, struct<densities array<double>>>"
-    doc = spark.read.option("multiLine", True).schema(schema).json(path)
+    doc = spark.read.option("multiLine", not lines).schema(schema).json(path)
     each = doc.select("chrom", "n_windows", F.explode("by_class").alias("class", "v")).withColumn("n", F.coalesce(F.size("v.densities"), F.lit(0)))
     good = each.where("n = n_windows").select("chrom", "class", F.posexplode("v.densities").alias("w", "density"))
     return good.select("chrom", "w", "class", "density"), each.where("n <> n_windows").select("chrom", "class", "n")

@@ -36,10 +36,13 @@ def test_beagle_and_matrix_round_trip(spark, tmp_path):
     from sparkbands.sources import text
 
     (tmp_path / "b").write_text("marker\tallele1\tallele2\tA\tA\tA\tB\tB\tB\nm1\t0\t1\t0.1\t0.2\t0.7\tnan\t1\t0\nbad\t0\n")
-    got = {(r.marker, r.sample_id): round(r.dosage, 9) for r in text.read_beagle(spark, str(tmp_path / "b")).collect()}
-    assert got == {("m1", "A"): 1.6, ("m1", "B"): 1.0}
+    rows, dropped = text.read_beagle(spark, str(tmp_path / "b"))
+    got = {(r.marker, r.sample_id): round(r.dosage, 9) for r in rows.collect()}
+    assert got == {("m1", "A"): 1.6, ("m1", "B"): 1.0} and dropped.first().n_dropped == 1
     (tmp_path / "d").write_text("marker\ts1\ts2\nc_x_10\t0.5\tNA\nc:20\t1\t2\nnone\t1\t1\n")
-    got = {(r.chrom, r.pos_bp, r.sample_id): r.dosage for r in text.read_dosage_matrix(spark, str(tmp_path / "d")).collect()}
+    rows, dropped = text.read_dosage_matrix(spark, str(tmp_path / "d"))
+    got = {(r.chrom, r.pos_bp, r.sample_id): r.dosage for r in rows.collect()}
+    assert dropped.first().n_dropped == 1 and text.read_dosage_matrix(spark, str(tmp_path / "d"), "c")[0].count() == 2
     assert got == {("c_x", 10, "s1"): 0.5, ("c_x", 10, "s2"): None, ("c", 20, "s1"): 1.0, ("c", 20, "s2"): 2.0}
 
 
