@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .annotate import fisher_exact
+
 from ..functions.tails import normal_two_sided
 
 
@@ -213,23 +215,58 @@ def wilcoxon_rank_sum(measures: DataFrame, by: list, one: str, two: str) -> Data
     return s.select(*by, u.alias("u"), z.alias("z"), normal_two_sided(z).alias("p"), F.when(off > 0, "greater").when(off < 0, "less").otherwise("equal").alias("direction"))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Adds ``fdr``; the windows are over the tests with a p value, one row each."""
+def benjamini_hochberg(tests: DataFrame, p: str = "p", bins: int = 4096) -> DataFrame:
+    """Adds ``fdr``; tests without a p value are left out.
+
+    Equal p values are one row with their number.  Ranks and minima run inside
+    bins of p and then over the bins, so no task orders all tests.
+    """
     known = tests.where(F.col(p).isNotNull())
-    up = W.orderBy(F.col(p).asc(), "test_id")
-    ranked = known.withColumn("r", F.row_number().over(up)).withColumn("m", F.count("*").over(W.partitionBy()))
-    down = W.orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranked.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("r")).over(down))).drop("r", "m")
+    one = known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("n")).withColumn("bin", F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1)))
+    per = one.groupBy("bin").agg(F.sum("n").alias("n"))
+    per = per.select("bin", (F.sum("n").over(W.orderBy("bin")) - F.col("n")).alias("base"), F.sum("n").over(W.partitionBy()).alias("m"))  # a row a bin
+    rank = F.col("base") + F.sum("n").over(W.partitionBy("bin").orderBy("_p"))
+    one = one.join(F.broadcast(per), "bin").withColumn("adj", F.col("_p") * F.col("m") / rank)
+    later = one.groupBy("bin").agg(F.min("adj").alias("low"))
+    later = later.select("bin", F.min("low").over(W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)).alias("low"))
+    one = one.withColumn("adj", F.min("adj").over(W.partitionBy("bin").orderBy(F.desc("_p")))).join(F.broadcast(later), "bin")
+    return known.join(one.select(F.col("_p").alias(p), F.least(F.lit(1.0), "adj", "low").alias("fdr")), p)
 
 
 # -- genotypes and compositions ------------------------------------------------
 
 
-def genotype_counts(calls: DataFrame, least: int = 5) -> DataFrame:
-    """AA, AB, BB of each candidate that has enough carriers, and the odds of carriers with 0.5 added."""
-    c = calls.groupBy("candidate_id").agg(*(F.count_if(F.col("k") == k).alias(n) for k, n in ((0, "aa"), (1, "ab"), (2, "bb"))))
-    return c.where(F.col("ab") + F.col("bb") >= least).withColumn("odds", (F.col("ab") + F.col("bb") + 0.5) / (F.col("aa") + 0.5))
+def genotype_counts(calls: DataFrame, zones: DataFrame, groups: tuple = ("H1/H1", "H1/H2", "H2/H2"), least: int = 5) -> DataFrame:
+    """Calls (sv_id, sample_id, grp, k) by variant: AA, AB, BB and missing in each group, the test of the outer groups, FDR and a label.
 
+    Variants with ``least`` carriers in no group are left out.  The test compares
+    AA + AB against BB in the first and the last group (Fisher's exact p, the
+    odds with 0.5 added); ``zones`` is (sv_id, zone).  Missing is -1 or null;
+    calls of samples in no group count for nothing.
+    """
+    names = [f"{c}{g}" for g in range(len(groups)) for c in ("aa", "ab", "bb", "miss")]
+    k = F.coalesce("k", F.lit(-1))
+    of = lambda g, want: F.count_if((F.col("grp") == groups[g]) & (k == want))
+    t = calls.where(F.col("grp").isin(*groups)).groupBy("sv_id").agg(*(of(g, want).alias(f"{c}{g}") for g in range(len(groups)) for c, want in (("aa", 0), ("ab", 1), ("bb", 2), ("miss", -1))))
+    carriers = F.greatest(*(F.col(f"ab{g}") + F.col(f"bb{g}") for g in range(len(groups))))
+    last = len(groups) - 1
+    t = t.where(carriers >= least).withColumns({"a": F.col("aa0") + F.col("ab0"), "b": F.col("bb0"), "c": F.col(f"aa{last}") + F.col(f"ab{last}"), "d": F.col(f"bb{last}")})
+    odds = (F.col("a") + 0.5) * (F.col("d") + 0.5) / ((F.col("b") + 0.5) * (F.col("c") + 0.5))
+    p = fisher_exact(t.select("sv_id", "a", "b", "c", "d"), "sv_id").select("sv_id", "p")
+    tests = benjamini_hochberg(p.withColumn("p", F.round("p", 12)))
+    t = t.withColumn("odds", odds).join(tests, "sv_id").join(zones, "sv_id", "left")
+    share = lambda g: F.col(f"ab{g}") / F.greatest(F.lit(1), sum((F.col(f"{c}{g}") for c in ("aa", "ab", "bb", "miss")), F.lit(0)))
+    fdr, edge, body = F.round("fdr", 9), F.col("zone").isin("left_boundary", "right_boundary"), F.col("zone") == "inversion_body"
+    label = (
+        F.when(fdr >= 0.10, "uninformative")
+        .when(edge & (fdr < 0.05) & (F.col("odds") > 20), "canonical_breakpoint_marker")
+        .when((fdr < 0.05) & (F.col("odds") > 5), "dominant_presence_marker")
+        .when((fdr < 0.05) & (share(1) > 0.6) & (share(0) < 0.2) & (share(last) < 0.2), "het_specific_marker")
+        .when(body & (fdr < 0.05), "sub_haplotype_marker")
+        .when(body, "internal_linked_marker")
+        .otherwise("uninformative")
+    )
+    return t.select("sv_id", "zone", *names, "odds", "p", "fdr", label.alias("pattern"))
 
 def evidence_combinations(flags: DataFrame, names: list, top: int = 30) -> DataFrame:
     """The largest groups of samples with one vector of flags; the empty vector is left out."""

@@ -173,6 +173,47 @@ def band_haplotypes(bands: DataFrame) -> DataFrame:
     return hom.where("h <= 3").select("id", "k", F.concat(F.lit("H"), F.col("h").cast("string")).alias("name")).unionByName(names)
 
 
+#: Names of bands by how many there are.
+VOCABULARY = {"standard": ("HOM_REF", "HET", "HOM_INV"), "multi2": ("H1/H1", "H1/H2", "H2/H2"), "multi3": ("H1/H1", "H1/H2", "H1/H3", "H2/H2", "H2/H3", "H3/H3")}
+
+
+def band_labels_auto(labels: DataFrame, track: DataFrame, clear: float = 1.4, least: int = 5) -> DataFrame:
+    """A name for each band of a candidate: labels (id, sample_id, k), track (id, w, sample_id, value) over its windows.
+
+    A band's centre is the mean over windows of its mean, its spread the mean
+    over samples of their mean distance from the centre.  Up to three bands are
+    named HOM_REF, HET, HOM_INV by centre, four or five by two haplotypes, six by
+    three, more have no names.  The band of the largest spread is heterozygous
+    where that is ``clear`` times the middle one (the upper of two); bands under
+    ``least`` samples are taken for recombinants.
+    """
+    rows = labels.where("k >= 0").join(track.where("value is not null"), ["id", "sample_id"])
+    size = labels.where("k >= 0").groupBy("id", "k").agg(F.count("*").alias("n"))
+    centre = rows.groupBy("id", "k", "w").agg(F.avg("value").alias("m")).groupBy("id", "k").agg(F.avg("m").alias("centre"))
+    off = rows.join(centre, ["id", "k"]).groupBy("id", "k", "sample_id").agg(F.avg(F.abs(F.col("value") - F.col("centre"))).alias("off"))
+    b = size.join(centre, ["id", "k"], "left").join(off.groupBy("id", "k").agg(F.avg("off").alias("sigma")), ["id", "k"], "left").fillna(0.0, ["centre", "sigma"])
+    one = W.partitionBy("id")  # a few bands a candidate
+    sure = F.col("n") >= least
+    b = b.withColumns({"size": F.count("*").over(one), "place": F.row_number().over(one.orderBy("centre", "k")) - 1, "rank": F.row_number().over(one.orderBy("sigma", "k")) - 1})
+    het = F.max(F.when(sure, F.struct(F.round("sigma", 9).alias("sigma"), (-F.col("k")).alias("minus")))).over(one)
+    b = b.withColumns({"het": het, "middle": F.max(F.when(F.col("rank") == F.floor(F.col("size") / 2), F.col("sigma"))).over(one)})
+    ratio = F.when((F.col("middle") > 0) & (F.col("het.sigma") > 0), F.col("het.sigma") / F.col("middle")).otherwise(1.0)
+    b = b.withColumns({"ratio": ratio, "is_het": (F.col("k") == -F.col("het.minus")) & (F.round(ratio, 9) > clear)})
+    k, place = F.col("size"), F.col("place")
+    vocab = F.when(k <= 3, "standard").when(k == 6, "multi3").when(k < 6, "multi2").otherwise("free")
+    share = place / F.greatest(F.lit(1), k - 1)
+    name = lambda v, i: F.lit(VOCABULARY[v][i])
+    sided = F.when(F.col("is_het"), name("multi2", 1)).when(share < 0.34, name("multi2", 0)).when(share > 0.66, name("multi2", 2)).otherwise(name("multi2", 1))
+    plain = F.when(F.col("is_het"), name("standard", 1)).when(place == 0, name("standard", 0)).when(place == k - 1, name("standard", 2)).otherwise(name("standard", 1))
+    six = F.get(F.array(*map(F.lit, VOCABULARY["multi3"])), F.least(F.lit(5), F.floor(share * 6)).cast("int"))
+    label = F.when(vocab == "free", "").when(~sure, "RECOMBINANT").when(vocab == "standard", plain).when(vocab == "multi2", sided).otherwise(six)
+    outer = (place == 0) | (place == k - 1)
+    level = F.when(~sure, "medium").when(vocab == "free", "none").when(vocab == "multi3", "low")
+    level = level.when(vocab == "multi2", F.when(F.col("is_het"), "medium").otherwise("low"))
+    level = level.otherwise(F.when(F.col("is_het"), "high").when(outer, F.when(F.round("ratio", 9) > clear, "high").otherwise("medium")).otherwise("low"))
+    return b.select("id", "k", "n", "centre", "sigma", vocab.alias("vocab"), label.alias("label"), level.alias("confidence"))
+
+
 def het_band_candidate(bands: DataFrame) -> DataFrame:
     """Per id with three or more bands (id, k, mean, dosage): the one nearest the middle of the extreme means, with a share of the span of 0.2 to 0.8, else nearest to dosage 1 within 0.35."""
     every = W.partitionBy("id")

@@ -258,9 +258,35 @@ def benjamini_hochberg(v: Views) -> DataFrame:
     return A.benjamini_hochberg(A.wilcoxon_rank_sum(v.measures, ["test_id"], "F", "O").select("test_id", "p"))
 
 
-@query("select candidate_id, count(*) filter (k = 0) as aa, count(*) filter (k = 1) as ab, count(*) filter (k = 2) as bb, round((count(*) filter (k > 0) + 0.5) / (count(*) filter (k = 0) + 0.5), 9) as odds from calls group by 1 having count(*) filter (k > 0) >= 5")
+@query(
+    """, gl as (select l_suppkey as sv_id, l_partkey as sample_id, case when arg_min(l_tax, l_orderkey * 100 + l_linenumber) = 0 then -1 else case arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) when 'A' then 0 when 'N' then 1 else 2 end end as k from lineitem group by all),
+gg as (select gl.*, case ancestry when 'BUILDING' then 0 when 'HOUSEHOLD' then 1 when 'MACHINERY' then 2 end as g from gl join samples using (sample_id)),
+gc as (select sv_id, """
+    + ", ".join(f"count(*) filter (g = {g} and k = {w}) as {c}{g}" for g in range(3) for c, w in (("aa", 0), ("ab", 1), ("bb", 2), ("miss", -1)))
+    + """ from gg where g is not null group by 1),
+ga as (select *, aa0 + ab0 as a, bb0 as b, aa2 + ab2 as c, bb2 as d from gc where greatest(ab0 + bb0, ab1 + bb1, ab2 + bb2) >= 5),
+gx as (select sv_id, a, a + b as r, a + c as s, a + b + c + d as n, unnest(range(greatest(0, a + b + a + c - (a + b + c + d))::bigint, least(a + b, a + c)::bigint + 1)) as x from ga),
+gp as (select sv_id, x, x = a as seen, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(s - x + 1) - lgamma(n - r - s + x + 1) - lgamma(n + 1) + lgamma(s + 1) + lgamma(n - s + 1) as lp from gx),
+gf as (select sv_id, round(sum(case when lp <= top + 1e-9 then exp(lp) else 0 end) / sum(exp(lp)), 12) as p from (select *, max(case when seen then lp end) over (partition by sv_id) as top from gp) group by 1),
+gr as (select *, row_number() over (order by p, sv_id) as i, count(*) over () as m from gf), gq as (select sv_id, p, least(1.0, min(p * m / i) over (order by i desc)) as fdr from gr),
+gz as (select s_suppkey as sv_id, ['left_boundary', 'inversion_body', 'right_boundary', 'flank', 'inversion_body'][n_regionkey + 1] as zone from supplier join nation on s_nationkey = n_nationkey),
+gt as (select ga.*, p, fdr, round(fdr, 9) as f, zone, (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)) as odds, """
+    + ", ".join(f"ab{g} / greatest(1, aa{g} + ab{g} + bb{g} + miss{g}) as h{g}" for g in range(3))
+    + """ from ga join gq using (sv_id) left join gz using (sv_id))
+select sv_id, zone, """
+    + ", ".join(f"{c}{g}" for g in range(3) for c in ("aa", "ab", "bb", "miss"))
+    + """, round(odds, 9) as odds, round(p, 9) as p, f as fdr, case when f >= 0.10 then 'uninformative' when zone in ('left_boundary', 'right_boundary') and f < 0.05 and odds > 20 then 'canonical_breakpoint_marker' when f < 0.05 and odds > 5 then 'dominant_presence_marker' when f < 0.05 and h1 > 0.6 and h0 < 0.2 and h2 < 0.2 then 'het_specific_marker' when zone = 'inversion_body' and f < 0.05 then 'sub_haplotype_marker' when zone = 'inversion_body' then 'internal_linked_marker' else 'uninformative' end as pattern from gt"""
+)
 def sv_genotype_counts(v: Views) -> DataFrame:
-    return A.genotype_counts(v.calls)
+    """Suppliers as variants, their region the zone; segments as groups; a call is missing where the line's tax is nothing."""
+    line = F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_tax")
+    g = v.table("lineitem").groupBy(F.col("l_suppkey").alias("sv_id"), F.col("l_partkey").alias("sample_id")).agg(F.min(line).alias("m"))
+    flag = F.create_map(*(F.lit(x) for x in ("A", 0, "N", 1, "R", 2)))
+    grp = F.create_map(*(F.lit(x) for x in ("BUILDING", "H1/H1", "HOUSEHOLD", "H1/H2", "MACHINERY", "H2/H2")))
+    calls = g.select("sv_id", "sample_id", F.when(F.col("m.l_tax") == 0, -1).otherwise(flag[F.col("m.l_returnflag")]).alias("k")).join(v.samples.select("sample_id", grp[F.col("ancestry")].alias("grp")), "sample_id")
+    zone = F.get(F.array(*map(F.lit, ("left_boundary", "inversion_body", "right_boundary", "flank", "inversion_body"))), F.col("n_regionkey").cast("int"))
+    zones = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sv_id"), zone.alias("zone"))
+    return A.genotype_counts(calls, zones)
 
 
 @query(", f as (select sample_id, bool_or(k = 0) as any_a, bool_or(k = 1) as any_n, bool_or(k = 2) as any_r from calls group by 1) select any_a, any_n, any_r, count(*) as n, min(sample_id) as first from f where any_a or any_n or any_r group by all")
@@ -455,10 +481,16 @@ def ld_decay(v: Views) -> DataFrame:
     return M.ld_decay(M.pairwise_ld(M.dosage_standardize(v.dosage), 20000), 10, 20000)
 
 
-@query(", d as (select dosage.*, label as fam from dosage join embeddings on vec_id = sample_id) select a.fam as fam, a.sample_id as s1, b.sample_id as s2, round(corr(a.dosage, b.dosage), 9) as r, round(avg(abs(a.dosage - b.dosage)), 9) as mean_abs, round(sqrt(sum(pow(a.dosage - b.dosage, 2))), 9) as euclid, count(*) as n from d a join d b on a.fam = b.fam and a.marker = b.marker and a.sample_id < b.sample_id group by all")
+@query(
+    """, d as (select dosage.*, label as fam, marker // 32 as win from dosage join embeddings on vec_id = sample_id where dosage < 1.8),
+p as (select a.fam, a.win, a.sample_id as s1, b.sample_id as s2, corr(a.dosage, b.dosage) as r, avg(abs(a.dosage - b.dosage)) as mean_abs, sqrt(sum(pow(a.dosage - b.dosage, 2))) as euclid, count(*) as n from d a join d b on a.fam = b.fam and a.marker = b.marker and a.sample_id < b.sample_id group by all having count(*) >= 20)
+select fam, win, s1, s2, n, round(r, 9) as r, round(mean_abs, 9) as mean_abs, round(euclid, 9) as euclid, round(1 - mean_abs / 2, 9) as l1, round(1 - euclid / max(euclid) over (partition by fam, win), 9) as l2 from p"""
+)
 def sample_similarity(v: Views) -> DataFrame:
-    """Also pairwise_distance; pairs within a label."""
-    return M.sample_pairs(v.dosage.join(v.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("fam")), "sample_id"), "fam")
+    """Also pairwise_distance; pairs within a label and a window of 32 markers, values of 1.8 and more counting as missing."""
+    fam = v.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("fam"))
+    rows = v.dosage.where("dosage < 1.8").withColumn("win", F.floor(F.col("marker") / 32)).join(fam, "sample_id")
+    return M.sample_pairs(rows, ("fam", "win"))
 
 
 @query(", c as (select label, arg_min(embedding, vec_id) as centre from embeddings group by 1) select e.vec_id, round(1 - list_cosine_similarity(e.embedding::double[], c.centre::double[]), 9) as distance from embeddings e join c using (label)")

@@ -259,6 +259,26 @@ def merge_het_intervals(v: Views) -> DataFrame:
     return P.merge_het_intervals(rows.select("chrom", F.col("seed_w").alias("id"), "start_bp", "end_bp", "core"), gap=43200)
 
 
+@query(
+    """, lk as (select chrom || ':' || w // 10 as id, sample_id, k, count(*) as c from pband group by all), lb as (select id, sample_id, arg_max(k, c * 10 - k) as k from lk group by all), tv as (select chrom || ':' || w // 10 as id, w, sample_id, value from panel),
+rw as (select lb.id, lb.sample_id, k, w, value from lb join tv on tv.id = lb.id and tv.sample_id = lb.sample_id), sz as (select id, k, count(*) as n from lb group by all),
+ce as (select id, k, avg(m) as centre from (select id, k, w, avg(value) as m from rw group by all) group by all),
+si as (select id, k, avg(o) as sigma from (select rw.id, rw.k, sample_id, avg(abs(value - centre)) as o from rw join ce on ce.id = rw.id and ce.k = rw.k group by all) group by all),
+bb as (select sz.id, sz.k, n, centre, sigma, count(*) over (partition by sz.id) as size, row_number() over (partition by sz.id order by centre, sz.k) - 1 as place, row_number() over (partition by sz.id order by sigma, sz.k) - 1 as rnk from sz join ce on ce.id = sz.id and ce.k = sz.k join si on si.id = sz.id and si.k = sz.k),
+bc as (select *, max(case when rnk = size // 2 then sigma end) over (partition by id) as middle, max(case when n >= 5 then round(sigma, 9) end) over (partition by id) as hs from bb),
+bd as (select *, case when middle > 0 and hs > 0 then hs / middle else 1.0 end as ratio, min(case when n >= 5 and round(sigma, 9) = hs then k end) over (partition by id) as hk from bc),
+be as (select *, coalesce(k = hk and round(ratio, 9) > 1.4, false) as het, place / greatest(1, size - 1) as share from bd)
+select id, k, n, round(centre, 9) as centre, round(sigma, 9) as sigma, case when size <= 3 then 'standard' else 'multi2' end as vocab,
+ case when n < 5 then 'RECOMBINANT' when size <= 3 then case when het then 'HET' when place = 0 then 'HOM_REF' when place = size - 1 then 'HOM_INV' else 'HET' end when het then 'H1/H2' when share < 0.34 then 'H1/H1' when share > 0.66 then 'H2/H2' else 'H1/H2' end as label,
+ case when n < 5 then 'medium' when size > 3 then case when het then 'medium' else 'low' end when het then 'high' when place = 0 or place = size - 1 then case when round(ratio, 9) > 1.4 then 'high' else 'medium' end else 'low' end as confidence from be"""
+)
+def band_labels_auto(v: Views) -> DataFrame:
+    """Ten windows a candidate; a sample's label is the one it has most often, the lowest on ties."""
+    part = F.concat_ws(":", "chrom", F.floor(F.col("w") / 10).cast("string")).alias("id")
+    locked = v.panel_bands.groupBy(part, "sample_id").agg(F.mode("k", True).alias("k"))
+    return B.band_labels_auto(locked, v.panel.select(part, "w", "sample_id", "value"))
+
+
 # -- votes and consensus ---------------------------------------------------
 
 _VOTES = (

@@ -8,7 +8,7 @@ import pytest
 from sparkbands import queries
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("customer", "orders", "lineitem", "events", "embeddings")
+TABLES = ("nation", "supplier", "customer", "orders", "lineitem", "events", "embeddings")
 
 
 @pytest.fixture(scope="module")
