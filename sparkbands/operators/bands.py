@@ -418,18 +418,6 @@ def interval_relations(pairs: DataFrame, gap: int = 500_000, least: float = 0.5)
     return pairs.select("id1", "id2", kind.alias("relation"))
 
 
-def regime_support(signals: DataFrame, agreement: DataFrame, v: float = 0.4, agree: float = 0.6) -> DataFrame:
-    """Windows of each locus that support it: (locus, w, v) and (locus, w, agreement) both at their limits."""
-    t = signals.join(agreement, ["locus", "w"])
-    ok = (F.col("v") >= v) & (F.col("agreement") >= agree)
-    return t.select("locus", "w", "v", "agreement", ok.alias("supported"))
-
-
-def k_band_votes(labels: DataFrame, perms: DataFrame) -> DataFrame:
-    """Votes of each sample for the anchor's bands, over windows aligned to it; perms is (w, k, to)."""
-    return labels.join(F.broadcast(perms), ["w", "k"]).groupBy("sample_id", F.col("to").alias("band")).agg(F.count("*").alias("votes"))
-
-
 def k_labels_table(bands: DataFrame, samples: DataFrame, envelopes: DataFrame, quality: DataFrame) -> DataFrame:
     """One row for each envelope and sample: bounds, family, used k, adaptive and fixed label, silhouette, flag."""
     out = bands.join(samples.select("sample_id", "family_id"), "sample_id", "left").join(envelopes, "env_id").join(quality, "env_id", "left")

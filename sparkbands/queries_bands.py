@@ -260,15 +260,6 @@ def adjacent_seed_merge(v: Views) -> DataFrame:
     return D.adjacent_seed_merge(V.anchor_signals(_table(v, neighbours=True), 3, ()), merge=0.15)
 
 
-@query(_SIG + ", ag as (select w1 as locus, w2 as w, sum(m) / sum(n) as agreement from (select w1, w2, a, max(n) as m, sum(n) as n from tb group by all) group by 1, 2) select locus, w, round(v, 9) as v, round(agreement, 9) as agreement, v >= 0.1 and agreement >= 0.4 as supported from an join ag on locus = w1 and w = w2")
-def regime_tables(v: Views) -> DataFrame:
-    """Window support of each locus; calls and summaries follow by groupings."""
-    t = _table(v)
-    agree = t.groupBy("w1", "w2", "a").agg(F.max("n").alias("m"), F.sum("n").alias("n")).groupBy(F.col("w1").alias("locus"), F.col("w2").alias("w")).agg((F.sum("m") / F.sum("n")).alias("agreement"))
-    signals = V.anchor_signals(t, 3, ()).select(F.col("w1").alias("locus"), F.col("w2").alias("w"), "v")
-    return D.regime_support(signals, agree, v=0.1, agree=0.4)
-
-
 _MEANS_BY_W = ", mw as (select w, sample_id % 40 as g, avg(value) as m from per_window group by all), rr as (select x.g as a, y.g as b, corr(x.m, y.m) as r from mw x join mw y on x.w = y.w and x.g < y.g group by all)"
 
 

@@ -11,6 +11,7 @@ from .operators import association as A
 from .operators import bands as B
 from .operators import clusters as C
 from .operators import planes as P
+from .operators import regime_tables as R
 from .operators import votes as D
 from .registry import query
 from .storage import stored
@@ -196,6 +197,86 @@ def seed_discovery(v: Views) -> DataFrame:
     return D.seed_discovery(b.labels, b.bits, b.quality.select("chrom", "w", "quality"), CLASSES, **_SEED)
 
 
+# -- regime tables ---------------------------------------------------------
+
+_REGIMES = (
+    _SEEDS
+    + """, lc as (select chrom, chrom || ':' || s || '-' || e as locus, s, e from fs), lw as (select chrom, locus, s, unnest(range(s, e + 1)) as w from lc),
+rp as (select l.chrom, l.locus, l.w, x.k as a, y.k as b, count(*) as n from lw l join pband x on x.chrom = l.chrom and x.w = l.s join pband y on y.chrom = l.chrom and y.w = l.w and y.sample_id = x.sample_id group by all)"""
+    + _best_sql("rp", "chrom, locus, w", "rb")
+    + """, rs as (select *, sum(n) over (partition by chrom, locus, w, a) as ra, sum(n) over (partition by chrom, locus, w, b) as cb from rp),
+rv as (select chrom, locus, w, case when sum(n) >= 4 then case when least(count(distinct a), count(distinct b)) < 2 then 0.0 else least(1.0, sqrt(greatest(0.0, (sum(n * n / (ra * cb)) - 1) / (least(count(distinct a), count(distinct b)) - 1)))) end end as v from rs group by chrom, locus, w),
+ws as (select rb.chrom, rb.locus, rb.w, rb.n::bigint as n, diag / n as agreement, v, coalesce(round(diag / n, 9) >= 0.6 and round(v, 9) >= 0.4, false) as supported, p from rb join rv on rv.chrom = rb.chrom and rv.locus = rb.locus and rv.w = rb.w)
+"""
+)
+
+
+def _regimes(b: _Bands) -> tuple:
+    seeds = D.seed_discovery(b.labels, b.bits, b.quality.select("chrom", "w", "quality"), CLASSES, **_SEED)
+    name = F.concat(F.col("chrom"), F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
+    loci = stored(seeds.select("chrom", name.alias("locus"), "s", "e"))
+    support, turns = R.window_support(loci, b.bits, CLASSES)
+    dosage = b.labels.select("chrom", "w", "sample_id", F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 + F.col("z"))).alias("dosage"))
+    return loci, support, turns, R.reference(loci, b.labels, dosage)
+
+
+@query(_REGIMES + " select chrom, locus, w, n, round(agreement, 9) as agreement, round(v, 9) as v, supported from ws")
+def regime_tables(v: Views) -> DataFrame:
+    """Window support of each seed's regime; samples' calls and the summary are the next two."""
+    return _regimes(_Bands(v))[1]
+
+
+_CALLS = (
+    _REGIMES
+    + """, rd as (select l.chrom, l.locus, sample_id, avg(least(2.0, greatest(0.0, 1 + z))) as dosage from lw l join pband p on p.chrom = l.chrom and p.w = l.w group by all),
+rf as (select l.chrom, l.locus, p.sample_id, k as band, dosage from lc l join pband p on p.chrom = l.chrom and p.w = l.s left join rd on rd.chrom = l.chrom and rd.locus = l.locus and rd.sample_id = p.sample_id)
+"""
+)
+
+
+@query(
+    _CALLS
+    + """, sh as (select rf.chrom, rf.locus, rf.sample_id, avg((ws.p[rf.band + 1] = x.k)::int) as share from rf join ws on ws.chrom = rf.chrom and ws.locus = rf.locus join pband x on x.chrom = rf.chrom and x.w = ws.w and x.sample_id = rf.sample_id group by all),
+bd as (select chrom, locus, band, round(avg(dosage), 9) as bdos from rf group by all),
+tt as (select rf.*, share, bdos, coalesce(round(share, 9) < 0.5, false) as weak, case when bdos <= 0.4 then 'homA_like' when bdos between 0.6 and 1.4 then 'het_like' when bdos >= 1.6 then 'homB_like' end as tier from rf join bd on bd.chrom = rf.chrom and bd.locus = rf.locus and bd.band = rf.band left join sh on sh.chrom = rf.chrom and sh.locus = rf.locus and sh.sample_id = rf.sample_id)
+select chrom, locus, sample_id, band, case when weak then 'uncertain' else coalesce(tier, 'uncertain') end as call, round(share, 9) as share, round(share * case when weak or tier is null then 0.5 else 1.0 end, 9) as confidence,
+ concat_ws(',', case when bdos is null then 'no_band_dosage' when tier is null then 'band_dosage_between_tiers' end, case when weak then 'low_support_fraction' end) as notes from tt"""
+)
+def regime_sample_calls(v: Views) -> DataFrame:
+    b = _Bands(v)
+    _, _, turns, ref = _regimes(b)
+    return R.sample_calls(ref, b.labels, turns)
+
+
+@query(
+    _CALLS
+    + """, np as (select x.chrom, x.w as w1, x.k as a, y.k as b, count(*) as n from pband x join pband y on y.chrom = x.chrom and y.w = x.w + 1 and y.sample_id = x.sample_id group by all)"""
+    + _best_sql("np", "chrom, w1", "nb")
+    + """, nr as (select *, sum(n) over (partition by chrom, w1, a) as ra, sum(n) over (partition by chrom, w1, b) as cb from np),
+nv as (select chrom, w1, case when sum(n) >= 5 then case when least(count(distinct a), count(distinct b)) < 2 then 0.0 else least(1.0, sqrt(greatest(0.0, (sum(n * n / (ra * cb)) - 1) / (least(count(distinct a), count(distinct b)) - 1)))) end end as v from nr group by chrom, w1),
+nn as (select nb.chrom, nb.w1, diag / n as agr, n, v from nb join nv on nv.chrom = nb.chrom and nv.w1 = nb.w1 where n >= 4 and v is not null),
+s1 as (select chrom, locus, count(*) as n_windows, count(*) filter (supported) as n_supported, avg(agreement) as agreement from ws group by all),
+s2 as (select lc.chrom, locus, avg(v) as mean_v, avg(agr) as pair_agreement, count(*) as n_pairs from lc join nn on nn.chrom = lc.chrom and w1 >= s and w1 + 1 <= e group by all),
+s3 as (select *, row_number() over (partition by chrom, locus order by n) as i, count(*) over (partition by chrom, locus) as m from (select chrom, locus, band, count(*) as n, round(avg(dosage), 9) as d from rf group by all)),
+s4 as (select chrom, locus, sum(n)::bigint as n_samples, count(*) as n_bands, count(*) filter (n >= 2) as active, coalesce(bool_or(d between 0.6 and 1.4), false) as het, string_agg(band || '=' || n, '|' order by n desc, band) as pattern, 1 - sum((2 * i - m - 1) * n) / (max(m) * sum(n)) as balance from s3 group by chrom, locus),
+s5 as (select chrom, locus, count(*) filter (round(dosage, 9) <= 0.4) as n_hom_a, count(*) filter (round(dosage, 9) between 0.6 and 1.4) as n_het, count(*) filter (round(dosage, 9) >= 1.6) as n_hom_b from rf group by all),
+s6 as (select lc.*, n_windows, n_supported, agreement, mean_v, pair_agreement, coalesce(n_pairs, 0) as n_pairs, n_samples, n_bands, active, het, pattern, balance, n_hom_a, n_het, n_hom_b, greatest(0, n_samples - n_hom_a - n_het - n_hom_b) as n_uncertain, n_supported / n_windows as support, round(mean_v, 9) as mv from lc join s1 using (chrom, locus) left join s2 using (chrom, locus) join s4 using (chrom, locus) join s5 using (chrom, locus)),
+s7 as (select *, concat_ws(',', case when n_windows < 5 then 'few_windows' end, case when n_pairs < 4 then 'few_pairs' end, case when n_samples < 8 then 'few_samples' end, case when n_uncertain > 0 then 'uncertain=' || n_uncertain end) as notes from s6)
+select chrom, locus, s, e, n_samples, n_bands, active, pattern, n_windows, n_supported, round(agreement, 9) as agreement, mv as mean_v, round(pair_agreement, 9) as pair_agreement, n_pairs, het, n_hom_a, n_het, n_hom_b, n_uncertain,
+ case when mv is null or n_windows < 4 or n_pairs < 2 or n_samples < 8 then 'low_confidence_regime' when mv < 0.25 then 'diffuse_regime' when mv >= 0.5 and support < 0.5 then 'split_regime' when mv >= 0.5 and active >= 3 and n_bands >= 4 then 'nested_multiband_regime' when mv >= 0.5 and n_bands = 3 and het and active = 3 then 'stable_three_band_regime' when mv >= 0.5 then 'stable_two_band_regime' else 'low_confidence_regime' end as class,
+ round(greatest(0.0, least(1.0, (0.45 * coalesce(mean_v, 0) + 0.45 * support + 0.10) * (0.5 + 0.5 * least(1.0, ln(1 + n_windows) / ln(51))) * (0.5 + 0.5 * least(1.0, sqrt(n_samples) / 10)))), 9) as confidence,
+ round(0.4 * coalesce(agreement, 0) + 0.3 * least(1.0, n_supported / 20) + 0.2 * greatest(0.0, least(1.0, balance)) + 0.1 * case when notes = '' then 1.0 else 0.5 end, 9) as support_score, notes from s7"""
+)
+def regime_locus_summary(v: Views) -> DataFrame:
+    """Also regime_class_and_confidence and the quality table's figures."""
+    b = _Bands(v)
+    loci, support, _, ref = _regimes(b)
+    table = stored(D.pair_table(b.bits, D.window_pairs(b.labels, 1).where("w2 = w1 + 1")))
+    best = D.best_permutation(table, ["chrom", "w1", "w2"], CLASSES).select("chrom", "w1", "w2", (F.col("diagonal") / F.col("n")).alias("agreement"))
+    near = D.anchor_signals(table, CLASSES).join(best, ["chrom", "w1", "w2"])
+    return R.locus_summary(loci, support, ref, near, CLASSES)
+
+
 # -- tracks of one band ----------------------------------------------------
 
 _TRACKED = (

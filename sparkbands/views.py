@@ -54,7 +54,7 @@ class Views:
         s = self.panel.groupBy("chrom", "w").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
         z = F.round((F.col("value") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")), 9)
         k = F.when(z < -0.8, 0).when(z < 0.0, 1).when(z < 0.8, 2).otherwise(3)
-        return self.panel.join(s, ["chrom", "w"]).select("chrom", "w", "sample_id", k.alias("k"), "value")
+        return self.panel.join(s, ["chrom", "w"]).select("chrom", "w", "sample_id", k.alias("k"), "value", z.alias("z"))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -124,7 +124,7 @@ SQL_VIEWS = {
     "pgrid": "select chrom, sample_id, unnest(range((select max(w) + 1 from pcell)))::int as w from (select distinct chrom, sample_id from pcell)",
     "panel": "select g.chrom, g.w, g.sample_id, sum(coalesce(x, 0.0)) over (partition by g.chrom, g.sample_id order by g.w) as value from pgrid g left join pcell c on c.chrom = g.chrom and c.sample_id = g.sample_id and c.w = g.w",
     "pz": "select *, round((value - avg(value) over (partition by chrom, w)) / nullif(stddev_pop(value) over (partition by chrom, w), 0), 9) as z from panel",
-    "pband": "select chrom, w, sample_id, case when z < -0.8 then 0 when z < 0.0 then 1 when z < 0.8 then 2 else 3 end as k, value from pz",
+    "pband": "select chrom, w, sample_id, case when z < -0.8 then 0 when z < 0.0 then 1 when z < 0.8 then 2 else 3 end as k, value, z from pz",
     "windows": "select event_type as chrom, floor(s / 3600)::int as w, floor(s / 3600)::bigint * 3600 as start_bp, floor(s / 3600)::bigint * 3600 + 3599 as end_bp, count(*)::int as n_snps, var_pop(value) as lam1, avg(value) as lam2, (avg(value) - (select avg(value) from ev)) / (select stddev_pop(value) from ev) as z from ev group by all",
     "points": "select event_type as chrom, s as pos_bp from ev",
     "emb": "select vec_id, label, unnest(embedding) as x, unnest(range(len(embedding))) as marker from embeddings",
