@@ -22,6 +22,6 @@ def regime_table(track: DataFrame) -> DataFrame:
     table = stored(aggregates.contingency_table(aggregates.label_pairs(bands.select("w", "sample_id", "k")), ["w"]))
     scores = aggregates.contingency_scores(table, ["w"]).select("w", "v", "ari")
     aligned = clusters.align_labels(table, ["w"])
-    chain = clusters.chains(aligned).join(aligned.select("w", (1 - F.col("concordance")).alias("rate")), "w")
+    chain = clusters.chains(aligned).withColumn("rate", 1 - F.col("concordance"))
     out = sil.join(scores, "w", "left").join(chain, "w", "left")
     return out.withColumn("class", columns.classify_window(F.col("silhouette"), F.col("v"), F.lit(None).cast("double")))
