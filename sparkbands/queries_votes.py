@@ -300,7 +300,7 @@ def _tracks(b: _Bands) -> DataFrame:
     near = D.window_pairs(b.labels, 1)
     partners = P.best_partners(B.band_jaccards(D.pair_table(b.bits, near), D.band_sizes(b.bits), ("chrom",)))
     named = b.means.withColumns({"id": F.struct("chrom", "w"), "dosage": F.lit(None).cast("double")})
-    seeds = B.het_band_candidate(named).select("id.chrom", "id.w", "k").join(b.quality.where("quality >= 0.5"), ["chrom", "w"], "left_semi")
+    seeds = B.het_band_candidate(named).where("k is not null").select("id.chrom", "id.w", "k").join(b.quality.where("quality >= 0.5"), ["chrom", "w"], "left_semi")
     return P.single_band_track(partners, seeds)
 
 
