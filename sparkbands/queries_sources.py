@@ -137,14 +137,16 @@ def layer_publish(v: Views) -> DataFrame:
     return out.select("chrom", "w", "n_snps", "layer_type", "dataset_id", "provenance.status", "provenance.schema_version", F.array_join("provenance.sources", ",").alias("sources"))
 
 
-_CALLED = ", ck as (select candidate_id, sample_id, ['0/0', '0/1', '1/1'][k + 1] as call from calls where candidate_id < 6)"
-
-
-@query(_CALLED + ", xs as (select sample_id, " + ", ".join(f"max(call) filter (candidate_id = {i}) as c{i}" for i in range(6)) + " from ck group by 1) select sample_id::varchar || chr(9) || concat_ws(chr(9), " + ", ".join(f"coalesce(c{i}, '')" for i in range(6)) + ") as line from xs union all select concat_ws(chr(9), 'sample_id', " + ", ".join(f"'{i}'" for i in range(6)) + ")")
+@query(
+    """, cd as (select distinct candidate_id from calls), cs as (select distinct sample_id from calls)
+select sample_id::varchar || chr(9) || string_agg(coalesce(['0/0', '0/1', '1/1'][k + 1], ''), chr(9) order by candidate_id) as line from cs cross join cd left join calls using (candidate_id, sample_id) group by sample_id
+union all select 'sample_id' || chr(9) || string_agg(candidate_id::varchar, chr(9) order by candidate_id) from cd"""
+)
 def export_tables(v: Views) -> DataFrame:
-    """The matrix of samples by the first six candidates (its columns are stated), as lines of the written files."""
+    """The matrix of samples by candidates, which are its columns, as lines of the written files; each file has the header."""
     call = F.element_at(F.array(*map(F.lit, ("0/0", "0/1", "1/1"))), F.col("k") + 1)
-    wide = text.karyotype_matrix(v.calls.where("candidate_id < 6").select("sample_id", "candidate_id", call.alias("call")), list(range(6)))
+    names = [r[0] for r in v.calls.select("candidate_id").distinct().orderBy("candidate_id").collect()]
+    wide = text.karyotype_matrix(v.calls.select("sample_id", "candidate_id", call.alias("call")), names)
     path = new_folder(v.spark, "export")
     text.write_tsv(wide, path)
     return v.spark.read.text(path).select(F.col("value").alias("line")).distinct()
