@@ -143,13 +143,12 @@ select sample_id::varchar || chr(9) || string_agg(coalesce(['0/0', '0/1', '1/1']
 union all select 'sample_id' || chr(9) || string_agg(candidate_id::varchar, chr(9) order by candidate_id) from cd"""
 )
 def export_tables(v: Views) -> DataFrame:
-    """The matrix of samples by candidates, which are its columns, as lines of the written files; each file has the header."""
+    """The matrix of samples by candidates, which are its columns, as lines of the written files."""
     call = F.element_at(F.array(*map(F.lit, ("0/0", "0/1", "1/1"))), F.col("k") + 1)
-    names = [r[0] for r in v.calls.select("candidate_id").distinct().orderBy("candidate_id").collect()]
-    wide = text.karyotype_matrix(v.calls.select("sample_id", "candidate_id", call.alias("call")), names)
+    names = [r[0] for r in v.calls.select("candidate_id").distinct().orderBy("candidate_id").collect()]  # the header
     path = new_folder(v.spark, "export")
-    text.write_tsv(wide, path)
-    return v.spark.read.text(path).select(F.col("value").alias("line")).distinct()
+    text.write_karyotype_matrix(v.calls.select("sample_id", "candidate_id", call.alias("call")), names, path)
+    return v.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query(
