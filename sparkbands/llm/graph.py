@@ -13,24 +13,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round sends a node to its smallest neighbour, shortens the ways once
     and contracts the edges; neighbours meet only in a minimum, which is
-    aggregated before it is shuffled.
+    aggregated before it is shuffled.  A round writes its parents and the edges
+    that are left, nothing else: each job leaves its plan and broadcasts with
+    the driver.  The rounds' parents are joined at the end.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    mapping, left = None, written(both.where("u <> v").distinct(), "edges")
+    parents, left = [], written(both.where("u <> v").distinct(), "edges")
     while not left.isEmpty():
         every = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = written(every.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "nearest")
+        near = every.groupBy("u").agg(F.least("u", F.min("v")).alias("p"))
         up = near.select(F.col("u").alias("p"), F.col("p").alias("q"))
         near = near.join(up, "p").select("u", F.col("q").alias("p"))
         near = written(near.join(up, "p").select("u", F.col("q").alias("p")), "parents")
-        if mapping is None:
-            mapping = near
-        else:
-            onward = near.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            mapping = written(mapping.join(onward, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "mapping")
+        parents.append(near)
         pv = near.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         moved = left.join(near, "u").join(pv, "v").where("p <> pv").select(F.col("p").alias("u"), F.col("pv").alias("v"))
         left = written(moved.distinct(), "edges")
-    if mapping is None:
+    if not parents:
         return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    mapping = parents[0]
+    for near in parents[1:]:
+        onward = near.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        mapping = mapping.join(onward, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
     return mapping.select(F.col("u").alias("node"), F.col("p").alias("component"))

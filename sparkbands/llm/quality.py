@@ -19,6 +19,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,6 +110,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, width: int
     return (vectors @ (output[1] - output[0])).astype(np.float32)
 
 
+def packed(bucket: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending buckets and how often each occurs, as compressed bytes: what the driver gets of a row."""
+    numbers = np.concatenate([np.diff(bucket, prepend=0), n]).astype("<i4")
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, and the share of each in the row's features."""
+    numbers = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
+    gaps, n = np.split(numbers, 2)
+    return np.cumsum(gaps).astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample: int = 1500, bits: int = 18) -> Model:
     chosen, part = labelled_sample(docs, labels, label, folds, held_out, sample)
 
@@ -118,10 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             doc, bucket = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             key, n = np.unique(doc * (1 << bits) + bucket, return_counts=True)
             cut = np.searchsorted(key >> bits, np.arange(len(frame) + 1))
-            yield pd.DataFrame({"y": frame["y"], "at": frame["at"], "bucket": [(key[a:b] & ((1 << bits) - 1)).astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], "share": [(n[a:b] / max(1, n[a:b].sum())).astype(np.float32).tobytes() for a, b in zip(cut, cut[1:])]})
+            key &= (1 << bits) - 1
+            yield pd.DataFrame({"y": frame["y"], "at": frame["at"], "packed": [packed(key[a:b], n[a:b]) for a, b in zip(cut, cut[1:])]})
 
-    got = chosen.select("text", "y", "at").mapInPandas(extract, "y int, at long, bucket binary, share binary").collect()
-    rows = sorted(((r["at"], np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32), r.y) for r in got), key=lambda r: (r[0], r[3]))
+    got = chosen.select("text", "y", "at").mapInPandas(extract, "y int, at long, packed binary").collect()
+    rows = sorted(((r["at"], *unpacked(r.packed), r.y) for r in got), key=lambda r: (r[0], r[3]))
     worth = train([(b, s, y) for at, b, s, y in rows if at % 4], bits)
     model = Model(worth, bits)
     kept = [r for r in rows if r[0] % 4 == 0]

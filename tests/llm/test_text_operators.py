@@ -14,7 +14,7 @@ pytest.importorskip("tokenizers")
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkbands.llm import bpe_reuse, common, maxent, mixing, near_dup, quality, rans, toxicity
+from sparkbands.llm import bpe_reuse, common, graph, maxent, mixing, near_dup, quality, rans, toxicity
 from sparkbands.llm.queries import word_bpe_path
 from sparkbands.llm.text import tokens
 
@@ -152,6 +152,21 @@ def test_near_duplicates_equal_brute_force(spark, awkward, monkeypatch, small, b
     assert len(got) == len(rows) + 12
 
 
+def test_components_write_two_tables_a_round(spark, monkeypatch):
+    rnd, names, write = random.Random(8), [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or write(df, name))
+    way = rnd.sample(range(300), 120)
+    edges = [*zip(way, way[1:]), *((500 + rnd.randrange(90), 500 + rnd.randrange(90)) for _ in range(60)), (7, 7)]
+    top = {v: v for e in edges for v in e if e[0] != e[1]}
+    for _ in top:
+        for a, b in edges:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert Counter((r.node, r.component) for r in got) == Counter(top.items())
+    assert names.count("parents") > 1 and len(names) == 1 + 2 * names.count("parents")
+
+
 def test_maybe_in_misses_no_key(spark):
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(None, "t")], "doc_id long, text string")
     wanted = rows.where("doc_id % 7 = 0 or doc_id is null")
@@ -310,6 +325,25 @@ def test_quality_score_is_the_softmax_of_the_mean_vector(spark):
         assert abs(got - 1 / (1 + math.exp(-(2 * (sum(found) / max(1, len(found))) + 0.5)))) < 1e-6
 
 
+def test_the_driver_gets_few_bytes_of_a_quality_feature(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(150))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, quality int")
+    sent, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: (got := collect(df)) and sent.extend(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray))) or got)
+    model = quality.fit(docs, labels)
+    parts, learnt = [], [t for i, t in rows if zlib.crc32(b"%d" % i) % 4 != 2]
+    for text in learnt:
+        bucket, n = np.unique(np.concatenate([b for _, b in quality.features([text], 18)]), return_counts=True)
+        parts.append(len(bucket))
+    assert len(model.worth) == 1 << 18 and 0 < sum(sent) < 3 * sum(parts)
+    bucket, n = np.array([0, 5, (1 << 18) - 1]), np.array([70_000, 1, 3])
+    for b, m in ((bucket, n), (bucket[:0], n[:0])):
+        got = quality.unpacked(quality.packed(b, m))
+        assert got[0].dtype == np.int32 and got[0].tolist() == b.tolist() and got[1].tobytes() == (m / max(1, m.sum())).astype(np.float32).tobytes()
+
+
 def test_toxicity_shares_add_up_to_one_and_equal_brute_force(spark):
     docs = [("bad badly", 1), ("bad bat\nbad", 1), ("bat cat", 0), ("", 0), (None, 1), ("cat bad", 0), ("bad", 1), ("bad x", 1)]
     got = toxicity.count_grams(spark.createDataFrame(docs, "text string, y int")).toPandas().sort_values("gram")
