@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkbands.operators import planes
+from sparkbands.operators import columns, planes
 
 
 def test_subsample_draws_are_never_broadcast(spark):
@@ -19,3 +19,11 @@ def test_subsample_draws_are_never_broadcast(spark):
     draw = draw.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(40_000)))).select("rep", F.pmod(F.xxhash64("id", "rep", "d"), F.lit(50)).alias("i")).collect()
     means = [sum(ordered[r.i] for r in draw if r.rep == rep) / 40_000 for rep in (1, 2, 3)]
     assert set(got) == {"a", "b"} and abs(got["a"]["mean"] - sum(means) / 3) < 1e-9 and got["b"]["mean"] == 1.0
+
+
+def test_names_go_on_after_256_characters(spark):
+    n = 26 * 300
+    df = spark.range(n).select(F.col("id"), F.lit("c").alias("chrom"), F.lit(1).alias("start_bp"), F.lit(2).alias("end_bp"))
+    got = {r.id: r.name for r in columns.candidate_display_names(df, 100.0).collect()}
+    letters = lambda i: chr(65 + i) if i < 26 else chr(65 + i // 26 - 1) + chr(65 + i % 26)
+    assert got == {i: "c.0-0Mb." + letters(i) for i in range(n)}
