@@ -9,6 +9,7 @@ from .operators import bands as D
 from .operators import clusters as C
 from .operators import kmeans as K
 from .operators import votes as V
+from .operators.columns import steady_mean
 from .registry import query
 from .views import Views
 
@@ -80,7 +81,7 @@ def ordered_pc1_reference(v: Views) -> DataFrame:
 @query(_WHOLE + ", x as (select sample_id, case k when 0 then 1 when 2 then 0 else 999 end as rank, m from wm join wh using (sample_id)) select sample_id, rank, row_number() over (order by rank, m, sample_id) - 1 as place from x")
 def order_samples(v: Views) -> DataFrame:
     whole = v.labels.groupBy("sample_id").agg(F.mode("k", True).alias("grp"))
-    rows = v.track.groupBy("sample_id").agg(F.avg("value").alias("pc1")).join(whole, "sample_id")
+    rows = v.track.groupBy("sample_id").agg(steady_mean("value").alias("pc1")).join(whole, "sample_id")
     return D.order_samples(rows, v.spark.createDataFrame([(2, 0), (0, 1)], "grp int, rank int"))
 
 

@@ -1,9 +1,12 @@
 """Results don't hang on the order or the number of rows, and large sides are not broadcast."""
 
+import math
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from sparkbands import queries
 from sparkbands.operators import columns, planes
 
 
@@ -27,3 +30,25 @@ def test_names_go_on_after_256_characters(spark):
     got = {r.id: r.name for r in columns.candidate_display_names(df, 100.0).collect()}
     letters = lambda i: chr(65 + i) if i < 26 else chr(65 + i // 26 - 1) + chr(65 + i % 26)
     assert got == {i: "c.0-0Mb." + letters(i) for i in range(n)}
+
+
+def _events(folder, order):
+    """Two users with the same values in another order, and a third with others."""
+    values = [0.1, 0.2, 0.3, 0.7, 1.1, 2.3]
+    rows = [(u, "a", v) for u in (3, 5) for v in (values if u == order else values[::-1])] + [(7, "a", 9.0 + v) for v in values]
+    lines = ", ".join(f"({i}, timestamp '2024-01-02', {u}::bigint, '{e}', {v}::double, '')" for i, (u, e, v) in enumerate(rows))
+    folder.mkdir()
+    duckdb.connect().execute(f"copy (select * from (values {lines}) t(event_id, ts, user_id, event_type, value, props)) to '{folder}/events.parquet' (format parquet)")
+    return str(folder)
+
+
+def test_equal_means_are_equal_in_any_order(spark, tmp_path):
+    a, b = _events(tmp_path / "a", 3), _events(tmp_path / "b", 5)
+    for name in ("order_samples", "kmeans_2d"):
+        first, second = (sorted(map(tuple, queries.QUERIES[name](spark, d).collect())) for d in (a, b))
+        assert first == second
+    places = {r.sample_id: r.place for r in queries.QUERIES["order_samples"](spark, b).collect()}
+    assert places == {3: 0, 5: 1, 7: 2}  # equal means go by id
+    df = spark.createDataFrame([(1, 0.1), (1, float("nan"))] + [(2, 1e300), (2, 1e300)] + [(3, None)] + [(4, 0.1), (4, 0.2)], "g int, x double")
+    got = {r.g: r.m for r in df.groupBy("g").agg(columns.steady_mean("x").alias("m")).collect()}
+    assert math.isnan(got[1]) and got[2] == 1e300 and got[3] is None and got[4] == 0.15
