@@ -9,6 +9,7 @@ from .operators import bands as D
 from .operators import clusters as C
 from .operators import joins as J
 from .operators import planes as P
+from .operators.columns import steady_mean
 from .queries import _SIL, kmeans_sql
 from .registry import query
 from .views import Views
@@ -16,7 +17,7 @@ from .views import Views
 
 def _points(v: Views) -> DataFrame:
     by = v.events.groupBy(F.floor(F.col("s") / 259200).cast("int").alias("w"), F.col("user_id").alias("sample_id"))
-    return by.agg(F.avg("value").alias("x"), F.max("value").alias("y"))
+    return by.agg(steady_mean("value").alias("x"), F.max("value").alias("y"))
 
 
 def _kmeans_2d_sql(rounds: int = 8) -> str:
