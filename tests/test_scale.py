@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sparkbands import queries
-from sparkbands.operators import columns, planes
+from sparkbands.operators import bands, columns, matrix, planes
 
 
 def test_subsample_draws_are_never_broadcast(spark):
@@ -52,3 +52,48 @@ def test_equal_means_are_equal_in_any_order(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.1), (1, float("nan"))] + [(2, 1e300), (2, 1e300)] + [(3, None)] + [(4, 0.1), (4, 0.2)], "g int, x double")
     got = {r.g: r.m for r in df.groupBy("g").agg(columns.steady_mean("x").alias("m")).collect()}
     assert math.isnan(got[1]) and got[2] == 1e300 and got[3] is None and got[4] == 0.15
+
+
+def _shuffled(df, name):
+    """Whether the plan deals rows by a column."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any("hashpartitioning" in line and name + "#" in line.split("hashpartitioning")[1] for line in plan.splitlines())
+
+
+def test_trajectory_pairs_equal_loops_and_are_not_shuffled(spark):
+    rnd = random.Random(5)
+    rows = [(g, 10 * g + i, b, None if rnd.random() < 0.1 else rnd.random() * 1.5) for g in (1, 2) for i in range(9) for b in range(7) if rnd.random() < 0.8]
+    df = bands.trajectory_distance(spark.createDataFrame(rows, "grp int, sample_id long, bin long, mean double"), 0.5, 3)
+    assert not _shuffled(df, "s1")
+    got = {(r.grp, r.s1, r.s2): r.distance for r in df.collect()}
+    at, want = {(i, b): m for _, i, b, m in rows}, {}
+    for g in (1, 2):
+        ids = sorted({i for h, i, _, _ in rows if h == g})
+        for i in ids:
+            for j in (j for j in ids if j > i):
+                met = [b for b in range(7) if (i, b) in at and (j, b) in at]
+                if not met:
+                    continue
+                ds = [None if at[i, b] is None or at[j, b] is None else abs(at[i, b] - at[j, b]) for b in met]
+                last, run, best, switches = None, 0, 0, 0
+                for d in ds:
+                    alike = None if d is None else d < 0.5
+                    switches += last is not None and alike is not None and last != alike
+                    last, run = alike, run + 1 if alike else 0
+                    best = max(best, run)
+                known = [d for d in ds if d is not None]
+                n = len(known)
+                want[g, i, j] = max(0.0, sum(known) / n + (0.5 * switches / (n - 1) if n > 1 else 0.0) - 0.15 * best / n) if n else 2.0
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sample_pairs_of_one_shard_are_not_shuffled(spark):
+    rnd = random.Random(6)
+    rows = [(g, m, i, rnd.random()) for g, ms in ((1, 30), (2, 90)) for i in range(9) for m in range(ms)]
+    df = spark.createDataFrame(rows, "grp int, marker int, sample_id long, dosage double")
+    one = matrix.sample_pairs(df.where("grp = 1"), ("grp",), 20, 3, 64)
+    assert not _shuffled(one, "s1")
+    both = {tuple(r)[:3]: r for r in matrix.sample_pairs(df, ("grp",), 20, 3, 64).collect()}  # the second group has two shards
+    whole = {tuple(r)[:3]: r for r in matrix.sample_pairs(df, ("grp",), 20, 3, 512).collect()}
+    assert both.keys() == whole.keys() and len(both) == 72
+    assert all(abs(x - y) < 1e-9 for k in both for x, y in zip(both[k], whole[k]))
