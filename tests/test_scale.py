@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkbands import queries
 from sparkbands.operators import bands, columns, matrix, planes
+from sparkbands.sources import text
 
 
 def test_subsample_draws_are_never_broadcast(spark):
@@ -97,3 +98,12 @@ def test_sample_pairs_of_one_shard_are_not_shuffled(spark):
     whole = {tuple(r)[:3]: r for r in matrix.sample_pairs(df, ("grp",), 20, 3, 512).collect()}
     assert both.keys() == whole.keys() and len(both) == 72
     assert all(abs(x - y) < 1e-9 for k in both for x, y in zip(both[k], whole[k]))
+
+
+def test_wide_matrix_takes_little_disk(spark, tmp_path):
+    calls = spark.range(200).select(F.col("id").alias("sample_id"), (F.col("id") * 40).alias("candidate_id"), F.lit("0/1").alias("call"))
+    text.write_karyotype_matrix(calls, list(range(8000)), str(tmp_path / "m"))
+    lines = {r.value.split("\t")[0]: r.value for r in spark.read.text(str(tmp_path / "m")).collect()}
+    assert len(lines) == 201 and lines["3"] == "3" + "\t" * 121 + "0/1" + "\t" * (8000 - 121)
+    size = sum(f.stat().st_size for f in (tmp_path / "m").iterdir())
+    assert size < sum(map(len, lines.values())) / 10
