@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from . import kmeans
+from .matrix import label_matches
 
 
 def align_labels(table: DataFrame, by: list, classes: int = 3) -> DataFrame:
@@ -62,7 +63,5 @@ def silhouette_1d(rows: DataFrame) -> DataFrame:
 
 def coassociation(labels: DataFrame, least: int = 2) -> DataFrame:
     """Per pair of samples of a family: windows with one band over windows with both; labels is (w, sample_id, k, family_id)."""
-    right = labels.select("w", "family_id", F.col("sample_id").alias("s2"), F.col("k").alias("k2"))
-    p = labels.select("w", "family_id", F.col("sample_id").alias("s1"), "k").join(right, ["w", "family_id"]).where("s1 < s2")
-    p = p.groupBy("family_id", "s1", "s2").agg(F.count_if(F.col("k") == F.col("k2")).alias("together"), F.count("*").alias("total"))
+    p = label_matches(labels, "family_id")
     return p.where(F.col("total") >= least).withColumn("affinity", F.col("together") / F.col("total"))

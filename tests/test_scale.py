@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sparkbands import queries
-from sparkbands.operators import bands, columns, matrix, planes
+from sparkbands.operators import bands, clusters, columns, matrix, planes
 from sparkbands.sources import text
 
 
@@ -107,3 +107,21 @@ def test_wide_matrix_takes_little_disk(spark, tmp_path):
     assert len(lines) == 201 and lines["3"] == "3" + "\t" * 121 + "0/1" + "\t" * (8000 - 121)
     size = sum(f.stat().st_size for f in (tmp_path / "m").iterdir())
     assert size < sum(map(len, lines.values())) / 10
+
+
+def test_label_matches_equal_loops_and_are_not_shuffled(spark):
+    rnd = random.Random(7)
+    rows = [(w, i, rnd.choice([0, 1, 2, None])) for i in range(14) for w in range(6) if rnd.random() < 0.7]
+    labels, family = spark.createDataFrame(rows, "w int, sample_id long, k int"), spark.range(14).select(F.col("id").alias("sample_id"), (F.col("id") % 2).cast("int").alias("family_id"))
+    at = {(i, w): k for w, i, k in rows}
+    met = {(i, j): [(at[i, w], at[j, w]) for w in range(6) if (i, w) in at and (j, w) in at] for i in range(14) for j in range(i + 2, 14, 2)}
+    df = matrix.label_matches(labels.join(family, "sample_id"), "family_id", 3)
+    assert not _shuffled(df, "s1")
+    assert {(r.s1, r.s2): (r.together, r.total) for r in df.collect()} == {p: (sum(a is not None and a == b for a, b in m), len(m)) for p, m in met.items() if m}
+    known = {p: [a == b for a, b in m if a is not None and b is not None] for p, m in met.items()}
+    for within in (family, family.unionByName(family.withColumn("family_id", F.lit(9)).where("sample_id < 0")), family.unionByName(family.withColumn("family_id", F.col("family_id") + 9))):
+        n = 2 if within.count() > 14 else 1
+        got = {(r.s1, r.s2): (round(r.concordance, 9), r.n) for r in matrix.sample_concordance(labels, within).collect()}
+        assert got == {p: (round(sum(x) / len(x), 9), n * len(x)) for p, x in known.items() if x}
+    pairs = {(r.s1, r.s2): r.total for r in clusters.coassociation(labels.join(family, "sample_id"), 3).collect()}
+    assert pairs == {p: len(m) for p, m in met.items() if len(m) >= 3}
