@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sparkbands import queries
-from sparkbands.operators import bands, clusters, columns, matrix, planes
+from sparkbands.operators import aggregates, association, bands, clusters, columns, matrix, planes
 from sparkbands.sources import text
 
 
@@ -125,3 +125,17 @@ def test_label_matches_equal_loops_and_are_not_shuffled(spark):
         assert got == {p: (round(sum(x) / len(x), 9), n * len(x)) for p, x in known.items() if x}
     pairs = {(r.s1, r.s2): r.total for r in clusters.coassociation(labels.join(family, "sample_id"), 3).collect()}
     assert pairs == {p: len(m) for p, m in met.items() if len(m) >= 3}
+
+
+def test_cells_of_candidate_pairs_equal_loops_and_are_not_shuffled(spark):
+    rnd = random.Random(8)
+    rows = [((1 << 60) + 3 * c, i, rnd.choice([0, 1, 2, -1, None])) for c in range(11) for i in range(40) if rnd.random() < 0.6]
+    calls = spark.createDataFrame(rows, "candidate_id long, sample_id long, k int")
+    want = {}
+    for c, i, a in rows:
+        for d, j, b in rows:
+            if i == j and c < d and a in (0, 1, 2) and b in (0, 1, 2):
+                want.setdefault((c, d), [0] * 9)[a * 3 + b] += 1
+    df = aggregates.pair_cells(calls, 3, 4)
+    assert not _shuffled(df, "c1") and not _shuffled(association.cross_candidate_matrix(calls), "c1")
+    assert {(r[0], r[1]): list(r[2:]) for r in df.collect()} == want
