@@ -242,10 +242,13 @@ def breakpoint_match(points: DataFrame, annotations: DataFrame, reach: int, pref
     """The annotation of each breakpoint: by id, else the first in file order of its chromosome within ``reach``; prefixes do not count."""
     plain = lambda c: F.regexp_replace(c, f"^{prefix}", "")
     by_id = points.join(annotations.select("id", F.col("ord").alias("ord_id")), "id").groupBy("id").agg(F.min("ord_id").alias("ord_id"))
-    p = points.select("id", plain("chrom").alias("c"), F.col("pos_bp").alias("x"), F.explode(F.sequence(F.floor((F.col("pos_bp") - reach) / reach), F.floor((F.col("pos_bp") + reach) / reach))).alias("bin"))
-    a = annotations.select("ord", plain("chrom").alias("c"), F.col("pos_bp").alias("y"), F.floor(F.col("pos_bp") / reach).alias("bin"))
-    near = p.join(a, ["c", "bin"]).where(F.abs(F.col("x") - F.col("y")) < reach).groupBy("id").agg(F.min("ord").alias("ord_near"))
-    out = points.select("id").join(by_id, "id", "left").join(near, "id", "left")
+    # places, not points: those at one place have one answer, and the first annotation of a place hides the others there
+    x = points.select(plain("chrom").alias("c"), F.col("pos_bp").alias("x"))
+    p = x.distinct().withColumn("bin", F.explode(F.sequence(F.floor((F.col("x") - reach) / reach), F.floor((F.col("x") + reach) / reach))))
+    a = annotations.groupBy(plain("chrom").alias("c"), F.col("pos_bp").alias("y")).agg(F.min("ord").alias("ord")).withColumn("bin", F.floor(F.col("y") / reach))
+    near = p.join(a, ["c", "bin"]).where(F.abs(F.col("x") - F.col("y")) < reach).groupBy("c", "x").agg(F.min("ord").alias("ord_near"))
+    at = points.select("id", plain("chrom").alias("c"), F.col("pos_bp").alias("x")).join(near, ["c", "x"]).groupBy("id").agg(F.min("ord_near").alias("ord_near"))
+    out = points.select("id").join(by_id, "id", "left").join(at, "id", "left")
     return out.select("id", F.coalesce("ord_id", "ord_near").alias("ord"))
 
 

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sparkbands import queries
-from sparkbands.operators import aggregates, association, bands, clusters, columns, matrix, planes
+from sparkbands.operators import aggregates, association, bands, clusters, columns, loci, matrix, planes
 from sparkbands.sources import text
 
 
@@ -139,3 +139,13 @@ def test_cells_of_candidate_pairs_equal_loops_and_are_not_shuffled(spark):
     df = aggregates.pair_cells(calls, 3, 4)
     assert not _shuffled(df, "c1") and not _shuffled(association.cross_candidate_matrix(calls), "c1")
     assert {(r[0], r[1]): list(r[2:]) for r in df.collect()} == want
+
+
+def test_breakpoints_of_one_place_meet_once(spark):
+    one = (F.col("id") * 0 + 1).cast("string")
+    points = spark.range(6000).select("id", F.concat(F.lit("C_gar_"), one).alias("chrom"), (F.col("id") % 2 * 5000).alias("pos_bp"))
+    notes = spark.range(6000).select(F.when(F.col("id") == 7, F.col("id")).alias("id"), one.alias("chrom"), (F.col("id") % 2 * 5000 + 999).alias("pos_bp"), (F.col("id") + 10).alias("ord"))
+    df = loci.breakpoint_match(points, notes, 1000)
+    assert {r.id: r.ord for r in df.collect()} == {i: 17 if i == 7 else 10 + i % 2 for i in range(6000)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") >= 4  # places of either side are made single before they meet; 18 million pairs met here
